@@ -14,6 +14,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,16 +66,25 @@ def _bin(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
-def _by_doc(doc: np.ndarray, pos: np.ndarray):
-    order = np.lexsort((pos, doc))
-    doc, pos = doc[order], pos[order].astype(np.uint32)
-    cut = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, int)
-    ends = np.concatenate((cut[1:], [len(doc)])).astype(int) if len(cut) else cut
-    return doc[cut], [_bin(pos[a:b]) for a, b in zip(cut, ends, strict=True)]
+def _by_part(part: np.ndarray, parts: int, *cols: np.ndarray):
+    """(part, the columns' rows of it) for every part that has rows."""
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    for b in range(parts):
+        at = order[cuts[b] : cuts[b + 1]]
+        if len(at):
+            yield b, *(c[at] for c in cols)
+
 
+def _home(doc: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(doc.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
 
-_SHIP = "bucket int, key binary, sub binary, doc binary, pos binary, known_doc long, known binary"
-_SHIP_ARROW = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("sub", pa.binary()), ("doc", pa.binary()), ("pos", pa.binary()), ("known_doc", pa.int64()), ("known", pa.binary())])
+
+#: Windows on their way to the bucket of their hash, and settled places (key null) on their way to their documents.
+_SHIP = "bucket int, key binary, sub binary, doc binary, pos binary"
+_SHIP_ARROW = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("sub", pa.binary()), ("doc", pa.binary()), ("pos", pa.binary())])
+_PLACES = "home int, doc binary, pos binary"
+_PLACES_ARROW = pa.schema([("home", pa.int32()), ("doc", pa.binary()), ("pos", pa.binary())])
 _MARKS = "doc_id long, marks binary"
 _MARKS_ARROW = pa.schema([("doc_id", pa.int64()), ("marks", pa.binary())])
 
@@ -97,32 +107,27 @@ def _ship(parts: list[tuple], buckets: int, both: bool):
         local = order[~new]
         known_doc, known_pos = doc[local], pos[local]
     lead = order[new]
-    lead = lead[np.argsort(key[lead] % np.uint64(buckets), kind="stable")]
-    part = (key[lead] % np.uint64(buckets)).astype(np.int64)
-    cuts = np.searchsorted(part, np.arange(buckets + 1))
-    rows = [[], [], [], [], [], [], []]
-    for b in range(buckets):
-        at = lead[cuts[b] : cuts[b + 1]]
-        if len(at):
-            for r, v in zip(rows, (b, _bin(key[at]), None if both else _bin(sub[at]), _bin(doc[at]), _bin(pos[at].astype(np.uint32)), None, None), strict=True):
-                r.append(v)
-    docs, blobs = _by_doc(known_doc, known_pos)
-    for d, x in zip(docs.tolist(), blobs, strict=True):
-        for r, v in zip(rows, (-1 - d % buckets if d >= 0 else -1, None, None, None, None, d, x), strict=True):
+    rows = [[], [], [], [], []]
+    for b, k, u, d, p in _by_part((key[lead] % np.uint64(buckets)).astype(np.int64), buckets, key[lead], sub[lead], doc[lead], pos[lead].astype(np.uint32)):
+        for r, v in zip(rows, (b, _bin(k), None if both else _bin(u), _bin(d), _bin(p)), strict=True):
+            r.append(v)
+    for b, d, p in _by_part(_home(known_doc, buckets), buckets, known_doc, known_pos.astype(np.uint32)):
+        for r, v in zip(rows, (b, None, None, _bin(d), _bin(p)), strict=True):
             r.append(v)
     yield pa.record_batch([pa.array(r, f.type) for r, f in zip(rows, _SHIP_ARROW, strict=True)], schema=_SHIP_ARROW)
 
 
-def _meet(batches, both: bool):
-    """Windows of one bucket from all tasks: the places that are repeats, by document."""
+def _meet(batches, buckets: int, both: bool):
+    """Windows of a bucket from all tasks: the places that are repeats, a row for each home of documents."""
     keys, subs, docs, poss = [], [], [], []
     for batch in batches:
-        known = column(batch, "known").is_valid().to_numpy(zero_copy_only=False)
-        if known.any():
-            mine = batch.filter(pa.array(known))
-            yield pa.record_batch([column(mine, "known_doc"), column(mine, "known")], schema=_MARKS_ARROW)
+        known = column(batch, "key").is_null()
+        mine = batch.filter(known)
+        if mine.num_rows:
+            yield pa.record_batch([column(mine, "bucket"), column(mine, "doc"), column(mine, "pos")], schema=_PLACES_ARROW)
+        rest = batch.filter(pc.invert(known))
         for name, held, kind in (("key", keys, np.uint64), ("sub", subs, np.uint64), ("doc", docs, np.int64), ("pos", poss, np.uint32)):
-            held += [np.frombuffer(x, kind) for x in column(batch, name).to_pylist() if x is not None]
+            held += [np.frombuffer(x, kind) for x in column(rest, name).to_pylist() if x is not None]
     if not keys:
         return
     key, doc, pos = np.concatenate(keys), np.concatenate(docs), np.concatenate(poss)
@@ -132,9 +137,29 @@ def _meet(batches, both: bool):
         at = order[np.bincount(group)[group] > 1]
     else:
         at = order[~new]
-    d, blobs = _by_doc(doc[at], pos[at])
-    for lo in range(0, len(d), 4096):
-        yield pa.record_batch([pa.array(d[lo : lo + 4096]), pa.array(blobs[lo : lo + 4096], pa.binary())], schema=_MARKS_ARROW)
+    rows = [[], [], []]
+    for b, d, p in _by_part(_home(doc[at], buckets), buckets, doc[at], pos[at]):
+        for r, v in zip(rows, (b, _bin(d), _bin(p)), strict=True):
+            r.append(v)
+    yield pa.record_batch([pa.array(r, f.type) for r, f in zip(rows, _PLACES_ARROW, strict=True)], schema=_PLACES_ARROW)
+
+
+def _gather(batches):
+    """Places of the documents of a home: one row per document."""
+    docs, poss = [], []
+    for batch in batches:
+        docs += [np.frombuffer(x, np.int64) for x in column(batch, "doc").to_pylist()]
+        poss += [np.frombuffer(x, np.uint32) for x in column(batch, "pos").to_pylist()]
+    if not docs:
+        return
+    doc, pos = np.concatenate(docs), np.concatenate(poss)
+    order = np.lexsort((pos, doc))
+    doc, pos = doc[order], pos[order]
+    cut = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+    ends = [*cut[1:].tolist(), len(doc)]
+    for lo in range(0, len(cut), 4096):
+        hi = min(lo + 4096, len(cut))
+        yield pa.record_batch([pa.array(doc[cut[lo:hi]]), pa.array([_bin(pos[a:b]) for a, b in zip(cut[lo:hi].tolist(), ends[lo:hi], strict=True)], pa.binary())], schema=_MARKS_ARROW)
 
 
 def _half_level(window: int, buckets: int):
@@ -170,9 +195,8 @@ def _full_level(window: int, buckets: int):
                 start, at, low = _anchors(h, doc, window)
                 begin = np.searchsorted(doc, np.arange(len(ids)))
                 flag = np.zeros(len(h) + 1, bool)
-                for i, blobs in enumerate(column(piece, "marks").to_pylist()):
-                    for x in blobs:
-                        flag[begin[i] + np.frombuffer(x, np.uint32).astype(np.int64)] = True
+                for i, x in enumerate(column(piece, "marks").to_pylist()):
+                    flag[begin[i] + np.frombuffer(x, np.uint32).astype(np.int64)] = True
                 keep = flag[at]
                 start, at = start[keep], at[keep]
                 full = mix(low[:-(window // 2)][start] + mix(low[window - window // 2 :][start] ^ np.uint64(window))) if len(start) else np.zeros(0, np.uint64)
@@ -198,10 +222,10 @@ def _cover(window: int):
                 raw = data.tobytes()
                 begin = np.searchsorted(doc, np.arange(len(piece) + 1))
                 removed, kept = [], []
-                for i, blobs in enumerate(column(piece, "marks").to_pylist()):
+                for i, x in enumerate(column(piece, "marks").to_pylist()):
                     a, b = int(begin[i]), int(begin[i + 1])
                     gone = np.zeros(b - a + 1, np.int32)
-                    for x in blobs or ():
+                    if x:
                         p = np.frombuffer(x, np.uint32).astype(np.int64)
                         np.add.at(gone, p, 1)
                         np.add.at(gone, p + window, -1)
@@ -229,8 +253,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     at_home = rows.repartition(buckets, "doc_id")
 
     def level(records: DataFrame, both: bool) -> DataFrame:
-        met = records.repartition(buckets, "bucket").mapInArrow(lambda it: _meet(it, both), _MARKS)
-        return met.groupBy("doc_id").agg(F.collect_list("marks").alias("marks"))
+        met = records.repartition(buckets, "bucket").mapInArrow(lambda it: _meet(it, buckets, both), _PLACES)
+        return met.repartition(buckets, "home").mapInArrow(_gather, _MARKS)
 
     halves = level(rows.mapInArrow(_half_level(window, buckets), _SHIP), True)
     fulls = level(joined_with(at_home, halves, "doc_id", "inner").select("doc_id", "text", "marks").mapInArrow(_full_level(window, buckets), _SHIP), False)
