@@ -11,8 +11,6 @@ from tessera.llm.common import crc_of_id, joined_with, materialise, table
 
 #: Ids up to which a stage's decisions are broadcast; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 100_000
-#: Share of a document that its first language must have.
-LEAST_SHARE = 0.5
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -24,10 +22,10 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts without a letter and those in which no language has half of the text."""
+    """Drop texts to which no language can be given: null ones and those without a letter."""
     model = language_id.train(docs.where(F.pmod(crc_of_id(), F.lit(3)) != 1).select("doc_id", "text", "lang"))
     found = language_id.identify(docs, model)
-    return _without(docs, found.where((F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < LEAST_SHARE)))
+    return _without(docs, found.where(F.col("lang_pred") == language_id.UNKNOWN))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
