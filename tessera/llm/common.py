@@ -178,7 +178,7 @@ def shingles(h: np.ndarray, doc: np.ndarray, n_docs: int, k: int = SHINGLE_WORDS
     return w[keep], d[keep]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 2 * BLOCK_BYTES):
+def slices(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES):
     """Row ranges of a batch that hold about ``limit`` bytes of a string column; a longer row stands alone."""
     col = batch.column(batch.schema.get_field_index(column))
     _, offs = string_buffers(col)
