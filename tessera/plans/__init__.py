@@ -1,0 +1 @@
+"""Queries over the driver's tables; importing the modules registers them."""

@@ -26,3 +26,11 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+def read(spark, sf_dir: str, name: str):
+    """A table of the driver; columns are pruned and filters pushed down by the reader."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+from . import concordance_queries, data_queries, inference_queries, skill_queries, text_queries, vector_queries  # noqa: E402, F401
