@@ -170,7 +170,7 @@ def _search(dim: int, longest: float, k: int):
                 while True:  # outwards from the query's own distance, the nearer side first
                     gl = qd - dist[left - 1] if left > 0 else np.inf
                     gr = dist[right] - qd if right < len(dist) else np.inf
-                    if min(gl, gr) > reach:
+                    if min(gl, gr) > reach or left == 0 and right == len(dist):
                         break
                     if gl <= gr:
                         lo, hi = max(0, left - 1024), left
