@@ -1,7 +1,5 @@
 """Distribution functions and tests on a few numbers; the heavy sums stay in Spark."""
 
-from __future__ import annotations
-
 import math
 from collections import Counter
 

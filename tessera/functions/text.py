@@ -38,7 +38,7 @@ def first_match(text: Column, rules: list[tuple[str, tuple[str, ...]]], other: s
 
 def strip_fence(text: Column) -> Column:
     """What stands inside a Markdown code fence, trimmed; the text itself if there is none."""
-    return F.trim(F.regexp_replace(text, r"(?s)^.*?```[A-Za-z]*\s*\n?(.*?)```.*$", "$1"))
+    return F.regexp_replace(F.regexp_replace(text, r"(?s)^.*?```[A-Za-z]*\s*\n?(.*?)```.*$", "$1"), r"^\s+|\s+$", "")
 
 
 def normalise_digest(digest: Column) -> Column:

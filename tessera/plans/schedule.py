@@ -38,9 +38,9 @@ def select_boards(boards: DataFrame) -> DataFrame:
     kind = F.when(F.col("type") == "control", "control").when(F.col("type") == "probe", F.substring_index("specification", "-", -1))
     ranked = boards.withColumn("kind", kind).where(F.col("kind").isin(*SELECTION)).withColumn("rn", F.row_number().over(Window.partitionBy("kind").orderBy("board_id")))
     want = F.create_map(*[F.lit(x) for kv in SELECTION.items() for x in kv])
-    total = F.count("*").over(Window.partitionBy("kind"))
-    short = F.when(total < want[F.col("kind")], F.raise_error(F.concat(F.lit("too few boards: "), F.col("kind")))).otherwise(F.col("rn") <= want[F.col("kind")])
-    return ranked.where(short).drop("rn")
+    counted = ranked.withColumn("total", F.count("*").over(Window.partitionBy("kind")))
+    kept = F.when(F.col("total") < want[F.col("kind")], F.raise_error(F.concat(F.lit("too few boards: "), F.col("kind")))).otherwise(F.col("rn") <= want[F.col("kind")])
+    return counted.where(kept).drop("rn", "total")
 
 
 #: How many cards hold each pair of roles on the two faces.
