@@ -1,182 +1,256 @@
 """Cross-entropy difference scoring with matched n-gram models.
 
-A target model and a background model share one vocabulary: the words with the highest counts over the whole
-corpus. Both are interpolated bigram models over the same hashed table, counted over every row. A document's
-score is its mean loss per token under the target model less that under the background model: lower is closer
-to the target.
+A target model and a background model share one vocabulary: every word of the corpus. Both are interpolated bigram
+models, counted over every row. A document's score is its mean loss per token under the target model less that under
+the background model: lower is closer to the target.
+
+The models are tables with a row per distinct bigram and word, so they grow with the corpus and are never gathered in one
+place. To score, tasks put their documents together as chunks, ask each shard of the bigram table for the distinct bigrams of
+a chunk, once each, and add the answers up per document. Bigrams and words are named by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shipped, column, mix, partitions, slices, string_buffers, word_hashes
+from .common import column, grouped, materialise, mix, partitions, slices, string_buffers, word_hashes
 
-#: Words of the shared vocabulary at most, the most frequent of the corpus; all others are one unknown word.
-VOCABULARY = 1 << 16
-#: Buckets of the bigram table, a power of two; SLICES of it travel as one row each.
-BIGRAMS, SLICES = 1 << 19, 64
 #: Weight of the bigram estimate, and the additive constant of the unigram one.
 LAMBDA, ADD = 0.7, 0.5
-#: Distinct words that a task holds before it ships their counts.
+#: Distinct bigrams that a task holds before it ships their counts.
 FLUSH = 1 << 20
+#: Tokens of a chunk, but for the last document's rest.
+CHUNK_TOKENS = 1 << 21
+#: Bigrams that one shard of the table has on average, at most.
+SHARD_KEYS = 1 << 20
+#: Words or contexts up to which their counts are broadcast; beyond that they are joined by a shuffle.
+BROADCAST_ROWS = 200_000
+#: The previous word at a document's start.
+START = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _bigrams(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the previous word, and of the bigram, of every token."""
+    prev = np.full(len(h), START, np.uint64)
+    if len(h) > 1:
+        same = doc[1:] == doc[:-1]
+        prev[1:][same] = h[:-1][same]
+    return mix(prev * np.uint64(0xD6E8FEB86659FD93) + h), prev
+
 
+_COUNTS = "h long, prev long, word long, n_target long, n_background long"
 
-def _word_counts(batches):
-    """Word hashes and counts, summed within the task."""
-    held = []
-    size = 0
 
-    def merged():
-        w, c = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-        u, inv = np.unique(w, return_inverse=True)
-        return u, np.bincount(inv, weights=c).astype(np.int64)
+def _merged(held):
+    h = np.concatenate([x[0] for x in held])
+    u, first, inv = np.unique(h, return_index=True, return_inverse=True)
+    prev, word = (np.concatenate([x[i] for x in held])[first] for i in (1, 2))
+    return u, prev, word, *(np.bincount(inv, weights=np.concatenate([x[i] for x in held]), minlength=len(u)).astype(np.int64) for i in (3, 4))
 
-    def out(w, c):
-        for lo in range(0, len(w), 1 << 16):
-            yield pa.record_batch([pa.array(w[lo : lo + (1 << 16)].view(np.int64)), pa.array(c[lo : lo + (1 << 16)])], names=["word", "n"])
+
+def _count(batches):
+    """Distinct bigrams and their counts in target and background rows, summed within the task."""
+    held, size = [], 0
+
+    def out(cols):
+        for lo in range(0, len(cols[0]), 1 << 16):
+            yield pa.record_batch([pa.array(c[lo : lo + (1 << 16)].view(np.int64)) for c in cols], names=["h", "prev", "word", "n_target", "n_background"])
 
     for batch in batches:
         for piece in slices(batch, "text"):
-            h, _, _, _ = word_hashes(*string_buffers(column(piece, "text")), lower=True)
-            u, c = np.unique(h, return_counts=True)
-            held.append((u, c.astype(np.int64)))
-            size += len(u)
+            word, doc, _, _ = word_hashes(*string_buffers(column(piece, "text")), lower=True)
+            h, prev = _bigrams(word, doc)
+            target = column(piece, "target").to_numpy(zero_copy_only=False).astype(bool)[doc]
+            held.append(_merged([(h, prev, word, target, ~target)]))
+            size += len(held[-1][0])
             if size > 2 * FLUSH:
-                held = [merged()]
+                held = [_merged(held)]
                 size = len(held[0][0])
                 if size > FLUSH:
-                    yield from out(*held[0])
+                    yield from out(held[0])
                     held, size = [], 0
     if held:
-        yield from out(*merged())
+        yield from out(_merged(held))
 
 
-def _ids(h: np.ndarray, vocab: np.ndarray) -> np.ndarray:
-    """Places in the sorted vocabulary; its length stands for unknown words."""
-    if not len(vocab):
-        return np.zeros(len(h), np.int64)
-    at = np.minimum(np.searchsorted(vocab, h), len(vocab) - 1)
-    return np.where(vocab[at] == h, at, len(vocab))
+class Models:
+    """Counts of both models as tables: bigrams, words, contexts; and the totals that the driver needs."""
 
+    def __init__(self, bigrams: DataFrame, words: DataFrame, contexts: DataFrame):
+        self.bigrams, self.words, self.contexts = bigrams, words, contexts
+        got = words.agg(F.count("*").alias("v"), F.sum("u_target").alias("t"), F.sum("u_background").alias("b")).first()
+        self.vocabulary, self.tokens = got["v"], {"target": got["t"] or 0, "background": got["b"] or 0}
 
-def _bigrams(ids: np.ndarray, doc: np.ndarray, v: int) -> tuple[np.ndarray, np.ndarray]:
-    """Previous word (v + 1 at a document's start) and bigram bucket of every token."""
-    prev = np.full(len(ids), v + 1, np.int64)
-    if len(ids) > 1:
-        same = doc[1:] == doc[:-1]
-        prev[1:][same] = ids[:-1][same]
-    h = mix(prev.astype(np.uint64) * np.uint64(0x1F123BB5) + ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return prev, (h >> np.uint64(64 - BIGRAMS.bit_length() + 1)).astype(np.int64)
+    def losses(self, wanted: DataFrame | None = None) -> DataFrame:
+        """(h, loss_target, loss_background) of the bigrams ``wanted`` (h, prev, word), or of all that were counted."""
+        rows = self.bigrams if wanted is None else wanted.join(self.bigrams.select("h", "n_target", "n_background"), "h", "left")
+        words = F.broadcast(self.words) if self.vocabulary <= BROADCAST_ROWS else self.words.hint("shuffle_hash")
+        contexts = F.broadcast(self.contexts) if self.vocabulary <= BROADCAST_ROWS else self.contexts.hint("shuffle_hash")  # a context is a word or a start
+        rows = rows.join(words, "word", "left").join(contexts, "prev", "left")
 
+        def loss(m: str):
+            n, u, c = (F.coalesce(F.col(f"{x}_{m}"), F.lit(0)).cast("double") for x in "nuc")
+            word = (u + F.lit(ADD)) / F.lit(self.tokens[m] + ADD * (self.vocabulary + 1))
+            return -F.log(F.when(c > 0, F.lit(LAMBDA) * n / c + F.lit(1 - LAMBDA) * word).otherwise(word))
 
-def _table_counts(shared):
-    """Partial tables of one task: unigrams, previous words and bigrams, for both models."""
+        return rows.select("h", loss("target").cast("float").alias("loss_target"), loss("background").cast("float").alias("loss_background"))
 
-    def run(batches):
-        vocab = shared.get()
-        v = len(vocab)
-        uni, pre, bi = np.zeros((2, v + 2), np.int64), np.zeros((2, v + 2), np.int64), np.zeros((2, BIGRAMS), np.int64)
-        some = False
-        for batch in batches:
-            for piece in slices(batch, "text"):
-                h, doc, _, _ = word_hashes(*string_buffers(column(piece, "text")), lower=True)
-                ids = _ids(h, vocab)
-                prev, b = _bigrams(ids, doc, v)
-                target = column(piece, "target").to_numpy(zero_copy_only=False).astype(bool)[doc]
-                some = some or len(ids) > 0
-                for m, take in ((0, target), (1, ~target)):
-                    uni[m] += np.bincount(ids[take], minlength=v + 2)
-                    pre[m] += np.bincount(prev[take], minlength=v + 2)
-                    bi[m] += np.bincount(b[take], minlength=BIGRAMS)
-        if some:
-            step = BIGRAMS // SLICES
-            blobs = [np.ascontiguousarray(bi[:, i * step : (i + 1) * step]) for i in range(SLICES)] + [uni, pre]
-            yield pa.record_batch([pa.array(range(SLICES + 2), pa.int32()), pa.array([x.tobytes() for x in blobs], pa.binary())], names=["slice", "counts"])
 
-    return run
+def _summed(rows: DataFrame, key: str, as_: str) -> DataFrame:
+    return rows.groupBy(key).agg(*[F.sum(f"n_{m}").alias(f"{as_}_{m}") for m in ("target", "background")])
 
 
-def _sum_slices(batches):
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for i, x in zip(column(batch, "slice").to_pylist(), column(batch, "counts").to_pylist(), strict=True):
-            a = np.frombuffer(x, np.int64)
-            sums[i] = sums[i] + a if i in sums else a
-    for i, a in sums.items():
-        yield pa.record_batch([pa.array([i], pa.int32()), pa.array([a.tobytes()], pa.binary())], names=["slice", "counts"])
+def train(docs: DataFrame) -> Models:
+    """Learn from every row of ``docs`` (text, target: boolean or null); rows that are not target make the background.
+
+    To the driver come three numbers: the distinct words, and the tokens of both sides.
+    """
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("target", F.lit(False)).alias("target"))
+    counted = rows.mapInArrow(_count, _COUNTS).groupBy("h").agg(F.min("prev").alias("prev"), F.min("word").alias("word"), F.sum("n_target").alias("n_target"), F.sum("n_background").alias("n_background"))
+    bigrams = materialise(counted, "bigrams")
+    return Models(bigrams, materialise(_summed(bigrams, "word", "u"), "words"), materialise(_summed(bigrams, "prev", "c"), "contexts"))
 
 
-class Models:
-    """Log-probabilities of both models over the shared vocabulary."""
+_CHUNKS = pa.schema([("chunk", pa.string()), ("part", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary())])
 
-    def __init__(self, vocab: np.ndarray, uni: np.ndarray, pre: np.ndarray, bi: np.ndarray):
-        self.vocab, self.pre, self.bi = vocab, pre.astype(np.float32), bi.astype(np.float32)
-        n = uni[:, : len(vocab) + 1].astype(np.float64)
-        self.uni = ((n + ADD) / (n.sum(1, keepdims=True) + ADD * n.shape[1])).astype(np.float32)
 
-    def losses(self, ids, prev, b) -> tuple[np.ndarray, np.ndarray]:
-        out = []
-        for m in (0, 1):
-            context = self.pre[m][prev]
-            seen = np.divide(self.bi[m][b], context, out=np.zeros(len(ids), np.float32), where=context > 0)
-            lam = np.where(context > 0, np.float32(LAMBDA), np.float32(0))
-            p = lam * np.minimum(seen, 1) + (1 - lam) * self.uni[m][ids]
-            out.append(-np.log(p.astype(np.float64)))
-        return out[0], out[1]
+def _packed(ids: pa.Array, sizes: np.ndarray, places: np.ndarray) -> bytes:
+    """A chunk's documents and its tokens' places; a place's bytes lie in planes, which compress better."""
+    planes = np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    small = pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
+    return np.array([len(ids), len(places)], np.int64).tobytes() + ids.fill_null(0).to_numpy().tobytes() + ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes() + sizes.astype(np.int64).tobytes() + small
 
 
-def train(docs: DataFrame) -> Models:
-    """Learn from every row of ``docs`` (text, target: boolean or null); rows that are not target make the background.
+def _unpacked(body: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    n, tokens = np.frombuffer(body, np.int64, 2).tolist()
+    at = 16 + 8 * n
+    ids = pa.array(np.frombuffer(body, np.int64, n, 16), mask=np.frombuffer(body, np.uint8, n, at).astype(bool))
+    sizes = np.frombuffer(body, np.uint8, 8 * n, at + n).view(np.int64)
+    if not tokens:
+        return ids, sizes, np.zeros(0, np.int64)
+    planes = pa.decompress(body[at + 9 * n :], decompressed_size=4 * tokens, codec="zstd", asbytes=True)
+    return ids, sizes, np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
 
-    To the driver come the vocabulary and the tables, whose sizes are VOCABULARY and BIGRAMS at most.
-    """
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("target", F.lit(False)).alias("target"))
-    counts = rows.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).select("word").toArrow().column("word").to_numpy()
-    vocab = np.sort(top.astype(np.int64).view(np.uint64))
-    shared = Shipped(spark, vocab)
-    out = "slice int, counts binary"
-    tables = rows.mapInArrow(_table_counts(shared), out).repartition(min(SLICES + 2, partitions(spark)), "slice").mapInArrow(_sum_slices, out)
-    got = {r["slice"]: np.frombuffer(bytes(r["counts"]), np.int64) for r in tables.toLocalIterator()}
-    v = len(vocab)
-    if not got:
-        return Models(vocab, np.zeros((2, v + 2)), np.zeros((2, v + 2)), np.zeros((2, BIGRAMS)))
-    bi = np.concatenate([got[i].reshape(2, -1) for i in range(SLICES)], 1)
-    return Models(vocab, got[SLICES].reshape(2, -1), got[SLICES + 1].reshape(2, -1), bi)
-
-
-def _apply(shared):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("loss_target", pa.float64()), ("loss_background", pa.float64()), ("score", pa.float64())])
+
+def _chunks(shards: int):
+    """For each chunk a row of shard -1 with its documents, and a row with its distinct bigrams for each shard that has some."""
+
+    def made(held):
+        from pyspark import TaskContext
+
+        h = np.concatenate([x[0] for x in held])
+        u, inv = np.unique(h, return_inverse=True)
+        shard = np.mod(u.view(np.int64), shards)
+        order = np.argsort(shard, kind="stable")
+        place = np.empty(len(u), np.int64)
+        place[order] = np.arange(len(u))
+        u, shard = u[order], shard[order]
+        cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(u) else np.zeros(0, np.int64), [len(u)]))
+        body = _packed(pa.concat_arrays([x[2] for x in held]), np.concatenate([x[1] for x in held]), place[inv])
+        name, part = uuid.uuid4().hex, TaskContext.get().partitionId()
+        n = len(cuts)
+        yield pa.record_batch([pa.array([name] * n), pa.array([part] * n, pa.int32()), pa.array([-1, *shard[cuts[:-1]].tolist()], pa.int32()), pa.array([body, *(u[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True))], pa.binary())], schema=_CHUNKS)
 
     def run(batches):
-        m = shared.get()
+        held, size = [], 0
         for batch in batches:
             for piece in slices(batch, "text"):
-                n = len(piece)
-                h, doc, _, _ = word_hashes(*string_buffers(column(piece, "text")), lower=True)
-                ids = _ids(h, m.vocab)
-                prev, b = _bigrams(ids, doc, len(m.vocab))
-                t, g = m.losses(ids, prev, b)
-                size = np.bincount(doc, minlength=n)
-                t = np.bincount(doc, weights=t, minlength=n) / np.maximum(size, 1)
-                g = np.bincount(doc, weights=g, minlength=n) / np.maximum(size, 1)
-                none = size == 0
-                yield pa.record_batch([column(piece, "doc_id"), pa.array(size), *(pa.array(x, mask=none) for x in (t, g, t - g))], schema=schema)
+                word, doc, _, _ = word_hashes(*string_buffers(column(piece, "text")), lower=True)
+                held.append((_bigrams(word, doc)[0], np.bincount(doc, minlength=len(piece)), column(piece, "doc_id")))
+                size += len(word)
+                if size >= CHUNK_TOKENS:
+                    yield from made(held)
+                    held, size = [], 0
+        if held:
+            yield from made(held)
 
     return run
 
 
-def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+_ANSWERS = pa.schema([("chunk", pa.string()), ("part", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary())])
+
+
+def _look_up(batches):
+    """Answers the requests of each shard, whose rows of the table come first."""
+    for batch in _by_shard(batches):
+        shard, table, requests = batch
+        keys, t, b = table
+        at = np.searchsorted(keys, asked := np.frombuffer(requests[2], np.int64))
+        if len(keys) == 0 or (keys[np.minimum(at, len(keys) - 1)] != asked).any():
+            raise ValueError("a document has a bigram that the table lacks; score it with known=False")
+        yield pa.record_batch([pa.array([requests[0]]), pa.array([requests[1]], pa.int32()), pa.array([shard], pa.int32()), pa.array([np.concatenate((t[at], b[at])).tobytes()], pa.binary())], schema=_ANSWERS)
+
+
+def _by_shard(batches):
+    """(shard, its sorted table, one request) for every request; the rows are sorted by shard and kind."""
+    now, parts, table = None, [], None
+    for batch in batches:
+        shard, kind = column(batch, "shard").to_numpy(), column(batch, "kind").to_numpy()
+        cuts = [0, *(np.flatnonzero((shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if lo == hi:
+                continue
+            if shard[lo] != now:
+                now, parts, table = shard[lo], [], None
+            rows = batch.slice(lo, hi - lo)
+            if kind[lo] == 0:
+                parts.append(tuple(column(rows, c).to_numpy() for c in ("h", "loss_target", "loss_background")))
+                continue
+            if table is None:
+                cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.float32)]
+                order = np.argsort(cols[0])
+                table, parts = tuple(c[order] for c in cols), []
+            for chunk, part, keys in zip(column(rows, "chunk"), column(rows, "part"), column(rows, "keys"), strict=True):
+                yield int(now), table, (chunk.as_py(), part.as_py(), keys.as_py())
+
+
+_SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("loss_target", pa.float64()), ("loss_background", pa.float64()), ("score", pa.float64())])
+
+
+def _sum_up(batches):
+    """Scores of each chunk's documents: its own row comes first, then the answers in the order of shards."""
+    for _, rows in grouped(batches, ["chunk"]):
+        first, *answers = (x.as_py() for x in rows.column("keys"))
+        ids, sizes, places = _unpacked(first)
+        n = len(sizes)
+        doc = np.repeat(np.arange(n), sizes)
+        got = [np.frombuffer(x, np.float32).reshape(2, -1) for x in answers]
+        both = np.concatenate(got, 1) if got else np.zeros((2, 0), np.float32)
+        t, b = (np.bincount(doc, weights=x[places], minlength=n) / np.maximum(sizes, 1) for x in both)
+        none = sizes == 0
+        yield pa.record_batch([ids, pa.array(sizes), *(pa.array(x, mask=none) for x in (t, b, t - b))], schema=_SCORES)
+
+
+def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text", known: bool = False) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background, score (their difference) of every row of ``docs``.
 
-    Losses are natural logarithms per token; a null, empty or blank text has no tokens and null losses. Equal texts score
-    alike. Other columns are ignored.
+    ``known`` says that ``models`` counted every row of ``docs``, which saves a pass; a bigram that wasn't is then an error.
+    Losses are natural logarithms per token, of single precision for a bigram; a null, empty or blank text has no tokens and
+    null losses. Equal texts score alike. Rows that share an id, or have none, keep one row each. Other columns are
+    ignored. An empty table gives an empty table.
     """
-    shared = Shipped(docs.sparkSession, models)
+    n = partitions(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(_apply(shared), "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+    wanted = None
+    if not known:
+        plain = rows.select("text", F.lit(False).alias("target"))
+        wanted = materialise(plain.mapInArrow(_count, _COUNTS).groupBy("h").agg(F.min("prev").alias("prev"), F.min("word").alias("word")), "wanted")
+    size = (models.bigrams if known else wanted).count()
+    shards = n * max(1, math.ceil(size / (n * SHARD_KEYS)))
+    chunks = materialise(rows.mapInArrow(_chunks(shards), "chunk string, part int, shard int, keys binary"), "chunks")
+
+    def null(kind: str, name: str):
+        return F.lit(None).cast(kind).alias(name)
+
+    table = models.losses(wanted).select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "h", "loss_target", "loss_background", null("string", "chunk"), null("int", "part"), null("binary", "keys"))
+    requests = chunks.where("shard >= 0").select("shard", F.lit(1).alias("kind"), null("long", "h"), null("float", "loss_target"), null("float", "loss_background"), "chunk", "part", "keys")
+    asked = table.unionByName(requests).repartitionById(n, "shard").sortWithinPartitions("shard", "kind")
+    answers = asked.mapInArrow(_look_up, "chunk string, part int, shard int, keys binary")
+    whole = chunks.where("shard < 0").unionByName(answers).repartitionById(n, "part").sortWithinPartitions("chunk", "shard")
+    return whole.select("chunk", "keys").mapInArrow(_sum_up, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
