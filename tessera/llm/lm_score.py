@@ -4,9 +4,9 @@ A target model and a background model share one vocabulary: every word of the co
 models, counted over every row. A document's score is its mean loss per token under the target model less that under
 the background model: lower is closer to the target.
 
-The models are tables with a row per distinct bigram and word, so they grow with the corpus and are never gathered in one
-place. To score, tasks put their documents together as chunks, ask each shard of the bigram table for the distinct bigrams of
-a chunk, once each, and add the answers up per document. Bigrams and words are named by 64-bit hashes.
+The counts grow with the corpus and are never gathered in one place. Tasks put documents together as chunks; a chunk
+sends each shard its distinct n-grams and their counts once, the shard adds up the counts of all chunks and answers each
+with the sums, and the chunk, which travels as word numbers, turns them into scores.
 """
 
 from __future__ import annotations
@@ -23,146 +23,123 @@ from .common import column, grouped, materialise, mix, partitions, slices, strin
 
 #: Weight of the bigram estimate, and the additive constant of the unigram one.
 LAMBDA, ADD = 0.7, 0.5
-#: Distinct bigrams that a task holds before it ships their counts.
-FLUSH = 1 << 20
 #: Tokens of a chunk, but for the last document's rest.
-CHUNK_TOKENS = 1 << 21
-#: Bigrams that one shard of the table has on average, at most.
-SHARD_KEYS = 1 << 20
-#: Words or contexts up to which their counts are broadcast; beyond that they are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+CHUNK_TOKENS = 1 << 22
+#: Bytes of counted text for each shard, which bounds what a task holds.
+SHARD_BYTES = 1 << 26
 #: The previous word at a document's start.
 START = np.uint64(0x9E3779B97F4A7C15)
+#: n-grams are named by hashes of so many bits, of which the lowest marks single words.
+KEY_BITS = 56
 
 
-def _bigrams(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the previous word, and of the bigram, of every token."""
-    prev = np.full(len(h), START, np.uint64)
-    if len(h) > 1:
-        same = doc[1:] == doc[:-1]
-        prev[1:][same] = h[:-1][same]
-    return mix(prev * np.uint64(0xD6E8FEB86659FD93) + h), prev
+def _key(h: np.ndarray, kind: int) -> np.ndarray:
+    """Names of n-grams; kind 0: bigrams, 1: words, 2: contexts."""
+    h = mix(h ^ np.uint64(0xA0761D6478BD642F * (kind + 1) & (1 << 64) - 1)) >> np.uint64(64 - KEY_BITS)
+    return (h & ~np.uint64(1)) | np.uint64(kind == 1)
 
 
-_COUNTS = "h long, prev long, word long, n_target long, n_background long"
+def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Shards are ranges of keys."""
+    return ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(shards)) >> np.uint64(32)
 
 
-def _merged(held):
-    h = np.concatenate([x[0] for x in held])
-    u, first, inv = np.unique(h, return_index=True, return_inverse=True)
-    prev, word = (np.concatenate([x[i] for x in held])[first] for i in (1, 2))
-    return u, prev, word, *(np.bincount(inv, weights=np.concatenate([x[i] for x in held]), minlength=len(u)).astype(np.int64) for i in (3, 4))
+def _ints(a: np.ndarray) -> bytes:
+    """Integers as planes of their bytes, compressed."""
+    planes = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(a).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
 
 
-def _count(batches):
-    """Distinct bigrams and their counts in target and background rows, summed within the task."""
-    held, size = [], 0
+def _from_ints(x: bytes) -> np.ndarray:
+    n = int.from_bytes(x[:8], "little")
+    planes = pa.decompress(x[8:], decompressed_size=8 * n, codec="zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8")[:, 0] if n else np.zeros(0, np.uint64)
 
-    def out(cols):
-        for lo in range(0, len(cols[0]), 1 << 16):
-            yield pa.record_batch([pa.array(c[lo : lo + (1 << 16)].view(np.int64)) for c in cols], names=["h", "prev", "word", "n_target", "n_background"])
 
-    for batch in batches:
-        for piece in slices(batch, "text"):
-            word, doc, _, _ = word_hashes(*string_buffers(column(piece, "text")), lower=True)
-            h, prev = _bigrams(word, doc)
-            target = column(piece, "target").to_numpy(zero_copy_only=False).astype(bool)[doc]
-            held.append(_merged([(h, prev, word, target, ~target)]))
-            size += len(held[-1][0])
-            if size > 2 * FLUSH:
-                held = [_merged(held)]
-                size = len(held[0][0])
-                if size > FLUSH:
-                    yield from out(held[0])
-                    held, size = [], 0
-    if held:
-        yield from out(_merged(held))
-
-
-class Models:
-    """Counts of both models as tables: bigrams, words, contexts; and the totals that the driver needs."""
-
-    def __init__(self, bigrams: DataFrame, words: DataFrame, contexts: DataFrame):
-        self.bigrams, self.words, self.contexts = bigrams, words, contexts
-        got = words.agg(F.count("*").alias("v"), F.sum("u_target").alias("t"), F.sum("u_background").alias("b")).first()
-        self.vocabulary, self.tokens = got["v"], {"target": got["t"] or 0, "background": got["b"] or 0}
-
-    def losses(self, wanted: DataFrame | None = None) -> DataFrame:
-        """(h, loss_target, loss_background) of the bigrams ``wanted`` (h, prev, word), or of all that were counted."""
-        rows = self.bigrams if wanted is None else wanted.join(self.bigrams.select("h", "n_target", "n_background"), "h", "left")
-        words = F.broadcast(self.words) if self.vocabulary <= BROADCAST_ROWS else self.words.hint("shuffle_hash")
-        contexts = F.broadcast(self.contexts) if self.vocabulary <= BROADCAST_ROWS else self.contexts.hint("shuffle_hash")  # a context is a word or a start
-        rows = rows.join(words, "word", "left").join(contexts, "prev", "left")
+def _together(*parts: bytes) -> bytes:
+    return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
 
-        def loss(m: str):
-            n, u, c = (F.coalesce(F.col(f"{x}_{m}"), F.lit(0)).cast("double") for x in "nuc")
-            word = (u + F.lit(ADD)) / F.lit(self.tokens[m] + ADD * (self.vocabulary + 1))
-            return -F.log(F.when(c > 0, F.lit(LAMBDA) * n / c + F.lit(1 - LAMBDA) * word).otherwise(word))
 
-        return rows.select("h", loss("target").cast("float").alias("loss_target"), loss("background").cast("float").alias("loss_background"))
+def _apart(x: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(x):
+        n = int.from_bytes(x[at : at + 8], "little")
+        out.append(x[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
 
 
-def _summed(rows: DataFrame, key: str, as_: str) -> DataFrame:
-    return rows.groupBy(key).agg(*[F.sum(f"n_{m}").alias(f"{as_}_{m}") for m in ("target", "background")])
-
-
-def train(docs: DataFrame) -> Models:
-    """Learn from every row of ``docs`` (text, target: boolean or null); rows that are not target make the background.
-
-    To the driver come three numbers: the distinct words, and the tokens of both sides.
-    """
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce("target", F.lit(False)).alias("target"))
-    counted = rows.mapInArrow(_count, _COUNTS).groupBy("h").agg(F.min("prev").alias("prev"), F.min("word").alias("word"), F.sum("n_target").alias("n_target"), F.sum("n_background").alias("n_background"))
-    bigrams = materialise(counted, "bigrams")
-    return Models(bigrams, materialise(_summed(bigrams, "word", "u"), "words"), materialise(_summed(bigrams, "prev", "c"), "contexts"))
-
+class _Grams:
+    """The distinct n-grams of a chunk: from word hashes, the words' numbers and the documents' sizes."""
 
-_CHUNKS = pa.schema([("chunk", pa.string()), ("part", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary())])
+    def __init__(self, vocab: np.ndarray, places: np.ndarray, sizes: np.ndarray):
+        v = len(vocab)
+        prev = np.concatenate(([v], places[:-1])) if len(places) else places
+        prev[np.cumsum(sizes[:-1])[sizes[1:] > 0]] = v
+        if len(places):
+            prev[0] = v
+        # a bigram of the chunk is a pair of numbers
+        pairs, self.of_token = np.unique(prev * (v + 1) + places, return_inverse=True)
+        prev, self.word = pairs // (v + 1), pairs % (v + 1)
+        contexts, self.context = np.unique(prev, return_inverse=True)
+        wide = np.concatenate((vocab, [START]))
+        keys = np.concatenate((_key(wide[prev] * np.uint64(0xD6E8FEB86659FD93) + wide[self.word], 0), _key(vocab, 1), _key(wide[contexts], 2)))
+        self.keys, at = np.unique(keys, return_inverse=True)
+        self.bigrams, self.words, self.contexts = np.split(at, [len(pairs), len(pairs) + v])
 
+    def counts(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each key, in target and background tokens."""
+        out = []
+        for take in (target, ~target):
+            n = np.bincount(self.of_token, weights=take, minlength=len(self.word))
+            total = np.zeros(len(self.keys))
+            for at, of, size in ((self.bigrams, None, 0), (self.words, self.word, len(self.words)), (self.contexts, self.context, len(self.contexts))):
+                total += np.bincount(at, weights=n if of is None else np.bincount(of, weights=n, minlength=size), minlength=len(self.keys))
+            out.append(total.astype(np.int64))
+        return out[0], out[1]
 
-def _packed(ids: pa.Array, sizes: np.ndarray, places: np.ndarray) -> bytes:
-    """A chunk's documents and its tokens' places; a place's bytes lie in planes, which compress better."""
-    planes = np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-    small = pa.compress(planes, codec="zstd", asbytes=True) if planes else b""
-    return np.array([len(ids), len(places)], np.int64).tobytes() + ids.fill_null(0).to_numpy().tobytes() + ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes() + sizes.astype(np.int64).tobytes() + small
+    def losses(self, counts: np.ndarray, tokens: int, vocabulary: int) -> np.ndarray:
+        """Of each token under the model that ``counts`` has each key of."""
+        n, u, c = counts[self.bigrams], counts[self.words][self.word], counts[self.contexts][self.context]
+        word = (u + ADD) / (tokens + ADD * (vocabulary + 1))
+        p = np.where(c > 0, LAMBDA * n / np.maximum(c, 1) + (1 - LAMBDA) * word, word)
+        return -np.log(p)[self.of_token]
 
 
-def _unpacked(body: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    n, tokens = np.frombuffer(body, np.int64, 2).tolist()
-    at = 16 + 8 * n
-    ids = pa.array(np.frombuffer(body, np.int64, n, 16), mask=np.frombuffer(body, np.uint8, n, at).astype(bool))
-    sizes = np.frombuffer(body, np.uint8, 8 * n, at + n).view(np.int64)
-    if not tokens:
-        return ids, sizes, np.zeros(0, np.int64)
-    planes = pa.decompress(body[at + 9 * n :], decompressed_size=4 * tokens, codec="zstd", asbytes=True)
-    return ids, sizes, np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4")[:, 0].astype(np.int64)
+_CHUNKS = pa.schema([("chunk", pa.string()), ("part", pa.int32()), ("shard", pa.int32()), ("n_target", pa.int64()), ("n_background", pa.int64()), ("body", pa.binary())])
+_CHUNKS_SQL = "chunk string, part int, shard int, n_target long, n_background long, body binary"
 
 
 def _chunks(shards: int):
-    """For each chunk a row of shard -1 with its documents, and a row with its distinct bigrams for each shard that has some."""
+    """For each chunk a row of shard -1 with its documents and tokens, and rows with its n-grams and counts by shard."""
 
     def made(held):
         from pyspark import TaskContext
 
-        h = np.concatenate([x[0] for x in held])
-        u, inv = np.unique(h, return_inverse=True)
-        shard = np.mod(u.view(np.int64), shards)
-        order = np.argsort(shard, kind="stable")
-        place = np.empty(len(u), np.int64)
-        place[order] = np.arange(len(u))
-        u, shard = u[order], shard[order]
-        cuts = np.concatenate((np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))) if len(u) else np.zeros(0, np.int64), [len(u)]))
-        body = _packed(pa.concat_arrays([x[2] for x in held]), np.concatenate([x[1] for x in held]), place[inv])
+        ids, sizes = pa.concat_arrays([x[1] for x in held]), np.concatenate([x[2] for x in held])
+        vocab, inv, n = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")  # small numbers for frequent words
+        number = np.empty(len(vocab), np.int64)
+        number[order] = np.arange(len(vocab))
+        vocab, places = vocab[order], number[inv]
+        target = np.repeat(np.concatenate([x[3] for x in held]), sizes)
+        grams = _Grams(vocab, places, sizes)
+        counts = grams.counts(target)
+        body = _together(_ints(ids.fill_null(0).to_numpy().view(np.uint64)), _ints(ids.is_null().to_numpy(zero_copy_only=False)), _ints(sizes), vocab.tobytes(), _ints(places))
+        shard = _shard(grams.keys, shards).astype(np.int64)
+        cuts = np.flatnonzero(np.diff(shard, prepend=-1)).tolist() + [len(shard)]
         name, part = uuid.uuid4().hex, TaskContext.get().partitionId()
-        n = len(cuts)
-        yield pa.record_batch([pa.array([name] * n), pa.array([part] * n, pa.int32()), pa.array([-1, *shard[cuts[:-1]].tolist()], pa.int32()), pa.array([body, *(u[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True))], pa.binary())], schema=_CHUNKS)
+        rows = [(name, part, -1, int(target.sum()), int((~target).sum()), body)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            rows.append((name, part, int(shard[a]), 0, 0, _together(_ints(np.diff(grams.keys[a:b], prepend=np.uint64(0))), *(_ints(c[a:b]) for c in counts))))
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _CHUNKS, strict=True)], schema=_CHUNKS)
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
             for piece in slices(batch, "text"):
                 word, doc, _, _ = word_hashes(*string_buffers(column(piece, "text")), lower=True)
-                held.append((_bigrams(word, doc)[0], np.bincount(doc, minlength=len(piece)), column(piece, "doc_id")))
+                held.append((word, column(piece, "doc_id"), np.bincount(doc, minlength=len(piece)), column(piece, "target").to_numpy(zero_copy_only=False).astype(bool)))
                 size += len(word)
                 if size >= CHUNK_TOKENS:
                     yield from made(held)
@@ -173,84 +150,121 @@ def _chunks(shards: int):
     return run
 
 
-_ANSWERS = pa.schema([("chunk", pa.string()), ("part", pa.int32()), ("shard", pa.int32()), ("keys", pa.binary())])
-
-
-def _look_up(batches):
-    """Answers the requests of each shard, whose rows of the table come first."""
-    for batch in _by_shard(batches):
-        shard, table, requests = batch
-        keys, t, b = table
-        at = np.searchsorted(keys, asked := np.frombuffer(requests[2], np.int64))
-        if len(keys) == 0 or (keys[np.minimum(at, len(keys) - 1)] != asked).any():
-            raise ValueError("a document has a bigram that the table lacks; score it with known=False")
-        yield pa.record_batch([pa.array([requests[0]]), pa.array([requests[1]], pa.int32()), pa.array([shard], pa.int32()), pa.array([np.concatenate((t[at], b[at])).tobytes()], pa.binary())], schema=_ANSWERS)
-
-
-def _by_shard(batches):
-    """(shard, its sorted table, one request) for every request; the rows are sorted by shard and kind."""
-    now, parts, table = None, [], None
-    for batch in batches:
-        shard, kind = column(batch, "shard").to_numpy(), column(batch, "kind").to_numpy()
-        cuts = [0, *(np.flatnonzero((shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), batch.num_rows]
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            if lo == hi:
-                continue
-            if shard[lo] != now:
-                now, parts, table = shard[lo], [], None
-            rows = batch.slice(lo, hi - lo)
-            if kind[lo] == 0:
-                parts.append(tuple(column(rows, c).to_numpy() for c in ("h", "loss_target", "loss_background")))
-                continue
-            if table is None:
-                cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.float32)]
-                order = np.argsort(cols[0])
-                table, parts = tuple(c[order] for c in cols), []
-            for chunk, part, keys in zip(column(rows, "chunk"), column(rows, "part"), column(rows, "keys"), strict=True):
-                yield int(now), table, (chunk.as_py(), part.as_py(), keys.as_py())
+_ANSWERS = pa.schema([("chunk", pa.string()), ("part", pa.int32()), ("shard", pa.int32()), ("words", pa.int64()), ("body", pa.binary())])
+_ANSWERS_SQL = "chunk string, part int, shard int, words long, body binary"
+
+
+def _keys(body: bytes) -> np.ndarray:
+    return np.cumsum(_from_ints(_apart(body)[0]))
+
+
+def _add_up(own: bool):
+    """Adds up the counts of each shard (rows of kind 0, which come first) and answers its rows: all, if ``own``, or those of kind 1.
+
+    A row without a chunk tells the distinct words of the shard.
+    """
+
+    def answer(row, at, counts):
+        return pa.record_batch([[row[0]], [row[1]], [row[2]], [0], [_together(*(_ints(c[at]) for c in counts))]], schema=_ANSWERS)
+
+    def summed(held):
+        keys = [_keys(x[3]) for x in held]
+        u, inv = np.unique(np.concatenate(keys), return_inverse=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        counts = [np.bincount(inv, weights=np.concatenate([_from_ints(_apart(x[3])[m]) for x in held]), minlength=len(u)).astype(np.int64) if held else np.zeros(0, np.int64) for m in (1, 2)]
+        return u, inv, [np.append(c, 0) for c in counts], np.cumsum([0, *map(len, keys)])
+
+    def run(batches):
+        now, held, table = None, [], None
+
+        def closed():
+            u, inv, counts, ends = summed(held)
+            if own:
+                for row, a, b in zip(held, ends[:-1], ends[1:], strict=True):
+                    yield answer(row, inv[a:b], counts)
+            yield pa.record_batch([pa.array([None], pa.string()), [0], [now], [int((u & np.uint64(1)).sum())], pa.array([None], pa.binary())], schema=_ANSWERS)
+            return u, counts
+
+        for batch in batches:
+            for kind, *row in zip(*(column(batch, c).to_pylist() for c in ("kind", "chunk", "part", "shard", "body")), strict=True):
+                if row[2] != now:
+                    if now is not None and table is None:
+                        yield from closed()
+                    now, held, table = row[2], [], None
+                if kind == 0:
+                    held.append(row)
+                    continue
+                if table is None:
+                    table = yield from closed()
+                    held = []
+                u, counts = table
+                keys = _keys(row[3])
+                at = np.searchsorted(u, keys)
+                yield answer(row, np.where(np.append(u, 0)[at] == keys, at, len(u)), counts)  # the last count is 0
+        if now is not None and table is None:
+            yield from closed()
+
+    return run
 
 
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("loss_target", pa.float64()), ("loss_background", pa.float64()), ("score", pa.float64())])
 
 
-def _sum_up(batches):
+def _scores(tokens: tuple[int, int], vocabulary: int):
     """Scores of each chunk's documents: its own row comes first, then the answers in the order of shards."""
-    for _, rows in grouped(batches, ["chunk"]):
-        first, *answers = (x.as_py() for x in rows.column("keys"))
-        ids, sizes, places = _unpacked(first)
-        n = len(sizes)
-        doc = np.repeat(np.arange(n), sizes)
-        got = [np.frombuffer(x, np.float32).reshape(2, -1) for x in answers]
-        both = np.concatenate(got, 1) if got else np.zeros((2, 0), np.float32)
-        t, b = (np.bincount(doc, weights=x[places], minlength=n) / np.maximum(sizes, 1) for x in both)
-        none = sizes == 0
-        yield pa.record_batch([ids, pa.array(sizes), *(pa.array(x, mask=none) for x in (t, b, t - b))], schema=_SCORES)
-
-
-def score(docs: DataFrame, models: Models, id_col: str = "doc_id", text_col: str = "text", known: bool = False) -> DataFrame:
-    """doc_id, n_tokens, loss_target, loss_background, score (their difference) of every row of ``docs``.
-
-    ``known`` says that ``models`` counted every row of ``docs``, which saves a pass; a bigram that wasn't is then an error.
-    Losses are natural logarithms per token, of single precision for a bigram; a null, empty or blank text has no tokens and
-    null losses. Equal texts score alike. Rows that share an id, or have none, keep one row each. Other columns are
-    ignored. An empty table gives an empty table.
-    """
+
+    def run(batches):
+        for _, rows in grouped(batches, ["chunk"]):
+            first, *answers = (_apart(x.as_py()) for x in rows.column("body"))
+            ids = pa.array(_from_ints(first[0]).view(np.int64), mask=_from_ints(first[1]).astype(bool))
+            sizes, vocab, places = _from_ints(first[2]).astype(np.int64), np.frombuffer(first[3], np.uint64), _from_ints(first[4]).astype(np.int64)
+            grams, n = _Grams(vocab, places, sizes), len(sizes)
+            doc = np.repeat(np.arange(n), sizes)
+            means = []
+            for m in (0, 1):
+                counts = np.concatenate([_from_ints(x[m]) for x in answers]).astype(np.float64) if answers else np.zeros(0)
+                means.append(np.bincount(doc, weights=grams.losses(counts, tokens[m], vocabulary), minlength=n) / np.maximum(sizes, 1))
+            none = sizes == 0
+            yield pa.record_batch([ids, pa.array(sizes), *(pa.array(x, mask=none) for x in (*means, means[0] - means[1]))], schema=_SCORES)
+
+    return run
+
+
+class Models:
+    """Counts of both models by chunk and shard, and the number of shards; to the driver come the tokens of both sides."""
+
+    def __init__(self, chunks: DataFrame, shards: int):
+        self.chunks, self.shards = chunks, shards
+        got = chunks.where("shard < 0").agg(F.sum("n_target").alias("t"), F.sum("n_background").alias("b")).first()
+        self.tokens = (got["t"] or 0, got["b"] or 0)
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, target) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), target.alias("target"))
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "target") -> Models:
+    """Count every row of ``docs``; rows whose target (boolean) is true make the target model, all others the background."""
+    rows = _rows(docs, id_col, text_col, F.coalesce(F.col(target_col), F.lit(False)))
     n = partitions(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    wanted = None
-    if not known:
-        plain = rows.select("text", F.lit(False).alias("target"))
-        wanted = materialise(plain.mapInArrow(_count, _COUNTS).groupBy("h").agg(F.min("prev").alias("prev"), F.min("word").alias("word")), "wanted")
-    size = (models.bigrams if known else wanted).count()
-    shards = n * max(1, math.ceil(size / (n * SHARD_KEYS)))
-    chunks = materialise(rows.mapInArrow(_chunks(shards), "chunk string, part int, shard int, keys binary"), "chunks")
-
-    def null(kind: str, name: str):
-        return F.lit(None).cast(kind).alias(name)
-
-    table = models.losses(wanted).select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "h", "loss_target", "loss_background", null("string", "chunk"), null("int", "part"), null("binary", "keys"))
-    requests = chunks.where("shard >= 0").select("shard", F.lit(1).alias("kind"), null("long", "h"), null("float", "loss_target"), null("float", "loss_background"), "chunk", "part", "keys")
-    asked = table.unionByName(requests).repartitionById(n, "shard").sortWithinPartitions("shard", "kind")
-    answers = asked.mapInArrow(_look_up, "chunk string, part int, shard int, keys binary")
-    whole = chunks.where("shard < 0").unionByName(answers).repartitionById(n, "part").sortWithinPartitions("chunk", "shard")
-    return whole.select("chunk", "keys").mapInArrow(_sum_up, "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+    size = docs.agg(F.sum(F.octet_length(text_col)).alias("size")).first()["size"] or 0
+    shards = n * max(1, math.ceil(size / (n * SHARD_BYTES)))
+    return Models(materialise(rows.mapInArrow(_chunks(shards), _CHUNKS_SQL), "chunks"), shards)
+
+
+def score(models: Models, docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, loss_target, loss_background, score (their difference) of every row of ``docs``, or of those that ``models`` counted.
+
+    Losses are natural logarithms per token; a null, empty or blank text has no tokens and null losses. Equal texts score
+    alike; words that no counted row has share one more place of the vocabulary. Rows that share an id, or have none, keep
+    one row each. Other columns are ignored. An empty table gives an empty table.
+    """
+    n = partitions(models.chunks.sparkSession)
+    chunks = models.chunks if docs is None else materialise(_rows(docs, id_col, text_col, F.lit(False)).mapInArrow(_chunks(models.shards), _CHUNKS_SQL), "chunks")
+    sent = models.chunks.where("shard >= 0").select(F.lit(0).alias("kind"), "chunk", "part", "shard", "body")
+    if docs is not None:
+        sent = sent.unionByName(chunks.where("shard >= 0").select(F.lit(1).alias("kind"), "chunk", "part", "shard", "body"))
+    answers = materialise(sent.repartitionById(n, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_add_up(docs is None), _ANSWERS_SQL), "answers")
+    vocabulary = answers.agg(F.sum("words").alias("v")).first()["v"] or 0
+    whole = chunks.where("shard < 0").select("chunk", "part", "shard", "body").unionByName(answers.where("chunk is not null").select("chunk", "part", "shard", "body"))
+    whole = whole.repartitionById(n, "part").sortWithinPartitions("chunk", "shard").select("chunk", "body")
+    return whole.mapInArrow(_scores(models.tokens, vocabulary), "doc_id long, n_tokens long, loss_target double, loss_background double, score double")

@@ -51,7 +51,7 @@ def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
     models = lm_score.train(docs.select("doc_id", "text").join(good.hint("shuffle_hash"), "doc_id", "left"))
-    return lm_score.score(docs, models, known=True)
+    return lm_score.score(models)
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -316,7 +316,7 @@ def test_lm_against_plain_counts(spark):
     texts = ["a b a b c", "a b d", "x y z x y", "z y x", None, "", "q", "A B"]
     target = [True, True, False, None, True, False, False, False]
     docs = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(zip(texts, target, strict=True))], "doc_id long, text string, target boolean").withColumn("n_tokens", F.lit(0))
-    got = rows(lm_score.score(docs, lm_score.train(docs)), "n_tokens", "loss_target", "loss_background", "score")
+    got = rows(lm_score.score(lm_score.train(docs)), "n_tokens", "loss_target", "loss_background", "score")
     toks = [(t or "").lower().split() for t in texts]
     vocab = {w for t in toks for w in t}
     models = []
@@ -343,30 +343,28 @@ def test_lm_against_plain_counts(spark):
         assert got[i][0] == len(t) and got[i][1:] == pytest.approx((*loss, loss[0] - loss[1]), abs=1e-4)
     assert got[0][3] < 0 < got[2][3]
     nothing = lm_score.train(docs.where("doc_id < 0"))
-    assert lm_score.score(docs.where("doc_id < 0"), nothing).count() == 0
-    assert rows(lm_score.score(docs, nothing), "score")[0] == (0.0,)
+    assert lm_score.score(nothing, docs.where("doc_id < 0")).count() == 0
+    assert rows(lm_score.score(nothing, docs), "score")[0] == (0.0,)
 
 
 def test_lm_chunks_and_shards(spark, monkeypatch):
-    """Small chunks and many shards change no score; neither does reusing the counts, nor the way the model's tables are joined."""
+    """Small chunks and many shards change no score; nor does counting apart from scoring."""
     rng = np.random.default_rng(8)
     texts = [" ".join(rng.choice(list("abcdefgh"), n)) for n in rng.integers(0, 60, 200)] + [None, " ", "a " * 5000]
-    docs = spark.createDataFrame([(i if i else None, t, i % 3 == 0) for i, t in enumerate(texts)], "doc_id long, text string, target boolean").withColumns({"h": F.lit(1), "chunk": F.lit("x")}).repartition(5)
+    docs = spark.createDataFrame([(i if i else None, t, i % 3 == 0) for i, t in enumerate(texts)], "doc_id long, text string, target boolean").withColumns({"body": F.lit(1), "chunk": F.lit("x")}).repartition(5)
     models = lm_score.train(docs)
-    want = sorted(map(tuple, lm_score.score(docs, models).collect()), key=str)
+    want = sorted(map(tuple, lm_score.score(models).collect()), key=str)
     assert len(want) == len(texts)
-    for name, value in (("CHUNK_TOKENS", 64), ("SHARD_KEYS", 2), ("FLUSH", 4), ("BROADCAST_ROWS", 0)):
+    for name, value in (("CHUNK_TOKENS", 64), ("SHARD_BYTES", 50)):
         monkeypatch.setattr(lm_score, name, value)
-    got = sorted(map(tuple, lm_score.score(docs, lm_score.train(docs), known=True).collect()), key=str)
-    assert [x[:2] for x in got] == [x[:2] for x in want]
-    assert all(a[2:] == pytest.approx(b[2:]) if b[1] else a == b for a, b in zip(got, want, strict=True))
+    for got in (lm_score.score(lm_score.train(docs)), lm_score.score(models, docs), lm_score.score(lm_score.train(docs), docs)):
+        got = sorted(map(tuple, got.collect()), key=str)
+        assert [x[:2] for x in got] == [x[:2] for x in want]
+        assert all(a[2:] == pytest.approx(b[2:]) if b[1] else a == b for a, b in zip(got, want, strict=True))
 
 
-def test_lm_unknown_words_and_wrong_promise(spark):
+def test_lm_unknown_words(spark):
     seen = spark.createDataFrame([(1, "a b a b", True), (2, "c d c d", False)], "doc_id long, text string, target boolean")
-    other = spark.createDataFrame([(7, "a b new"), (8, "c d new")], "doc_id long, text string")
-    models = lm_score.train(seen)
-    got = rows(lm_score.score(other, models), "score")
-    assert got[7][0] < 0 < got[8][0]
-    with pytest.raises(Exception, match="known=False"):
-        lm_score.score(other, models, known=True).collect()
+    other = spark.createDataFrame([(7, "a b new"), (8, "c d new"), (9, "new")], "doc_id long, text string")
+    got = rows(lm_score.score(lm_score.train(seen), other), "score")
+    assert got[7][0] < 0 < got[8][0] and got[9][0] == pytest.approx(0)
