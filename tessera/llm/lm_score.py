@@ -19,14 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, grouped, materialise, mix, partitions, slices, string_buffers, word_hashes
+from .common import column, grouped, joined_with, materialise, mix, partitions, slices, string_buffers, word_hashes
 
 #: Weight of the bigram estimate, and the additive constant of the unigram one.
 LAMBDA, ADD = 0.7, 0.5
 #: Tokens of a chunk, but for the last document's rest.
-CHUNK_TOKENS = 1 << 22
+CHUNK_TOKENS = 1 << 21
 #: Bytes of counted text for each shard, which bounds what a task holds.
 SHARD_BYTES = 1 << 26
+#: Target ids up to which they are broadcast; beyond that they are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: The previous word at a document's start.
 START = np.uint64(0x9E3779B97F4A7C15)
 #: n-grams are named by hashes of so many bits, of which the lowest marks single words.
@@ -242,6 +244,14 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, target) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), target.alias("target"))
 
 
+def with_target(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with target: true if the doc_id is among ``ids``."""
+    ids = materialise(ids.select("doc_id").where("doc_id is not null").distinct().withColumn("target", F.lit(True)), "target")
+    if ids.count() <= BROADCAST_ROWS:
+        return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left")
+    return joined_with(docs.select("doc_id", "text"), ids, "doc_id", "left")
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", target_col: str = "target") -> Models:
     """Count every row of ``docs``; rows whose target (boolean) is true make the target model, all others the background."""
     rows = _rows(docs, id_col, text_col, F.coalesce(F.col(target_col), F.lit(False)))

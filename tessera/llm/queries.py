@@ -48,9 +48,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: documents that ``labels`` marks as of good quality; background: all others."""
-    docs = table(spark, sf_dir, "documents")
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("target", F.lit(True))
-    models = lm_score.train(docs.select("doc_id", "text").join(good.hint("shuffle_hash"), "doc_id", "left"))
+    good = table(spark, sf_dir, "labels").where("quality = 1")
+    models = lm_score.train(lm_score.with_target(table(spark, sf_dir, "documents"), good))
     return lm_score.score(models)
 
 

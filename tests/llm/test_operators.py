@@ -363,6 +363,14 @@ def test_lm_chunks_and_shards(spark, monkeypatch):
         assert all(a[2:] == pytest.approx(b[2:]) if b[1] else a == b for a, b in zip(got, want, strict=True))
 
 
+def test_lm_target(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a"), (2, None), (None, "c")], "doc_id long, text string").withColumn("target", F.lit("x"))
+    ids = spark.createDataFrame([(1,), (1,), (None,), (9,)], "doc_id long")
+    for limit in (10, 0):
+        monkeypatch.setattr(lm_score, "BROADCAST_ROWS", limit)
+        assert sorted(map(tuple, lm_score.with_target(docs, ids).collect()), key=str) == [(1, "a", True), (2, None, None), (None, "c", None)]
+
+
 def test_lm_unknown_words(spark):
     seen = spark.createDataFrame([(1, "a b a b", True), (2, "c d c d", False)], "doc_id long, text string, target boolean")
     other = spark.createDataFrame([(7, "a b new"), (8, "c d new"), (9, "new")], "doc_id long, text string")
