@@ -221,6 +221,16 @@ def joined_with(big: DataFrame, small: DataFrame, on: str | list[str], how: str)
     return big.join(small.hint("shuffle_hash"), on, how)
 
 
+def return_memory() -> None:
+    """From now on the C library of this worker gives arrays of over 1 MB back to the system once they are freed."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 class Shipped:
     """A driver object of bounded size on the executors, classes of this package included."""
 

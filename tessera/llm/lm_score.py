@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, grouped, joined_with, materialise, mix, partitions, slices, string_buffers, word_hashes
+from .common import column, grouped, joined_with, materialise, mix, partitions, return_memory, slices, string_buffers, word_hashes
 
 #: Weight of the bigram estimate, and the additive constant of the unigram one.
 LAMBDA, ADD = 0.7, 0.5
@@ -81,8 +81,10 @@ class _Grams:
         if len(places):
             prev[0] = v
         # a bigram of the chunk is a pair of numbers
-        pairs, self.of_token = np.unique(prev * (v + 1) + places, return_inverse=True)
-        prev, self.word = pairs // (v + 1), pairs % (v + 1)
+        pairs, of_token = np.unique(prev * (v + 1) + places, return_inverse=True)
+        self.of_token = of_token.astype(np.int32)
+        del of_token
+        prev, self.word = (pairs // (v + 1)).astype(np.int32), (pairs % (v + 1)).astype(np.int32)
         contexts, self.context = np.unique(prev, return_inverse=True)
         wide = np.concatenate((vocab, [START]))
         keys = np.concatenate((_key(wide[prev] * np.uint64(0xD6E8FEB86659FD93) + wide[self.word], 0), _key(vocab, 1), _key(wide[contexts], 2)))
@@ -125,6 +127,8 @@ def _chunks(shards: int):
         number[order] = np.arange(len(vocab))
         vocab, places = vocab[order], number[inv]
         target = np.repeat(np.concatenate([x[3] for x in held]), sizes)
+        held.clear()
+        del inv, order, number
         grams = _Grams(vocab, places, sizes)
         counts = grams.counts(target)
         body = _together(_ints(ids.fill_null(0).to_numpy().view(np.uint64)), _ints(ids.is_null().to_numpy(zero_copy_only=False)), _ints(sizes), vocab.tobytes(), _ints(places))
@@ -137,6 +141,7 @@ def _chunks(shards: int):
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _CHUNKS, strict=True)], schema=_CHUNKS)
 
     def run(batches):
+        return_memory()
         held, size = [], 0
         for batch in batches:
             for piece in slices(batch, "text"):
@@ -176,6 +181,7 @@ def _add_up(own: bool):
         return u, inv, [np.append(c, 0) for c in counts], np.cumsum([0, *map(len, keys)])
 
     def run(batches):
+        return_memory()
         now, held, table = None, [], None
 
         def closed():
@@ -215,6 +221,7 @@ def _scores(tokens: tuple[int, int], vocabulary: int):
     """Scores of each chunk's documents: its own row comes first, then the answers in the order of shards."""
 
     def run(batches):
+        return_memory()
         for _, rows in grouped(batches, ["chunk"]):
             first, *answers = (_apart(x.as_py()) for x in rows.column("body"))
             ids = pa.array(_from_ints(first[0]).view(np.int64), mask=_from_ints(first[1]).astype(bool))
