@@ -24,15 +24,15 @@ from .common import column, grouped, joined_with, materialise, mix, partitions,
 #: Weight of the bigram estimate, and the additive constant of the unigram one.
 LAMBDA, ADD = 0.7, 0.5
 #: Tokens of a chunk, but for the last document's rest.
-CHUNK_TOKENS = 1 << 21
+CHUNK_TOKENS = 1 << 20
 #: Bytes of counted text for each shard, which bounds what a task holds.
 SHARD_BYTES = 1 << 26
 #: Target ids up to which they are broadcast; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: The previous word at a document's start.
 START = np.uint64(0x9E3779B97F4A7C15)
-#: n-grams are named by hashes of so many bits, of which the lowest marks single words.
-KEY_BITS = 56
+#: n-grams are named by hashes of so many bits, of which the lowest marks single words. Among 1e9 of them, 4 in a million share a name.
+KEY_BITS = 48
 
 
 def _key(h: np.ndarray, kind: int) -> np.ndarray:
