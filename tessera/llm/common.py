@@ -222,9 +222,10 @@ def joined_with(big: DataFrame, small: DataFrame, on: str | list[str], how: str)
 
 
 def return_memory() -> None:
-    """From now on the C library of this worker gives arrays of over 1 MB back to the system once they are freed."""
+    """From now on this worker gives arrays of over 1 MB back to the system once they are freed."""
     import ctypes
 
+    pa.set_memory_pool(pa.system_memory_pool())
     try:
         ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
     except (OSError, AttributeError):  # another C library

@@ -94,8 +94,9 @@ class _Grams:
     def counts(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each key, in target and background tokens."""
         out = []
-        for take in (target, ~target):
-            n = np.bincount(self.of_token, weights=take, minlength=len(self.word))
+        every = np.bincount(self.of_token, minlength=len(self.word))
+        hit = np.bincount(self.of_token[target], minlength=len(self.word))
+        for n in (hit, every - hit):
             total = np.zeros(len(self.keys))
             for at, of, size in ((self.bigrams, None, 0), (self.words, self.word, len(self.words)), (self.contexts, self.context, len(self.contexts))):
                 total += np.bincount(at, weights=n if of is None else np.bincount(of, weights=n, minlength=size), minlength=len(self.keys))
