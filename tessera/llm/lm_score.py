@@ -24,7 +24,7 @@ from .common import column, grouped, joined_with, materialise, mix, partitions,
 #: Weight of the bigram estimate, and the additive constant of the unigram one.
 LAMBDA, ADD = 0.7, 0.5
 #: Tokens of a chunk, but for the last document's rest.
-CHUNK_TOKENS = 1 << 20
+CHUNK_TOKENS = 1 << 19
 #: Bytes of counted text for each shard, which bounds what a task holds.
 SHARD_BYTES = 1 << 26
 #: Target ids up to which they are broadcast; beyond that they are joined by a shuffle.
