@@ -24,7 +24,7 @@ from .common import column, grouped, joined_with, materialise, mix, partitions,
 #: Weight of the bigram estimate, and the additive constant of the unigram one.
 LAMBDA, ADD = 0.7, 0.5
 #: Tokens of a chunk, but for the last document's rest.
-CHUNK_TOKENS = 1 << 19
+CHUNK_TOKENS = 1 << 20
 #: Bytes of counted text for each shard, which bounds what a task holds.
 SHARD_BYTES = 1 << 26
 #: Target ids up to which they are broadcast; beyond that they are joined by a shuffle.
@@ -33,6 +33,8 @@ BROADCAST_ROWS = 200_000
 START = np.uint64(0x9E3779B97F4A7C15)
 #: n-grams are named by hashes of so many bits, of which the lowest marks single words. Among 1e9 of them, 4 in a million share a name.
 KEY_BITS = 48
+#: What chunks and answers hold is compressed already; the file format's codecs would keep buffers as large as a page of it.
+PLAIN = {"compression": "none"}
 
 
 def _key(h: np.ndarray, kind: int) -> np.ndarray:
@@ -266,7 +268,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targe
     n = partitions(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("size")).first()["size"] or 0
     shards = n * max(1, math.ceil(size / (n * SHARD_BYTES)))
-    return Models(materialise(rows.mapInArrow(_chunks(shards), _CHUNKS_SQL), "chunks"), shards)
+    return Models(materialise(rows.mapInArrow(_chunks(shards), _CHUNKS_SQL), "chunks", **PLAIN), shards)
 
 
 def score(models: Models, docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,11 +279,11 @@ def score(models: Models, docs: DataFrame | None = None, id_col: str = "doc_id",
     one row each. Other columns are ignored. An empty table gives an empty table.
     """
     n = partitions(models.chunks.sparkSession)
-    chunks = models.chunks if docs is None else materialise(_rows(docs, id_col, text_col, F.lit(False)).mapInArrow(_chunks(models.shards), _CHUNKS_SQL), "chunks")
+    chunks = models.chunks if docs is None else materialise(_rows(docs, id_col, text_col, F.lit(False)).mapInArrow(_chunks(models.shards), _CHUNKS_SQL), "chunks", **PLAIN)
     sent = models.chunks.where("shard >= 0").select(F.lit(0).alias("kind"), "chunk", "part", "shard", "body")
     if docs is not None:
         sent = sent.unionByName(chunks.where("shard >= 0").select(F.lit(1).alias("kind"), "chunk", "part", "shard", "body"))
-    answers = materialise(sent.repartitionById(n, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_add_up(docs is None), _ANSWERS_SQL), "answers")
+    answers = materialise(sent.repartitionById(n, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_add_up(docs is None), _ANSWERS_SQL), "answers", **PLAIN)
     vocabulary = answers.agg(F.sum("words").alias("v")).first()["v"] or 0
     whole = chunks.where("shard < 0").select("chunk", "part", "shard", "body").unionByName(answers.where("chunk is not null").select("chunk", "part", "shard", "body"))
     whole = whole.repartitionById(n, "part").sortWithinPartitions("chunk", "shard").select("chunk", "body")
