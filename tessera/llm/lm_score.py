@@ -26,7 +26,7 @@ LAMBDA, ADD = 0.7, 0.5
 #: Tokens of a chunk, but for the last document's rest.
 CHUNK_TOKENS = 1 << 20
 #: Bytes of counted text for each shard, which bounds what a task holds.
-SHARD_BYTES = 1 << 26
+SHARD_BYTES = 1 << 23
 #: Target ids up to which they are broadcast; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: The previous word at a document's start.
@@ -230,6 +230,7 @@ def _scores(tokens: tuple[int, int], vocabulary: int):
             ids = pa.array(_from_ints(first[0]).view(np.int64), mask=_from_ints(first[1]).astype(bool))
             sizes, vocab, places = _from_ints(first[2]).astype(np.int64), np.frombuffer(first[3], np.uint64), _from_ints(first[4]).astype(np.int64)
             grams, n = _Grams(vocab, places, sizes), len(sizes)
+            del first, places, rows
             doc = np.repeat(np.arange(n), sizes)
             means = []
             for m in (0, 1):
