@@ -11,6 +11,8 @@ from tessera.llm.common import crc_of_id, joined_with, materialise, table
 
 #: Ids up to which a stage's decisions are broadcast; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Share of a document that may be in no learned language.
+MOST_UNLEARNED = 0.4
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -22,10 +24,15 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts to which no language can be given: null ones and those without a letter."""
+    """Drop texts to which no language can be given: null ones, those without a letter, those too much in no learned language.
+
+    Texts that mix learned languages stay. If no language was learned, every document stays.
+    """
     model = language_id.train(docs.where(F.pmod(crc_of_id(), F.lit(3)) != 1).select("doc_id", "text", "lang"))
+    if not model.langs:
+        return docs
     found = language_id.identify(docs, model)
-    return _without(docs, found.where(F.col("lang_pred") == language_id.UNKNOWN))
+    return _without(docs, found.where((F.col("lang_pred") == language_id.UNKNOWN) | (F.col("unlearned") > MOST_UNLEARNED)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 A model holds one multinomial over hashed character trigrams per language. For each document
 expectation-maximisation estimates the languages' proportions; the set of languages is the one of
-highest likelihood less a penalty per language, and the largest proportion names the document.
+highest likelihood less a penalty per language, and the largest proportion names the document. Beside the chosen
+languages a uniform model stands for all unlearned ones; the proportion it takes tells how much no language explains.
 """
 
 from __future__ import annotations
@@ -78,11 +79,15 @@ class Model:
 
     def mixture(self, text: str | None) -> list[tuple[str, float]]:
         """Languages and proportions, largest first; empty if the text is null, has no letter, or nothing is learned."""
+        return self.judged(text)[0]
+
+    def judged(self, text: str | None) -> tuple[list[tuple[str, float]], float]:
+        """The mixture, and the share of the text in no learned language, less two standard errors (0 without a mixture)."""
         if not text or not self.langs:
-            return []
+            return [], 0.0
         at, c = trigram_counts(text)
         if not len(at):
-            return []
+            return [], 0.0
         p, c = self.p[at], c.astype(np.float64)
         total = c.sum()
         pi = np.full(p.shape[1], 1 / p.shape[1])
@@ -103,7 +108,11 @@ class Model:
                 break
             best = (value, sub, q)
         _, sub, q = best
-        return sorted(((self.langs[i], float(x)) for i, x in zip(sub, q, strict=True)), key=lambda t: (-t[1], t[0]))
+        both = np.column_stack((p[:, sub] @ q, np.full(len(at), 1 / BUCKETS)))
+        share = float(self._em(both, c, total, np.full(2, 0.5), ROUNDS)[0][1])
+        unlearned = share - 2 * np.sqrt(max(0.0, share * (1 - share)) / total)
+        found = sorted(((self.langs[i], float(x)) for i, x in zip(sub, q, strict=True)), key=lambda t: (-t[1], t[0]))
+        return found, min(1.0, max(0.0, float(unlearned)))
 
     @staticmethod
     def _em(p, c, total, pi, rounds):
@@ -162,25 +171,28 @@ def train(labelled: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Model:
 
 
 def _predict(model):
-    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("mixture", pa.map_(pa.string(), pa.float64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("mixture", pa.map_(pa.string(), pa.float64())), ("unlearned", pa.float64())])
 
     def run(batches):
         m = model.get()
         for batch in batches:
-            found = [m.mixture(t) for t in column(batch, "text").to_pylist()]
+            judged = [m.judged(t) for t in column(batch, "text").to_pylist()]
+            found = [x for x, _ in judged]
             yield pa.record_batch(
-                [column(batch, "doc_id"), pa.array([x[0][0] if x else UNKNOWN for x in found]), pa.array([min(1.0, max(0.0, x[0][1])) if x else 0.0 for x in found]), pa.array(found, schema.field("mixture").type)], schema=schema
+                [column(batch, "doc_id"), pa.array([x[0][0] if x else UNKNOWN for x in found]), pa.array([min(1.0, max(0.0, x[0][1])) if x else 0.0 for x in found]), pa.array(found, schema.field("mixture").type), pa.array([u for _, u in judged], pa.float64())], schema=schema
             )
 
     return run
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score (its proportion), mixture (each chosen language's proportion) of every row of ``docs``.
+    """doc_id, lang_pred, score (its proportion), mixture (each chosen language's proportion), unlearned of every row of ``docs``.
+
+    ``unlearned`` is a lower bound of the share of the text that is in none of the learned languages.
 
     A null text, or one without a letter, is ``und`` with score 0 and an empty mixture; so is every text if nothing was
     learned. Equal texts get equal results; ties go to the smaller language name. Other columns are ignored.
     """
     shared = Shipped(docs.sparkSession, model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double, mixture map<string,double>")
+    return rows.mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double, mixture map<string,double>, unlearned double")

@@ -57,3 +57,17 @@ def test_pipeline_on_an_empty_table(spark, small, tmp_path):
     for t in ("documents", "benchmark"):
         spark.read.parquet(f"{small}/{t}.parquet").limit(0 if t == "documents" else 5).write.parquet(f"{tmp_path}/{t}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_language_stage_drops_unlearned_languages(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    by = {r["lang"]: r["text"] for r in docs.where("length(text) > 500 and doc_id % 2 = 0").orderBy("doc_id").collect()}
+    russian, polish = "Съешь же ещё этих мягких французских булок, да выпей чаю.", "Pchnąć w tę łódź jeża lub ośm skrzyń fig, mężny bądź."
+    texts = [russian, polish, "漢字の文章です", by["en"][:400] + " " + by["fr"][:400] + " " + by["de"][:400], by["es"] + " " + russian, by["de"], "12 34", None]
+    new = spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    both = docs.unionByName(new, allowMissingColumns=True)
+    out = {r["doc_id"] for r in corpus_pipeline.language(spark, both, small).select("doc_id").collect()}
+    assert {i - 10**6 for i in out if i >= 10**6} == {3, 4, 5}
+    assert {r["doc_id"] for r in docs.select("doc_id").collect()} <= out
+    unknown = both.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language(spark, unknown, small).count() == both.count()
