@@ -93,7 +93,7 @@ class Model:
         pi = np.full(p.shape[1], 1 / p.shape[1])
         pi, ll = self._em(p, c, total, pi, ROUNDS)
         order = np.lexsort((np.arange(len(pi)), -pi))
-        order = order[pi[order] > 0.5 / total]
+        order = np.concatenate((order[:1], order[1:][pi[order[1:]] > 0.5 / total]))  # the largest always stays
         best, cost = None, PENALTY * np.log(total + 1)
         for k in range(1, len(order) + 1):
             sub = order[:k]

@@ -277,6 +277,14 @@ def test_language_held_out(spark, small):
     assert language_id.identify(frame(spark, []), model).count() == 0
 
 
+def test_language_of_a_single_unseen_letter(spark):
+    model = language_id.Model(["a", "b", "c"], np.full((language_id.BUCKETS, 3), 1 / language_id.BUCKETS))
+    assert [x for x, _ in model.mixture("日")] == ["a"] and model.mixture("日")[0][1] == pytest.approx(1)
+    many = language_id.Model([f"l{i:02}" for i in range(40)], np.full((language_id.BUCKETS, 40), 1 / language_id.BUCKETS))
+    assert len(many.mixture("日本語")) == 1
+    assert rows(language_id.identify(frame(spark, ["日", None]), model), "lang_pred", "score") == {0: ("a", 1.0), 1: ("und", 0.0)}
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(8)
     bad, texts, labels = ["grimble", "snarfix"], [], []
