@@ -250,3 +250,16 @@ def test_stream_equals_batch(spark, small, tmp_path):
     got = {(r["event_type"], r["hour"]): r["n"] for r in spark.read.parquet(out).collect()}
     batch = {(r["event_type"], r["hour"]): r["n"] for r in windows.hourly(spark.read.parquet(f"{small}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))).collect()}
     assert got.items() <= batch.items() and sum(got.values()) > 0.9 * n  # the last hours are still open
+
+
+def test_overlap_counts_every_pair(spark):
+    import itertools
+
+    from tessera.plans import inference_queries
+
+    sets = {1: {1, 501}, 60: {1, 501, 2}, 61: {502}, 100: {502, 3}}
+    got = one(inference_queries.overlap(spark.createDataFrame([(s, p) for s, ps in sets.items() for p in ps] * 2, "s long, p long")))
+    js = [(len(a & b), len(a & b) / len(a | b)) for a, b in itertools.combinations(sets.values(), 2)]
+    assert got["n_pairs"] == 6 and got["max_shared"] == 2 and got["max_jaccard"] == pytest.approx(max(j for _, j in js), abs=1e-6)
+    assert got["mean_jaccard"] == pytest.approx(sum(j for _, j in js) / 6, abs=1e-6)
+    assert one(inference_queries.overlap(spark.createDataFrame([(1, 1)], "s long, p long")))["mean_jaccard"] is None
