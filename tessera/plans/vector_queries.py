@@ -77,6 +77,26 @@ def history_similarity(spark, d):
     return s.groupBy("vec_id").agg(F.round(F.max("sim"), 6).alias("sim_max"), F.round(F.avg("sim"), 6).alias("sim_mean"))
 
 
+#: Vectors of a label that one row of the history side holds.
+BLOCK = 256
+
+
+@query("q_history_similarity_all", """
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
+SELECT c.vec_id, round(max(list_dot_product(c.v, h.v)), 6) AS sim_max, round(avg(list_dot_product(c.v, h.v)), 6) AS sim_mean FROM e c JOIN e h ON h.label = c.label + 1 GROUP BY 1""")
+def history_similarity_all(spark, d):
+    """Like q_history_similarity, against every vector of the next label."""
+    e = _emb(spark, d)
+    block = F.floor(F.row_number().over(Window.partitionBy("label", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")) / BLOCK)
+    h = e.select((F.col("label") - 1).alias("label"), F.col("v").alias("hv"), F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part"), block.alias("block"))
+    blocks = h.groupBy("label", "part", "block").agg(F.collect_list("hv").alias("hs"))
+    # the mean of dot products is the dot product with the mean vector
+    mean = v.mean_vector(e.select((F.col("label") - 1).alias("label"), "v"), "v", "label")
+    top = e.join(blocks, "label").select("vec_id", F.array_max(F.transform("hs", lambda x: v.dot(F.col("v"), x))).alias("sim")).groupBy("vec_id").agg(F.max("sim").alias("sim"))
+    s = e.join(F.broadcast(mean), "label").select("vec_id", v.dot("v", "mean").alias("mean"))  # one row per label
+    return top.join(s, "vec_id").select("vec_id", F.round("sim", 6).alias("sim_max"), F.round("mean", 6).alias("sim_mean"))
+
+
 @query("q_consensus_gate", "SELECT p_brand, bool_and(p_retailprice >= p_size * 20) AS consensus_ok, count(*) AS n_arbiters FROM part GROUP BY 1")
 def consensus_gate(spark, d):
     return read(spark, d, "part").groupBy("p_brand").agg(F.bool_and(F.col("p_retailprice") >= F.col("p_size") * 20).alias("consensus_ok"), F.count("*").alias("n_arbiters"))

@@ -263,3 +263,12 @@ def test_overlap_counts_every_pair(spark):
     assert got["n_pairs"] == 6 and got["max_shared"] == 2 and got["max_jaccard"] == pytest.approx(max(j for _, j in js), abs=1e-6)
     assert got["mean_jaccard"] == pytest.approx(sum(j for _, j in js) / 6, abs=1e-6)
     assert one(inference_queries.overlap(spark.createDataFrame([(1, 1)], "s long, p long")))["mean_jaccard"] is None
+
+
+def test_history_takes_every_vector_of_the_next_label(spark, tmp_path):
+    from tessera.plans import catalogue
+
+    rows = [(1, 0, [1.0, 0.0]), (3, 1, [0.5, 1.0]), (7, 1, [2.0, 0.0]), (10, 1, [1.0, 0.0])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    (r,) = catalogue.queries()["q_history_similarity_all"](spark, str(tmp_path)).collect()
+    assert (r["vec_id"], r["sim_max"], r["sim_mean"]) == (1, 2.0, pytest.approx(3.5 / 3, abs=1e-6))
