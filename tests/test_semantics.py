@@ -272,3 +272,12 @@ def test_history_takes_every_vector_of_the_next_label(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     (r,) = catalogue.queries()["q_history_similarity_all"](spark, str(tmp_path)).collect()
     assert (r["vec_id"], r["sim_max"], r["sim_mean"]) == (1, 2.0, pytest.approx(3.5 / 3, abs=1e-6))
+
+
+def test_full_replicates_are_the_references(spark, small):
+    from tessera.plans import catalogue
+
+    (a, b) = catalogue.queries()["q_bootstrap_ci_full"](spark, small).collect()
+    assert a["n_used"] + a["n_dropped"] == b["n_used"] + b["n_dropped"] == 2000
+    p = one(catalogue.queries()["q_permutation_p_full"](spark, small))["p"]
+    assert p * 10000 == pytest.approx(round(p * 10000)) and "generate_series(0, 9999)" in catalogue.oracle_sql()["q_permutation_p_full"]
