@@ -111,6 +111,16 @@ def admitted_partition(spark, d):
     return c.where("c_custkey % 2 = 1").join(F.broadcast(tau), "c_mktsegment").select("c_custkey", (F.col("c_acctbal") >= F.col("tau")).alias("admitted"))
 
 
+@query("q_admitted_partition_all", """
+WITH t AS (SELECT c_mktsegment AS seg, quantile_cont(c_acctbal, 0.10) FILTER (c_nationkey < 12) AS tau FROM customer GROUP BY 1)
+SELECT c_custkey, c_nationkey < 12 AS grandfathered, c_nationkey < 12 OR c_acctbal >= tau AS admitted FROM customer JOIN t ON seg = c_mktsegment""")
+def admitted_partition_all(spark, d):
+    """Like q_admitted_partition, with a verdict on every customer; those of the calibrating nations are grandfathered."""
+    c = read(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", (F.col("c_nationkey") < 12).alias("grandfathered"))
+    tau = c.groupBy("c_mktsegment").agg(F.expr("percentile(c_acctbal, 0.10D) filter (where grandfathered)").alias("tau"))
+    return c.join(F.broadcast(tau), "c_mktsegment").select("c_custkey", "grandfathered", (F.col("grandfathered") | (F.col("c_acctbal") >= F.col("tau"))).alias("admitted"))
+
+
 @query("q_sign_partition_deltas", "SELECT delta, count(*) FILTER (c_acctbal > delta) AS kept, count(*) FILTER (NOT c_acctbal > delta) AS dropped FROM customer CROSS JOIN (SELECT CAST(unnest([0.0, 100.0, 1000.0, 5000.0]) AS DOUBLE) AS delta) GROUP BY 1")
 def sign_partition(spark, d):
     c = read(spark, d, "customer").select(F.explode(F.array(*[F.lit(x) for x in (0.0, 100.0, 1000.0, 5000.0)])).alias("delta"), "c_acctbal")

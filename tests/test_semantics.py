@@ -281,3 +281,12 @@ def test_full_replicates_are_the_references(spark, small):
     assert a["n_used"] + a["n_dropped"] == b["n_used"] + b["n_dropped"] == 2000
     p = one(catalogue.queries()["q_permutation_p_full"](spark, small))["p"]
     assert p * 10000 == pytest.approx(round(p * 10000)) and "generate_series(0, 9999)" in catalogue.oracle_sql()["q_permutation_p_full"]
+
+
+def test_partition_labels_every_customer(spark, small):
+    from tessera.plans import catalogue
+
+    got = catalogue.queries()["q_admitted_partition_all"](spark, small)
+    every = spark.read.parquet(f"{small}/customer.parquet")
+    assert {r["c_custkey"] for r in got.collect()} == {r["c_custkey"] for r in every.collect()}
+    assert got.where("grandfathered and not admitted").count() == 0 and got.where("not grandfathered").count() > 0
