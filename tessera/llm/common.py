@@ -38,15 +38,39 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tessera_checkpoints"
+        local = not found.partition("://")[1] or found.startswith("file:")
+        if local and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write to the shared folder, with the writer's ``options``, and read back: cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write to the shared folder, with the writer's ``options``, and read back: cuts lineage and survives lost executors.
+
+    The folder goes when the driver ends, or before that by ``discard``.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the folder of a frame that ``materialise`` returned and that nothing reads any more; other frames are left alone."""
+    path = getattr(df, "_written", None)
+    if path:
+        fs, at = _file_system(df.sparkSession, path)
+        fs.delete(at, True)
 
 
 def crc_of_id(col: str = "doc_id"):
@@ -99,6 +123,9 @@ def _hash_block(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nd
     at = np.flatnonzero(word)
     rel = at - np.repeat(starts, lens)
     terms = (data[at].astype(np.uint64) + np.uint64(1)) * powers[rel]
+    terms ^= terms >> np.uint64(32)  # not linear in the bytes: sums of plain powers coincide for some pairs of long words
+    terms *= _M1
+    terms ^= terms >> np.uint64(29)
     sums = np.add.reduceat(terms, np.concatenate(([0], np.cumsum(lens)[:-1])))
     return mix(sums ^ (lens.astype(np.uint64) * _GOLD)), starts, ends
 

@@ -21,23 +21,29 @@ from .common import Shipped, column, materialise
 
 CAPACITY = 2048
 END = 0
+#: Pieces of one length that a task numbers, about.
+RANKED = 1 << 18
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def load_bpe(path: str):
-    """The byte-level BPE of a tokenizers file on the tiktoken engine, which gives the same ids several times as fast."""
+    """The byte-level BPE of a tokenizers file on the tiktoken engine, which gives the same ids several times as fast.
+
+    Strings of added tokens become their ids, as the tokenizers library has it.
+    """
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        file = json.load(f)
+    vocab, added = file["model"]["vocab"], {t["content"]: t["id"] for t in file["added_tokens"]}
     # the printable stand-ins of byte-level BPE: bytes that print stand for themselves, the rest follow from 256
     own = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
     rest = [b for b in range(256) if b not in own]
     to_byte = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-    ranks = {bytes(to_byte[c] for c in t): i for t, i in vocab.items() if all(c in to_byte for c in t) and not (t.startswith("<|") and t.endswith("|>"))}
+    ranks = {bytes(to_byte[c] for c in t): i for t, i in vocab.items() if t not in added}
     import public_tokenizers
 
-    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def _cut(path: str, capacity: int):
@@ -49,7 +55,7 @@ def _cut(path: str, capacity: int):
         for batch in batches:
             rows = []
             for i, t in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist(), strict=True):
-                ids = np.concatenate((bpe.encode_to_numpy(t or "", disallowed_special=()).astype("<u4"), end))
+                ids = np.concatenate((bpe.encode_to_numpy(t or "", allowed_special="all").astype("<u4"), end))
                 first = (len(ids) - 1) % capacity + 1
                 lo, n = 0, 0
                 for hi in range(first, len(ids) + 1, capacity):
@@ -142,24 +148,22 @@ def _place(shared):
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A document is its token ids and then id 0; a null or empty text is the 0 alone. Only documents longer than
-    ``capacity`` are cut, into pieces of that length with the rest first. Special tokens' strings are ordinary text.
-    Sequences have no gaps. Equal texts make equal pieces in places of their own; rows that share an id are told apart
-    by their order in it only as far as their pieces differ. An empty table gives an empty table; other columns are ignored.
+    A document is its token ids and then id 0; a null or empty text is the 0 alone. Strings of the tokenizer's added
+    tokens are those tokens. Only documents longer than ``capacity`` are cut, into pieces of that length with the rest
+    first. Sequences have no gaps. Equal texts make equal pieces in places of their own. Rows that share an id, or have
+    none, are documents of their own; pieces of theirs that are equal in every column may change places. An empty table
+    gives an empty table; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     pieces = materialise(rows.mapInArrow(_cut(tokenizer_path, capacity), _PIECES), "pieces")
-    # ranks within a length, salted: a length that a third of all pieces have is numbered by many tasks
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
+    # ranks within a length, salted: a length that a third of all pieces have is numbered by as many tasks as it needs
+    salts = max(1, -(-max(counts.values(), default=0) // RANKED))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     per = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = per.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n"))  # at most capacity x SALTS rows
-    counts = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    before = per.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n"))
     slots = np.array(sorted(plan(counts, capacity)) or [(0, 0, 0, 0, 0)], np.int64)
-    ranked = salted.withColumn("own", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece")) - 1)
+    ranked = salted.withColumn("own", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")) - 1)
     placed = ranked.join(before.select("length", "salt", "before"), ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("own")).cast("long").alias("rank"))
     return placed.mapInArrow(_place(Shipped(spark, slots)), _PIECES + ", sequence_id long, offset long")
-
-
-#: Tasks among which the pieces of one length are numbered.
-SALTS = 64

@@ -158,8 +158,8 @@ def test_packing_equals_tokenizer(spark):
     from tokenizers import Tokenizer
 
     tk = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tk.encode_special_tokens = True
-    texts = [*TEXTS, "a <|endoftext|> b", "naïve 日本語 🙂\r\n  x", "x" * 5000]
+    assert tk.encode("hello <|endoftext|> world", add_special_tokens=False).ids == packing.load_bpe(P.path("byte_bpe_50k.json")).encode("hello <|endoftext|> world", allowed_special="all") == [31373, 220, 50256, 995]
+    texts = [*TEXTS, "a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|><|endoftext|>  y<|endoftext", "<|endoftext|> " * 3000, "naïve 日本語 🙂\r\n  x", "x" * 5000]
     out = packing.pack(frame(spark, texts), P.path("byte_bpe_50k.json")).collect()
     by, bins = collections.defaultdict(list), collections.defaultdict(list)
     for r in out:
@@ -183,6 +183,20 @@ def test_packing_equals_tokenizer(spark):
     assert packing.pack(frame(spark, []), P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_repeated_ids_and_many_salts(spark, monkeypatch):
+    import public_tokenizers as P
+
+    monkeypatch.setattr(packing, "RANKED", 3)
+    texts = ["a b c"] * 20 + [None] * 7 + ["x " * 5000] * 3
+    docs = frame(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 2))
+    out = packing.pack(docs, P.path("byte_bpe_50k.json")).collect()
+    spans = sorted((r["sequence_id"], r["offset"], r["length"]) for r in out)
+    assert len(out) == 27 + sum(r["length"] == 2048 or r["start"] == 0 for r in out if r["length"] > 100)
+    for (s, o, n), (s2, o2, _) in zip(spans, spans[1:], strict=False):
+        assert o2 == (o + n if s2 == s else 0)
+    assert sum(r["doc_id"] is None for r in out) >= 10
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_plan_is_valid_and_tight(seed):
     rng = np.random.default_rng(seed)
