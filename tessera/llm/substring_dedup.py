@@ -1,16 +1,17 @@
 """Substring dedup by level-wise doubling.
 
-Windows of half the length are looked at first; only where such a window occurs twice in the corpus
-are the windows of the full length built and compared. To ship few of them, the half-length level
-takes, for each full window, its smallest half-length window (a minimizer): equal full windows hold
-equal minimizers, so no repeat is lost and about one position in six is shipped. Each task settles
-repeats among its own rows and ships one row per distinct window, so a passage that a third of all
-documents share costs one row per task and not one per document.
+Windows of five words are looked at first; only where such a window occurs twice in the corpus are windows of
+twice that length built and compared, and so on up to the full length; a level without candidates hands the next one no
+rows. To ship few windows, a level below the last takes, for each full window that is still a candidate, its smallest
+window of the level's length (a minimizer): equal full windows hold equal minimizers, so no repeat is lost. The last level
+compares 128-bit BLAKE2 digests of the windows' words themselves. Each task settles repeats among its own rows and ships
+one row per distinct window, so a passage that a third of all documents share costs one row per task and not one per document.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -21,20 +22,31 @@ from pyspark.sql import functions as F
 from .common import column, joined_with, mix, partitions, slices, string_buffers, window_hashes, word_hashes
 
 WINDOW_WORDS = 20
+#: Words of the first level's windows.
+FIRST_WORDS = 5
 #: Records that a task gathers before it ships them.
 FLUSH = 1 << 20
+#: Bytes of text for each bucket, which bounds what a task holds.
+BUCKET_BYTES = 1 << 26
 
 
-def _anchors(h: np.ndarray, doc: np.ndarray, window: int):
-    """For each full window inside one document: its start, the place of its minimizer; and all half-length hashes."""
-    half = window // 2
-    low = window_hashes(h, half)
+def levels(window: int) -> list[int]:
+    """Window lengths: each twice the one before, the last one as asked."""
+    out = [window]
+    while out[0] > FIRST_WORDS:
+        out.insert(0, max(FIRST_WORDS, -(-out[0] // 2)))
+    return out
+
+
+def _anchors(h: np.ndarray, doc: np.ndarray, size: int, window: int):
+    """For each full window inside one document: its start, the place of its minimizer; and all hashes of ``size`` words."""
+    low = window_hashes(h, size)
     n = len(h) - window + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), low
     order = mix(low)
-    # sliding minimum over the window - half + 1 half-length windows of each full one, leftmost on ties
-    width, span = window - half + 1, 1
+    # sliding minimum over the window - size + 1 short windows of each full one, leftmost on ties
+    width, span = window - size + 1, 1
     best, at = order, np.arange(len(order))
     while span * 2 <= width:
         take = best[span:] < best[:-span]
@@ -49,6 +61,28 @@ def _anchors(h: np.ndarray, doc: np.ndarray, window: int):
     return start, at[start], low
 
 
+def _digests(data: np.ndarray, s: np.ndarray, e: np.ndarray, start: np.ndarray, window: int):
+    """128-bit digests of the windows that begin at words ``start``, as two columns: of their words' bytes, with one space between."""
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    lens = e - s + 1
+    ends = np.cumsum(lens)
+    joined = np.full(int(ends[-1]), 0x20, np.uint8)
+    begin = ends - lens
+    word = np.arange(int(ends[-1])) - np.repeat(begin, lens)
+    inside = word < np.repeat(lens - 1, lens)
+    joined[inside] = data[(word + np.repeat(s, lens))[inside]]
+    raw, b2 = joined.tobytes(), hashlib.blake2b
+    out = b"".join([b2(raw[a:b], digest_size=16).digest() for a, b in zip(begin[start].tolist(), (ends[start + window - 1] - 1).tolist(), strict=True)])
+    both = np.frombuffer(out, np.uint64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
+def _versions(piece) -> np.ndarray:
+    """What tells texts of one id apart, in the upper half of a place: the CRC-32 of the text."""
+    return np.array([zlib.crc32((t or "").encode("utf-8", "surrogatepass")) << 32 for t in column(piece, "text").to_pylist()], np.uint64)
+
+
 def _firsts(key: list[np.ndarray], doc: np.ndarray, pos: np.ndarray):
     """Order that sorts by key, document and place, and where in it each key begins."""
     order = np.lexsort((pos, doc, *reversed(key)))
@@ -59,6 +93,9 @@ def _firsts(key: list[np.ndarray], doc: np.ndarray, pos: np.ndarray):
             s = k[order]
             same &= s[1:] == s[:-1]
         new[1:] = ~same
+        d, p = doc[order], pos[order]
+        once = np.concatenate(([True], ~same | (d[1:] != d[:-1]) | (p[1:] != p[:-1])))  # rows equal in id and text are one document
+        order, new = order[once], new[once]
     return order, new
 
 
@@ -92,7 +129,7 @@ _MARKS_ARROW = pa.schema([("doc_id", pa.int64()), ("marks", pa.binary())])
 def _ship(parts: list[tuple], buckets: int, both: bool):
     """One task's records: one per distinct window to its bucket; what is settled here goes straight to its document.
 
-    both: at the half-length level every place of a window found twice is wanted, at the full length all but the first.
+    both: at the levels below the last every place of a window found twice is wanted, at the full length all but the first.
     """
     key, sub, doc, pos = (np.concatenate([p[i] for p in parts]) for i in range(4))
     order, new = _firsts([key, sub] if not both else [key], doc, pos)
@@ -108,10 +145,10 @@ def _ship(parts: list[tuple], buckets: int, both: bool):
         known_doc, known_pos = doc[local], pos[local]
     lead = order[new]
     rows = [[], [], [], [], []]
-    for b, k, u, d, p in _by_part((key[lead] % np.uint64(buckets)).astype(np.int64), buckets, key[lead], sub[lead], doc[lead], pos[lead].astype(np.uint32)):
+    for b, k, u, d, p in _by_part((key[lead] % np.uint64(buckets)).astype(np.int64), buckets, key[lead], sub[lead], doc[lead], pos[lead]):
         for r, v in zip(rows, (b, _bin(k), None if both else _bin(u), _bin(d), _bin(p)), strict=True):
             r.append(v)
-    for b, d, p in _by_part(_home(known_doc, buckets), buckets, known_doc, known_pos.astype(np.uint32)):
+    for b, d, p in _by_part(_home(known_doc, buckets), buckets, known_doc, known_pos):
         for r, v in zip(rows, (b, None, None, _bin(d), _bin(p)), strict=True):
             r.append(v)
     yield pa.record_batch([pa.array(r, f.type) for r, f in zip(rows, _SHIP_ARROW, strict=True)], schema=_SHIP_ARROW)
@@ -126,7 +163,7 @@ def _meet(batches, buckets: int, both: bool):
         if mine.num_rows:
             yield pa.record_batch([column(mine, "bucket"), column(mine, "doc"), column(mine, "pos")], schema=_PLACES_ARROW)
         rest = batch.filter(pc.invert(known))
-        for name, held, kind in (("key", keys, np.uint64), ("sub", subs, np.uint64), ("doc", docs, np.int64), ("pos", poss, np.uint32)):
+        for name, held, kind in (("key", keys, np.uint64), ("sub", subs, np.uint64), ("doc", docs, np.int64), ("pos", poss, np.uint64)):
             held += [np.frombuffer(x, kind) for x in column(rest, name).to_pylist() if x is not None]
     if not keys:
         return
@@ -149,7 +186,7 @@ def _gather(batches):
     docs, poss = [], []
     for batch in batches:
         docs += [np.frombuffer(x, np.int64) for x in column(batch, "doc").to_pylist()]
-        poss += [np.frombuffer(x, np.uint32) for x in column(batch, "pos").to_pylist()]
+        poss += [np.frombuffer(x, np.uint64) for x in column(batch, "pos").to_pylist()]
     if not docs:
         return
     doc, pos = np.concatenate(docs), np.concatenate(poss)
@@ -162,51 +199,46 @@ def _gather(batches):
         yield pa.record_batch([pa.array(doc[cut[lo:hi]]), pa.array([_bin(pos[a:b]) for a, b in zip(cut[lo:hi].tolist(), ends[lo:hi], strict=True)], pa.binary())], schema=_MARKS_ARROW)
 
 
-def _half_level(window: int, buckets: int):
-    def run(batches):
-        parts, n = [], 0
-        for batch in batches:
-            for piece in slices(batch, "text"):
-                data, offs = string_buffers(column(piece, "text"))
-                ids = column(piece, "doc_id").to_numpy()
-                h, doc, _, _ = word_hashes(data, offs)
-                _, at, low = _anchors(h, doc, window)
-                at = np.unique(at)
-                begin = np.searchsorted(doc, np.arange(len(ids)))
-                parts.append((low[at], low[at], ids[doc[at]], at - begin[doc[at]]))
-                n += len(at)
-                if n >= FLUSH:
-                    yield from _ship(parts, buckets, True)
-                    parts, n = [], 0
-        if n:
-            yield from _ship(parts, buckets, True)
+def _places(marks: bytes | None, version: np.uint64) -> np.ndarray:
+    """Word places of one text among the marks of its id."""
+    if not marks:
+        return np.zeros(0, np.int64)
+    p = np.frombuffer(marks, np.uint64)
+    return (p[p >> np.uint64(32) == version >> np.uint64(32)] & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
-    return run
 
+def _level(window: int, before: int, size: int, buckets: int):
+    """Records of one level; ``before`` is the length whose repeats are marked (0: the first level, every window is a candidate)."""
+    last = size == window
 
-def _full_level(window: int, buckets: int):
     def run(batches):
         parts, n = [], 0
         for batch in batches:
             for piece in slices(batch, "text"):
                 data, offs = string_buffers(column(piece, "text"))
-                ids = column(piece, "doc_id").to_numpy()
-                h, doc, _, _ = word_hashes(data, offs)
-                start, at, low = _anchors(h, doc, window)
+                ids, versions = column(piece, "doc_id").to_numpy(), _versions(piece)
+                h, doc, s, e = word_hashes(data, offs)
                 begin = np.searchsorted(doc, np.arange(len(ids)))
-                flag = np.zeros(len(h) + 1, bool)
-                for i, x in enumerate(column(piece, "marks").to_pylist()):
-                    flag[begin[i] + np.frombuffer(x, np.uint32).astype(np.int64)] = True
-                keep = flag[at]
-                start, at = start[keep], at[keep]
-                full = mix(low[:-(window // 2)][start] + mix(low[window - window // 2 :][start] ^ np.uint64(window))) if len(start) else np.zeros(0, np.uint64)
-                parts.append((low[at], full, ids[doc[start]], start - begin[doc[start]]))
-                n += len(start)
+                if before:
+                    start, at, _ = _anchors(h, doc, before, window)
+                    flag = np.zeros(len(h) + 1, bool)
+                    for i, x in enumerate(column(piece, "marks").to_pylist()):
+                        flag[begin[i] + _places(x, versions[i])] = True
+                    keep = flag[at]
+                if last:
+                    at = start[keep] if before else _anchors(h, doc, size, window)[0]
+                    key, sub = _digests(data, s, e, at, window)
+                else:
+                    _, at, low = _anchors(h, doc, size, window)
+                    at = np.unique(at[keep] if before else at)
+                    key = sub = low[at]
+                parts.append((key, sub, ids[doc[at]], (at - begin[doc[at]]).astype(np.uint64) | versions[doc[at]]))
+                n += len(at)
                 if n >= FLUSH:
-                    yield from _ship(parts, buckets, False)
+                    yield from _ship(parts, buckets, not last)
                     parts, n = [], 0
         if n:
-            yield from _ship(parts, buckets, False)
+            yield from _ship(parts, buckets, not last)
 
     return run
 
@@ -219,14 +251,14 @@ def _cover(window: int):
             for piece in slices(batch, "text"):
                 data, offs = string_buffers(column(piece, "text"))
                 _, doc, s, e = word_hashes(data, offs)
-                raw = data.tobytes()
+                raw, versions = data.tobytes(), _versions(piece)
                 begin = np.searchsorted(doc, np.arange(len(piece) + 1))
                 removed, kept = [], []
                 for i, x in enumerate(column(piece, "marks").to_pylist()):
                     a, b = int(begin[i]), int(begin[i + 1])
                     gone = np.zeros(b - a + 1, np.int32)
                     if x:
-                        p = np.frombuffer(x, np.uint32).astype(np.int64)
+                        p = _places(x, versions[i])
                         np.add.at(gone, p, 1)
                         np.add.at(gone, p + window, -1)
                     stay = a + np.flatnonzero(np.cumsum(gone)[:-1] == 0)
@@ -242,24 +274,29 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Per row of ``docs``: doc_id, n_words, n_removed, kept_text (kept words joined by one space). The first
     occurrence is the one of the smallest id, then the smallest start. Null or empty texts have no words and
-    keep none; texts shorter than the window keep all; an empty table gives an empty table. Ids are unique and not
-    null: rows with a null id are left out. Other columns of ``docs`` are ignored, whatever their names.
+    keep none; texts shorter than the window keep all; an empty table gives an empty table. Rows with a null id have no
+    place in the order: they keep all their words and repeat nothing. Rows that share an id are told apart by their texts, in
+    the order of the texts' CRC-32; rows equal in id and text are one document, whose result each of them gets. Other columns
+    of ``docs`` are ignored, whatever their names.
     """
-    if window < 2 or window % 2:
-        raise ValueError("window must be even: the last level doubles the one before")
+    if window < 1:
+        raise ValueError("a window holds at least one word")
     spark = docs.sparkSession
-    buckets = partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
+    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    n = partitions(spark)
+    size = every.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
+    buckets = n * max(1, -(-size // (n * BUCKET_BYTES)))
+    rows = every.where("doc_id is not null")
     at_home = rows.repartition(buckets, "doc_id")
-
-    def level(records: DataFrame, both: bool) -> DataFrame:
-        met = records.repartition(buckets, "bucket").mapInArrow(lambda it: _meet(it, buckets, both), _PLACES)
-        return met.repartition(buckets, "home").mapInArrow(_gather, _MARKS)
-
-    halves = level(rows.mapInArrow(_half_level(window, buckets), _SHIP), True)
-    fulls = level(joined_with(at_home, halves, "doc_id", "inner").select("doc_id", "text", "marks").mapInArrow(_full_level(window, buckets), _SHIP), False)
+    marks, before = None, 0
+    for size in levels(window):
+        texts = rows if marks is None else joined_with(at_home, marks, "doc_id", "inner").select("doc_id", "text", "marks")
+        records = texts.mapInArrow(_level(window, before, size, buckets), _SHIP)
+        met = records.repartition(buckets, "bucket").mapInArrow(lambda it, both=size < window: _meet(it, buckets, both), _PLACES)
+        marks, before = met.repartition(buckets, "home").mapInArrow(_gather, _MARKS), size
     run, schema = _cover(window)
-    return joined_with(at_home, fulls, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(run, schema)
+    unplaced = every.where("doc_id is null").withColumn("marks", F.lit(None).cast("binary"))
+    return joined_with(at_home, marks, "doc_id", "left").select("doc_id", "text", "marks").unionByName(unplaced).mapInArrow(run, schema)
 
 
 def digest(df: DataFrame) -> DataFrame:

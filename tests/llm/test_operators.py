@@ -52,6 +52,31 @@ def test_substring_dedup(spark):
     assert rows(substring_dedup.dedup_substrings(frame(spark, []))) == {}
 
 
+#: Words of 1024 letters whose polynomial hashes modulo a power of two are equal.
+THUE = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+MORSE = THUE.translate(str.maketrans("ab", "ba"))
+
+
+def test_substring_dedup_of_words_that_could_hash_alike(spark):
+    texts = [" ".join([*"abcdefghijklmnopqrs", THUE]), " ".join([*"abcdefghijklmnopqrs", MORSE]), " ".join([*"abcdefghijklmnopqrs", MORSE])]
+    out = rows(substring_dedup.digest(substring_dedup.dedup_substrings(frame(spark, texts))), "n_words", "n_removed", "kept_sha256")
+    assert out == substring_dedup.brute_force(list(enumerate(texts))) and [out[i][1] for i in range(3)] == [0, 0, 20]
+
+
+def test_substring_dedup_levels(spark, monkeypatch):
+    assert [substring_dedup.levels(w) for w in (20, 50, 7, 5, 3)] == [[5, 10, 20], [5, 7, 13, 25, 50], [5, 7], [5], [3]]
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 1000)
+    for window in (3, 7, 50):
+        out = rows(substring_dedup.digest(substring_dedup.dedup_substrings(frame(spark), window=window)), "n_words", "n_removed", "kept_sha256")
+        assert out == substring_dedup.brute_force(list(enumerate(TEXTS)), window)
+
+
+def test_substring_dedup_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, A), (1, A), (1, A), (2, A), (3, C + " x"), (3, C + " y"), (None, None)], "doc_id long, text string")
+    out = collections.Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring_dedup.dedup_substrings(docs).collect())
+    assert out == {(None, 60, 0): 1, (1, 60, 0): 2, (2, 60, 60): 1, (3, 31, 0): 1, (3, 31, 30): 1, (None, 0, 0): 1}
+
+
 def test_substring_dedup_random(spark):
     rng = np.random.default_rng(5)
     texts = [" ".join("ab"[x] for x in rng.integers(0, 2, int(rng.integers(0, 60)))) for _ in range(150)]
