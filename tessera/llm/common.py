@@ -24,7 +24,10 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _M1 = np.uint64(0xBF58476D1CE4E5B9)
 _M2 = np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0x5851F42D4C957F2D
+#: Two families of word hashes: powers' base and multiplier.
+_FAMILIES = ((0x5851F42D4C957F2D, np.uint64(0xBF58476D1CE4E5B9)), (0x9FB21C651E98DF25, np.uint64(0xD6E8FEB86659FD93)))
+#: Rows of one join key that one task takes at least, before the key counts as hot.
+HOT_ROWS = 512
 #: Bytes of text hashed in one go; bounds the temporary arrays.
 BLOCK_BYTES = 1 << 21
 
@@ -103,7 +106,7 @@ def string_buffers(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return d, o - o[0]
 
 
-def _hash_block(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hash_block(data: np.ndarray, breaks: np.ndarray, family: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes, starts and ends of bytes in which words also end at ``breaks``."""
     word = ~_IS_SPACE[data]
     first = word.copy()
@@ -119,18 +122,19 @@ def _hash_block(data: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.nd
         return np.zeros(0, np.uint64), starts, ends
     lens = ends - starts
     top = int(lens.max())
-    powers = np.cumprod(np.full(top, _BASE, dtype=np.uint64))
+    base, factor = _FAMILIES[family]
+    powers = np.cumprod(np.full(top, base, dtype=np.uint64))
     at = np.flatnonzero(word)
     rel = at - np.repeat(starts, lens)
     terms = (data[at].astype(np.uint64) + np.uint64(1)) * powers[rel]
     terms ^= terms >> np.uint64(32)  # not linear in the bytes: sums of plain powers coincide for some pairs of long words
-    terms *= _M1
+    terms *= factor
     terms ^= terms >> np.uint64(29)
     sums = np.add.reduceat(terms, np.concatenate(([0], np.cumsum(lens)[:-1])))
     return mix(sums ^ (lens.astype(np.uint64) * _GOLD)), starts, ends
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray, lower: bool = False):
+def word_hashes(data: np.ndarray, offs: np.ndarray, lower: bool = False, family: int = 0):
     """(hash, document index, start byte, end byte) of every word of the documents that ``offs`` delimits."""
     if lower:
         data = _LOWER[data]
@@ -147,7 +151,7 @@ def word_hashes(data: np.ndarray, offs: np.ndarray, lower: bool = False):
                 ahead = np.flatnonzero(_IS_SPACE[data[hi:nxt]])
                 hi = hi + int(ahead[0]) + 1 if len(ahead) else int(nxt)
         a, b = np.searchsorted(offs, [lo, hi])
-        h, s, e = _hash_block(data[lo:hi], offs[a : b + 1] - lo)
+        h, s, e = _hash_block(data[lo:hi], offs[a : b + 1] - lo, family)
         hs.append(h), ss.append(s + lo), es.append(e + lo)
         lo = hi
     if not hs:
@@ -182,8 +186,8 @@ def double_window(have: np.ndarray, size: int) -> np.ndarray:
     return mix(have[:-size] * _M1 + have[size:])
 
 
-def shingles(h: np.ndarray, doc: np.ndarray, n_docs: int, k: int = SHINGLE_WORDS):
-    """(hash, document index), ascending and distinct, of each document's shingles; a document of 1 to k - 1 words has one shingle, all its words."""
+def _shingled(h: np.ndarray, doc: np.ndarray, n_docs: int, k: int):
+    """Hashes and documents of all shingles, repeats included."""
     w = window_hashes(h, k)
     d = doc[: len(w)]
     inside = d == doc[k - 1 : k - 1 + len(w)]
@@ -198,11 +202,63 @@ def shingles(h: np.ndarray, doc: np.ndarray, n_docs: int, k: int = SHINGLE_WORDS
             extra.append(window_hashes(part, len(part))[0] ^ _GOLD)
         w = np.concatenate((w, np.array(extra, np.uint64)))
         d = np.concatenate((d, short))
+    return w, d
+
+
+def _distinct(w: np.ndarray, d: np.ndarray, *others: np.ndarray):
     order = np.lexsort((w, d))
     w, d = w[order], d[order]
     keep = np.ones(len(w), bool)
     keep[1:] = (w[1:] != w[:-1]) | (d[1:] != d[:-1])
-    return w[keep], d[keep]
+    return w[keep], d[keep], *(x[order][keep] for x in others)
+
+
+def shingles(h: np.ndarray, doc: np.ndarray, n_docs: int, k: int = SHINGLE_WORDS, other: np.ndarray | None = None):
+    """(hash, document index), ascending and distinct, of each document's shingles; a document of 1 to k - 1 words has one shingle, all its words.
+
+    ``other`` are the same words' hashes of another family; their shingles' hashes come third.
+    """
+    w, d = _shingled(h, doc, n_docs, k)
+    return _distinct(w, d) if other is None else _distinct(w, d, _shingled(other, doc, n_docs, k)[0])
+
+
+def exact_shingles(texts: list[bytes], k: int = SHINGLE_WORDS):
+    """(number, document index) of each text's shingles, ascending and distinct: equal numbers stand for equal words, without hashes.
+
+    ASCII letters are lower-cased; a text of 1 to k - 1 words has one shingle, all its words.
+    """
+    numbers: dict[bytes, int] = {}
+    words = [t.lower().split() for t in texts]  # splits at just the ASCII white space
+    for ws in words:
+        for w in ws:
+            numbers.setdefault(w, len(numbers))
+    sizes = np.array([len(ws) for ws in words], np.int64)
+    h = np.fromiter((numbers[w] for ws in words for w in ws), np.int64, int(sizes.sum()))
+    doc = np.repeat(np.arange(len(texts)), sizes)
+
+    def joined(a, b):
+        return np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1] if len(a) else a
+
+    n = max(0, len(h) - k + 1)
+    out, done, size, have, rest = None, 0, 1, h, k
+    while n:
+        if rest & 1:
+            part = have[done : done + n]
+            out = part if out is None else joined(out, part)
+            done += size
+        rest >>= 1
+        if not rest:
+            break
+        have, size = joined(have[: len(have) - size], have[size:]), size * 2
+    w = out if n else h[:0]
+    inside = doc[:n] == doc[k - 1 : k - 1 + n]
+    w, d = w[inside], doc[:n][inside]
+    short, seen = np.flatnonzero((sizes > 0) & (sizes < k)), {}
+    if len(short):
+        base = int(w.max()) + 1 if len(w) else 0
+        extra = [base + seen.setdefault(tuple(words[i]), len(seen)) for i in short.tolist()]
+        w, d = np.concatenate((w, np.array(extra, np.int64))), np.concatenate((d, short))
+    return _distinct(w, d)
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES):
@@ -243,11 +299,26 @@ def grouped(batches, keys: list[str]):
         yield held_key, pa.Table.from_batches(held)
 
 
-def joined_with(big: DataFrame, small: DataFrame, on: str | list[str], how: str) -> DataFrame:
+def joined_with(big: DataFrame, small: DataFrame, on, how: str) -> DataFrame:
     """A join that shuffles but never sorts the wide side; the narrow side is hashed per partition."""
     return big.join(small.hint("shuffle_hash"), on, how)
 
 
+def join_hot(rows: DataFrame, per_key: DataFrame, key: str, member: str, weight: str, total: int) -> DataFrame:
+    """``rows`` joined with the one row that ``per_key`` has for each ``key``, its ``weight`` being the key's number of rows.
+
+    Keys of more than a thousandth of the ``total`` rows are dealt to several tasks by a hash of ``member``; as there
+    are at most a thousand of those, they can be broadcast.
+    """
+    parts, least = partitions(rows.sparkSession), max(HOT_ROWS, total // 1000)
+    if total <= least:
+        return rows.join(per_key, key)
+    hot = per_key.where(F.col(weight) > least).select(key, F.lit(True).alias("_hot"))
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(member), F.lit(parts)).cast("int")).otherwise(0)).drop("_hot")
+    spread = F.when(F.col(weight) > least, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(per_key.withColumn("_salt", F.explode(spread)), [key, "_salt"]).drop("_salt")
+
+
 def return_memory() -> None:
     """From now on this worker gives arrays of over 1 MB back to the system once they are freed."""
     import ctypes
@@ -259,6 +330,18 @@ def return_memory() -> None:
         return
 
 
+def to_bytes(a: np.ndarray) -> bytes:
+    """Integers as planes of their bytes, compressed."""
+    planes = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return len(a).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
+
+
+def from_bytes(x: bytes) -> np.ndarray:
+    n = int.from_bytes(x[:8], "little")
+    planes = pa.decompress(x[8:], decompressed_size=8 * n, codec="zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8")[:, 0] if n else np.zeros(0, np.uint64)
+
+
 class Shipped:
     """A driver object of bounded size on the executors, classes of this package included."""
 

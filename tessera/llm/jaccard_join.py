@@ -3,7 +3,7 @@
 Documents with equal shingle sets are one class from the start. Bands of MinHash values bring classes together;
 within a band's bucket the values of two classes are compared a few at a time, and a pair is dropped as soon as
 the posterior probability that its similarity reaches the threshold falls below a tolerance. What is left links
-classes into groups; inside a group every pair is verified on whole shingle sets. Pairs are compared inside
+classes into groups; inside a group every pair is verified on whole shingle sets of the words themselves. Pairs are compared inside
 tasks and never become rows: tasks return spanning links and counts. Buckets and groups above ``BLOCK`` members
 are dealt out as pairs of blocks.
 """
@@ -17,17 +17,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, SIMILARITY, column, grouped, joined_with, materialise, mix, partitions, shingles, slices, string_buffers, word_hashes
+from .common import SHINGLE_WORDS, SIMILARITY, column, exact_shingles, grouped, join_hot, joined_with, materialise, mix, partitions, shingles, slices, string_buffers, word_hashes
 from .components import components
 
-BANDS, ROWS, STEP = 24, 4, 16
+#: MinHash values of a document, and how many are compared before a pair is judged again.
+VALUES, STEP = 96, 16
+#: Chance that a pair at the threshold shares no band.
+MISSED = 1e-5
 #: Posterior probability of reaching the threshold under which a pair is dropped.
 TOLERANCE = 1e-6
 #: Members of a bucket or group that one task compares with each other.
 BLOCK = 512
 
 
-def pruning_table(threshold: float = SIMILARITY, tolerance: float = TOLERANCE, n: int = BANDS * ROWS, step: int = STEP) -> dict[int, int]:
+def band_rows(threshold: float = SIMILARITY) -> int:
+    """Values a band, as many as keep the chance that a pair at the threshold shares no band below ``MISSED``: 24 bands of 4 at 0.8."""
+    for rows in (8, 6, 4, 3, 2, 1):
+        if (1 - threshold**rows) ** (VALUES // rows) <= MISSED:
+            return rows
+    raise ValueError(f"{VALUES} values cannot find pairs of similarity {threshold}")
+
+
+def pruning_table(threshold: float = SIMILARITY, tolerance: float = TOLERANCE, n: int = VALUES, step: int = STEP) -> dict[int, int]:
     """Least matches among the first m values, m = step, 2 step ..., that keep a pair.
 
     With a uniform prior the similarity after k matches of m is Beta(k + 1, m - k + 1); its upper tail at the
@@ -50,11 +61,11 @@ def _constants(n: int):
     return rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
 
 
-_SKETCH = pa.schema([("doc_id", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary())])
+_SKETCH = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary())])
 
 
 def _sketches(k: int):
-    mul, add = _constants(BANDS * ROWS)
+    mul, add = _constants(VALUES)
 
     def run(batches):
         for batch in batches:
@@ -62,39 +73,44 @@ def _sketches(k: int):
                 data, offs = string_buffers(column(piece, "text"))
                 n = len(piece)
                 h, doc, _, _ = word_hashes(data, offs, lower=True)
-                w, d = shingles(h, doc, n, k)
+                w, d, other = shingles(h, doc, n, k, word_hashes(data, offs, lower=True, family=1)[0])
                 begin = np.searchsorted(d, np.arange(n + 1))
                 size = np.diff(begin)
                 some = np.flatnonzero(size)
                 a, b = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-                sk = np.zeros((n, BANDS * ROWS), np.uint32)
+                sk = np.zeros((n, VALUES), np.uint32)
                 if len(some):
                     at = begin[:-1][some]
                     a[some] = np.add.reduceat(mix(w), at)
-                    b[some] = np.add.reduceat(mix(w ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)
-                    for i in range(BANDS * ROWS):
+                    b[some] = np.add.reduceat(mix(other), at)
+                    for i in range(VALUES):
                         sk[some, i] = np.minimum.reduceat(((w ^ add[i]) * mul[i]) >> np.uint64(32), at).astype(np.uint32)
                 yield pa.record_batch(
-                    [column(piece, "doc_id"), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(size), pa.array([sk[i].tobytes() if size[i] else None for i in range(n)], pa.binary())], schema=_SKETCH
+                    [column(piece, "doc_id"), column(piece, "text_hash"), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(size), pa.array([sk[i].tobytes() if size[i] else None for i in range(n)], pa.binary())], schema=_SKETCH
                 )
 
     return run
 
 
-def _bands(batches):
+def _bands(per_band: int):
     schema = pa.schema([("key", pa.int64()), ("rep", pa.int64())])
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sk = np.frombuffer(b"".join(column(batch, "sketch").to_pylist()), np.uint32).reshape(batch.num_rows, BANDS * ROWS)
-        rep = column(batch, "rep").to_numpy()
-        keys = []
-        for b in range(BANDS):
-            h = np.full(len(sk), b + 1, np.uint64)
-            for r in range(ROWS):
-                h = mix(h * np.uint64(0x100000001B3) + sk[:, b * ROWS + r])
-            keys.append(h)
-        yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(rep, BANDS))], schema=schema)
+    bands = VALUES // per_band
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sk = np.frombuffer(b"".join(column(batch, "sketch").to_pylist()), np.uint32).reshape(batch.num_rows, VALUES)
+            rep = column(batch, "rep").to_numpy()
+            keys = []
+            for b in range(bands):
+                h = np.full(len(sk), b + 1, np.uint64)
+                for r in range(per_band):
+                    h = mix(h * np.uint64(0x100000001B3) + sk[:, b * per_band + r])
+                keys.append(h)
+            yield pa.record_batch([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(rep, bands))], schema=schema)
+
+    return run
 
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -137,7 +153,7 @@ def _bayes(least: dict[int, int]):
             if rows.num_rows < 2:
                 continue
             rep = rows.column("rep").to_numpy()
-            sk = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint32).reshape(len(rep), BANDS * ROWS)
+            sk = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint32).reshape(len(rep), VALUES)
             i, j = _pairs(rows.column("side").to_numpy())
             kept = []
             for lo in range(0, len(i), 1 << 17):  # bounds the temporary arrays
@@ -164,9 +180,9 @@ def _bayes(least: dict[int, int]):
     return run
 
 
-def _dealt(rows: DataFrame, key: str, member: str, sizes: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, key: str, member: str, sizes: DataFrame, total: int) -> DataFrame:
     """Rows of (key, member) with the pairs of blocks (x, y) that each takes part in; side 2: the block with itself."""
-    with_size = rows.join(sizes, key)
+    with_size = join_hot(rows, sizes, key, member, "members", total)
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64(member), blocks).cast("int")
     other = with_size.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
@@ -184,14 +200,13 @@ _FOUND = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("texts", pa.int64()),
 def _verify(k: int, threshold: float):
     def run(batches):
         for _, rows in grouped(batches, ["grp", "x", "y"]):
-            n = rows.num_rows
-            if n < 2:
+            rep = rows.column("rep").to_numpy()
+            if len(rep) < 2:
                 continue
+            once = np.sort(np.unique(rep, return_index=True)[1])  # repeated rows of an id come once
+            rows, n = rows.take(once), len(once)
             rep, copies, side = (rows.column(c).to_numpy() for c in ("rep", "copies", "side"))
-            hs, ds = [], []
-            data, offs = string_buffers(rows.column("text"))
-            h, doc, _, _ = word_hashes(data, offs, lower=True)
-            w, d = shingles(h, doc, n, k)
+            w, d = exact_shingles([t.encode("utf-8", "surrogatepass") for t in rows.column("text").to_pylist()], k)
             size = np.bincount(d, minlength=n)
             order = np.argsort(w, kind="stable")
             w, d = w[order], d[order]
@@ -207,7 +222,6 @@ def _verify(k: int, threshold: float):
                 hit = np.zeros((n, width), np.float32)
                 hit[who[lo:hi], col[lo:hi] - c * width] = 1
                 both += hit @ hit.T
-            del hs, ds
             inter = both.astype(np.float64)
             union = size[:, None] + size[None, :] - inter
             linked = inter / np.maximum(union, 1) >= threshold
@@ -234,26 +248,30 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     is at least ``threshold``. class_id is the smallest id of the documents that links join, copy_id the smallest
     id with an equal set; n_links counts the linked documents, copies included, n_text_links the linked sets that differ.
     A text of 1 to words - 1 words has one shingle, all its words; null, empty and blank texts have none and no links,
-    not even to each other. Ids are unique; rows with a null id are left out. Other columns are ignored, whatever their
-    names. An empty table gives an empty table.
+    not even to each other. Repeated rows count as copies of each other; different texts under one id that lends its name to
+    their sets share their class and counts. Rows with a null id come back with null class_id and copy_id and link
+    nothing. Other columns are ignored, whatever their names. An empty table gives an empty table.
     """
     spark = docs.sparkSession
-    n = partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
-    made = materialise(rows.mapInArrow(_sketches(words), "doc_id long, set_a long, set_b long, size long, sketch binary"), "sketches")
+    n, per_band = partitions(spark), band_rows(threshold)
+    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = every.where("doc_id is not null").withColumn("text_hash", F.xxhash64("text"))
+    made = materialise(rows.mapInArrow(_sketches(words), "doc_id long, text_hash long, set_a long, set_b long, size long, sketch binary"), "sketches")
     sets = materialise(
-        made.where("size > 0").groupBy("set_a", "set_b", "size").agg(F.min(F.struct("doc_id", "sketch")).alias("m"), F.count("*").alias("copies")).select("set_a", "set_b", "size", F.col("m.doc_id").alias("rep"), "m.sketch", "copies"), "sets"
-    )
+        made.where("size > 0").groupBy("set_a", "set_b", "size").agg(F.min(F.struct("doc_id", "text_hash", "sketch")).alias("m"), F.count("*").alias("copies"))
+        .select("set_a", "set_b", "size", F.col("m.doc_id").alias("rep"), "m.text_hash", "m.sketch", "copies"), "sets"
+    )
 
-    bands = sets.select("rep", "sketch").mapInArrow(_bands, "key long, rep long")
+    n_sets = sets.count()
+    bands = sets.select("rep", "sketch").mapInArrow(_bands(per_band), "key long, rep long")
     met = bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    candidates = _dealt(bands, "key", "rep", met).join(sets.select("rep", "sketch"), "rep")
+    candidates = _dealt(bands, "key", "rep", met, n_sets * (VALUES // per_band)).join(sets.select("rep", "sketch"), "rep")
     run = _bayes(pruning_table(threshold))
     likely = candidates.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y").select("key", "x", "y", "side", "rep", "sketch").mapInArrow(run, "a long, b long")
     groups = materialise(components(likely).select(F.col("node").alias("rep"), F.col("component").alias("grp")), "groups")
 
-    members = _dealt(groups, "grp", "rep", groups.groupBy("grp").agg(F.count("*").alias("members"))).join(sets.select("rep", "copies"), "rep")
-    texts = joined_with(rows.withColumnRenamed("doc_id", "rep"), members, "rep", "inner")
+    members = _dealt(groups, "grp", "rep", groups.groupBy("grp").agg(F.count("*").alias("members")), groups.count()).join(sets.select("rep", "text_hash", "copies"), "rep")
+    texts = joined_with(rows.withColumnRenamed("doc_id", "rep"), members, ["rep", "text_hash"], "inner")
     checked = texts.repartition(n, "grp", "x", "y").sortWithinPartitions("grp", "x", "y").select("grp", "x", "y", "side", "rep", "copies", "text").mapInArrow(_verify(words, threshold), "a long, b long, texts long, docs long")
     checked = materialise(checked, "links")
     counts = checked.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
@@ -261,13 +279,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     per_set = sets.select("set_a", "set_b", "size", "rep", "copies").join(counts, "rep", "left").join(classes, "rep", "left")
     own = made.select("doc_id", "set_a", "set_b", "size").join(per_set, ["set_a", "set_b", "size"], "left")
-    return own.select(
+    found = own.select(
         "doc_id",
         F.coalesce("class_id", "rep", "doc_id").alias("class_id"),
         F.coalesce("rep", "doc_id").alias("copy_id"),
         (F.coalesce("docs", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).cast("long").alias("n_links"),
         F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"),
     )
+    unnamed = every.where("doc_id is null").select("doc_id", *[F.lit(None).cast("long").alias(c) for c in ("class_id", "copy_id")], *[F.lit(0).cast("long").alias(c) for c in ("n_links", "n_text_links")])
+    return found.unionByName(unnamed)
 
 
 def brute_force(docs, threshold: float = SIMILARITY, words: int = SHINGLE_WORDS) -> dict[int, tuple[int, int]]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, grouped, joined_with, materialise, mix, partitions, return_memory, slices, string_buffers, word_hashes
+from .common import column, from_bytes, grouped, joined_with, materialise, mix, partitions, return_memory, slices, string_buffers, to_bytes, word_hashes
 
 #: Weight of the bigram estimate, and the additive constant of the unigram one.
 LAMBDA, ADD = 0.7, 0.5
@@ -48,18 +48,6 @@ def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(shards)) >> np.uint64(32)
 
 
-def _ints(a: np.ndarray) -> bytes:
-    """Integers as planes of their bytes, compressed."""
-    planes = np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-    return len(a).to_bytes(8, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
-
-
-def _from_ints(x: bytes) -> np.ndarray:
-    n = int.from_bytes(x[:8], "little")
-    planes = pa.decompress(x[8:], decompressed_size=8 * n, codec="zstd", asbytes=True) if n else b""
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8")[:, 0] if n else np.zeros(0, np.uint64)
-
-
 def _together(*parts: bytes) -> bytes:
     return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
 
@@ -134,13 +122,13 @@ def _chunks(shards: int):
         del inv, order, number
         grams = _Grams(vocab, places, sizes)
         counts = grams.counts(target)
-        body = _together(_ints(ids.fill_null(0).to_numpy().view(np.uint64)), _ints(ids.is_null().to_numpy(zero_copy_only=False)), _ints(sizes), vocab.tobytes(), _ints(places))
+        body = _together(to_bytes(ids.fill_null(0).to_numpy().view(np.uint64)), to_bytes(ids.is_null().to_numpy(zero_copy_only=False)), to_bytes(sizes), vocab.tobytes(), to_bytes(places))
         shard = _shard(grams.keys, shards).astype(np.int64)
         cuts = np.flatnonzero(np.diff(shard, prepend=-1)).tolist() + [len(shard)]
         name, part = uuid.uuid4().hex, TaskContext.get().partitionId()
         rows = [(name, part, -1, int(target.sum()), int((~target).sum()), body)]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            rows.append((name, part, int(shard[a]), 0, 0, _together(_ints(np.diff(grams.keys[a:b], prepend=np.uint64(0))), *(_ints(c[a:b]) for c in counts))))
+            rows.append((name, part, int(shard[a]), 0, 0, _together(to_bytes(np.diff(grams.keys[a:b], prepend=np.uint64(0))), *(to_bytes(c[a:b]) for c in counts))))
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _CHUNKS, strict=True)], schema=_CHUNKS)
 
     def run(batches):
@@ -165,7 +153,7 @@ _ANSWERS_SQL = "chunk string, part int, shard int, words long, body binary"
 
 
 def _keys(body: bytes) -> np.ndarray:
-    return np.cumsum(_from_ints(_apart(body)[0]))
+    return np.cumsum(from_bytes(_apart(body)[0]))
 
 
 def _add_up(own: bool):
@@ -175,12 +163,12 @@ def _add_up(own: bool):
     """
 
     def answer(row, at, counts):
-        return pa.record_batch([[row[0]], [row[1]], [row[2]], [0], [_together(*(_ints(c[at]) for c in counts))]], schema=_ANSWERS)
+        return pa.record_batch([[row[0]], [row[1]], [row[2]], [0], [_together(*(to_bytes(c[at]) for c in counts))]], schema=_ANSWERS)
 
     def summed(held):
         keys = [_keys(x[3]) for x in held]
         u, inv = np.unique(np.concatenate(keys), return_inverse=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        counts = [np.bincount(inv, weights=np.concatenate([_from_ints(_apart(x[3])[m]) for x in held]), minlength=len(u)).astype(np.int64) if held else np.zeros(0, np.int64) for m in (1, 2)]
+        counts = [np.bincount(inv, weights=np.concatenate([from_bytes(_apart(x[3])[m]) for x in held]), minlength=len(u)).astype(np.int64) if held else np.zeros(0, np.int64) for m in (1, 2)]
         return u, inv, [np.append(c, 0) for c in counts], np.cumsum([0, *map(len, keys)])
 
     def run(batches):
@@ -227,14 +215,14 @@ def _scores(tokens: tuple[int, int], vocabulary: int):
         return_memory()
         for _, rows in grouped(batches, ["chunk"]):
             first, *answers = (_apart(x.as_py()) for x in rows.column("body"))
-            ids = pa.array(_from_ints(first[0]).view(np.int64), mask=_from_ints(first[1]).astype(bool))
-            sizes, vocab, places = _from_ints(first[2]).astype(np.int64), np.frombuffer(first[3], np.uint64), _from_ints(first[4]).astype(np.int64)
+            ids = pa.array(from_bytes(first[0]).view(np.int64), mask=from_bytes(first[1]).astype(bool))
+            sizes, vocab, places = from_bytes(first[2]).astype(np.int64), np.frombuffer(first[3], np.uint64), from_bytes(first[4]).astype(np.int64)
             grams, n = _Grams(vocab, places, sizes), len(sizes)
             del first, places, rows
             doc = np.repeat(np.arange(n), sizes)
             means = []
             for m in (0, 1):
-                counts = np.concatenate([_from_ints(x[m]) for x in answers]).astype(np.float64) if answers else np.zeros(0)
+                counts = np.concatenate([from_bytes(x[m]) for x in answers]).astype(np.float64) if answers else np.zeros(0)
                 means.append(np.bincount(doc, weights=grams.losses(counts, tokens[m], vocabulary), minlength=n) / np.maximum(sizes, 1))
             none = sizes == 0
             yield pa.record_batch([ids, pa.array(sizes), *(pa.array(x, mask=none) for x in (*means, means[0] - means[1]))], schema=_SCORES)

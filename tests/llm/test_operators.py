@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import components, decontaminate, html_text, jaccard_join, language_id, lm_score, packing, secret_scan, substring_dedup, topk_search, toxicity
+from tessera.llm import common, components, decontaminate, html_text, jaccard_join, language_id, lm_score, packing, secret_scan, substring_dedup, topk_search, toxicity
 from tessera.llm.common import shingles, window_hashes, word_hashes
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
@@ -107,11 +107,50 @@ def test_jaccard_blocks(spark, monkeypatch):
     assert out == jaccard_join.brute_force(list(enumerate(texts)))
 
 
+def test_jaccard_of_words_that_could_hash_alike(spark):
+    texts = [f"x {THUE} y z", f"x {MORSE} y z", f"x {MORSE} y z", THUE, MORSE]
+    out = rows(jaccard_join.jaccard_classes(frame(spark, texts)), "class_id", "n_links")
+    assert out == jaccard_join.brute_force(list(enumerate(texts))) == {0: (0, 0), 1: (1, 1), 2: (1, 1), 3: (3, 0), 4: (4, 0)}
+
+
+def test_jaccard_null_and_repeated_ids(spark):
+    docs = spark.createDataFrame([(None, A), (1, A), (1, A), (2, A), (3, B), (3, C), (None, None), (4, None)], "doc_id long, text string")
+    out = collections.Counter(tuple(r) for r in jaccard_join.jaccard_classes(docs).collect())
+    assert out == {(None, None, None, 0, 0): 2, (1, 1, 1, 2, 0): 2, (2, 1, 1, 2, 0): 1, (3, 3, 3, 0, 0): 2, (4, 4, 4, 0, 0): 1}
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.9])
+def test_jaccard_other_thresholds(spark, threshold, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    base = prose(13, 60).split()
+    texts = [" ".join(base[:i] + ["new"] + base[i + 1 + i % 9 :]) for i in range(30)] + TEXTS
+    out = rows(jaccard_join.jaccard_classes(frame(spark, texts), threshold=threshold), "class_id", "n_links")
+    assert out == jaccard_join.brute_force(list(enumerate(texts)), threshold)
+    assert jaccard_join.band_rows(0.8) == 4
+    with pytest.raises(ValueError):
+        jaccard_join.band_rows(0.05)
+
+
+def test_exact_shingles():
+    texts = [b"a b c d e f", b"A b  c d e", b"a b c", b"c", b"a b c", b"", b"f e d c b a f e d c b a"]
+    w, d = common.exact_shingles(texts)
+    got = {i: frozenset(w[d == i].tolist()) for i in range(len(texts))}
+    assert [len(got[i]) for i in range(7)] == [2, 1, 1, 1, 1, 0, 6]
+    assert got[1] < got[0] and got[2] == got[4] != got[3] and not got[6] & got[0]
+
+
 def test_pruning_keeps_what_can_reach_the_threshold():
     t = jaccard_join.pruning_table()
     assert list(t) == [16, 32, 48, 64, 80, 96] and all(k < 0.8 * m for m, k in t.items())
 
 
+def test_components_of_hubs(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    edges = [(1, i) for i in range(2, 200)] + [(i, i + 300) for i in range(2, 100)] + [(1000, 1001 + i) for i in range(50)]
+    got = rows(components.components(spark.createDataFrame(edges, "a long, b long")), "component")
+    assert got == {v: (1 if v < 1000 else 1000,) for e in edges for v in e}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 200), (300, 200), (7, 7)], "a long, b long")
     got = rows(components.components(edges), "component")
@@ -166,18 +205,45 @@ def test_secrets(spark):
     for i, t in enumerate(SECRETS):
         assert out[i][0] == hashlib.sha256(plain_secrets(t).encode()).hexdigest(), (t, out[i])
     assert "jwt:0:" in out[10][1]
-    assert ledger.select("blob").distinct().count() == len({t or "" for t in SECRETS})
+    assert ledger.count() == ledger.select("blob").distinct().count() == len({t or "" for t in SECRETS})
     again, after = secret_scan.scan(frame(spark, [*SECRETS, "new token=abcdefg"]), ledger)
-    assert after.count() == ledger.count() + len(secret_scan.RULES)  # only the new blob was scanned
+    assert after.count() == ledger.count() + 1  # only the new blob was scanned
     assert {k: v for k, v in rows(secret_scan.digest(again), "base_sha256", "spans", "n_assign").items() if k < len(SECRETS)} == out
     newer = tuple(secret_scan.Rule(r.kind, r.version + (r.kind == "hex"), r.pattern, r.needs, r.least, r.group) for r in secret_scan.RULES)
     _, third = secret_scan.scan(frame(spark, SECRETS), ledger, newer)
-    assert third.count() == ledger.count() + ledger.select("blob").distinct().count()  # a new version of one rule
+    assert third.count() == 2 * ledger.count()  # a new version of one rule, scanned with that alone
+    assert third.select(F.explode("scanned").alias("x")).groupBy("x.rule", "x.rule_version").count().where("rule = 'hex'").count() == 2
+    assert third.select(F.explode("scanned")).count() == ledger.count() * (len(secret_scan.RULES) + 1)
+    assert secret_scan.scan(frame(spark, SECRETS), third, newer)[1].count() == third.count()  # nothing is left to scan
     assert secret_scan.scan(frame(spark, []))[0].count() == 0
     red = findings.join(frame(spark, SECRETS).select("doc_id", "text"), "doc_id").where("found is not null").select("doc_id", secret_scan.redact(F.col("text"), F.col("found")))
     assert rows(red, 1)[5] == ("é€𝄞 token=é [SECRET]𝄞",)
 
 
+def test_secrets_of_null_and_repeated_ids(spark, monkeypatch):
+    texts = [(None, "x token=abcdef"), (None, "password: hunter22"), (1, "x token=abcdef"), (1, "x token=abcdef"), (1, "clean"), (2, None), (None, "clean")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = collections.Counter((i, plain_secrets(t)) for i, t in texts)
+    for limit in (1 << 18, 1):
+        monkeypatch.setattr(secret_scan, "PATHS", limit)
+        findings, ledger = secret_scan.scan(docs)
+        assert collections.Counter((r["doc_id"], r["spans"]) for r in secret_scan.digest(findings).collect()) == want
+        assert ledger.count() == 4
+
+
+def test_secrets_of_long_runs(spark):
+    """Long runs that look like the start of a token take time in proportion to their length."""
+    import time
+
+    jwt = "eyJhbGciOiJI.eyJzdWIiOiIx.abcdefgh12"
+    texts = ["eyJ" * 300_000 + " .eyJ", "a" + jwt, "-" + jwt, "x " + jwt + " " + jwt + "_" + jwt]
+    start = time.perf_counter()
+    out = rows(secret_scan.digest(secret_scan.scan(frame(spark, texts))[0]), "spans")
+    assert time.perf_counter() - start < 60
+    n = len(jwt)
+    assert [out[i][0] for i in range(4)] == ["", "", "", f"jwt:2:{2 + n},jwt:{3 + n}:{4 + 2 * n + jwt.index('.')}"]
+
+
 def test_packing_equals_tokenizer(spark):
     import public_tokenizers as P
     from tokenizers import Tokenizer
