@@ -112,7 +112,8 @@ def _secret_sql() -> str:
     for i, r in enumerate(secret_scan.RULES):
         pattern = r.pattern.replace("'", "''")
         parts.append(
-            f"SELECT doc_id, {i} AS place, '{r.kind}' AS kind, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {r.group}) AS g, string_split_regex(t, '{pattern}') AS p, {r.least} AS least FROM d"
+            f"SELECT doc_id, {i} AS place, '{r.kind}' AS kind, regexp_extract_all(t, '{pattern}', 0) AS m, regexp_extract_all(t, '{pattern}', {r.group}) AS g, "
+            f"{f"regexp_extract_all(t, '{pattern}', {r.lead})" if r.lead else 'CAST([] AS VARCHAR[])'} AS ld, string_split_regex(t, '{pattern}') AS p, {r.least} AS least FROM d"
         )
     kinds = ", ".join(f"'{k}'" for k in sorted(base))
     counts = ", ".join(f"CAST(count(*) FILTER (kind = '{r.kind}') AS BIGINT) AS n_{r.kind}" for r in secret_scan.BASE)
@@ -121,9 +122,9 @@ def _secret_sql() -> str:
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 r AS ({" UNION ALL ".join(parts)}),
 i AS (SELECT *, unnest(generate_series(1, len(m))) AS i FROM r WHERE len(m) > 0),
-s AS (SELECT doc_id, place, kind, length(m[i]) AS l, length(g[i]) AS gl, least,
+s AS (SELECT doc_id, place, kind, length(m[i]) AS l, length(g[i]) AS gl, coalesce(length(ld[i]), 0) AS skip, least,
   list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS start FROM i),
-f AS (SELECT doc_id, place, kind, CAST(start AS BIGINT) AS start, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(start + l AS BIGINT) AS span FROM s WHERE gl >= least),
+f AS (SELECT doc_id, place, kind, CAST(start + skip AS BIGINT) AS start, kind || ':' || CAST(start + skip AS BIGINT) || ':' || CAST(start + l AS BIGINT) AS span FROM s WHERE gl >= least),
 a AS (SELECT doc_id, {counts}, string_agg(span, ',' ORDER BY start, place) AS spans, string_agg(span, ',' ORDER BY start, place) FILTER (kind IN ({kinds})) AS base FROM f GROUP BY doc_id)
 SELECT d.doc_id, {zero}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a ON a.doc_id = d.doc_id
 """
