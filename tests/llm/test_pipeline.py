@@ -51,6 +51,51 @@ def test_stages_against_plain_versions(spark, small):
     assert four.count() == three.count()
     packed = stage["packing"](spark, four, small)
     assert packed.select("doc_id").distinct().count() == four.count()
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(corpus_pipeline.public_tokenizers.path("byte_bpe_50k.json"))
+    lengths = {r["doc_id"]: len(tk.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in four.collect()}
+    sums = {r["doc_id"]: r["n"] for r in packed.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
+    assert sums == lengths
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("top")).where("n <> top or n > 2048").count() == 0
+
+
+def plain_redaction(text):
+    """Spans of the base rules, one after the other, put out by plain expressions."""
+    from tests.llm.test_operators import plain_secrets
+
+    while plain_secrets(text):
+        spans = sorted((int(x.split(":")[1]), int(x.split(":")[2])) for x in plain_secrets(text).split(","))
+        out, at = "", 0
+        for a, b in spans:
+            if a >= at:
+                out += text[at:a] + "[SECRET]"
+            at = max(at, b)
+        text = out + text[at:]
+    return text
+
+
+def test_secrets_stage_against_a_plain_version(spark, small):
+    from tests.llm.test_operators import SECRETS
+
+    texts = [t for t in SECRETS if "eyJ" not in (t or "")] + ["token" * 3 + "=abcdef", "api_token=secret=abcdefgh tail"]
+    docs = spark.createDataFrame([(i % 7 if i % 7 else None, t, len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long").withColumn("_blob", F.lit("clash"))
+    out = corpus_pipeline.secrets(spark, docs, small)
+    assert out.columns == docs.columns
+    want = sorted((str(i % 7 if i % 7 else None), str(t if t is None else plain_redaction(t))) for i, t in enumerate(texts))
+    got = out.collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got) == want
+    assert all(r["n_chars"] == len(r["text"] or "") for r in got)
+
+
+def test_redacted_texts_are_scanned_alone(spark):
+    from tessera.llm import secret_scan
+
+    docs = spark.createDataFrame([(i, f"token=abcdef{i}" if i < 3 else f"clean {i}") for i in range(20)], "doc_id long, text string")
+    findings, ledger = secret_scan.scan(docs)
+    redacted = corpus_pipeline._redacted(docs, findings.where("found is not null"))
+    _, after = secret_scan.scan(redacted, ledger)
+    assert ledger.count() == 20 and after.count() == 21  # the three redacted texts are one new blob
 
 
 def test_pipeline_on_an_empty_table(spark, small, tmp_path):
