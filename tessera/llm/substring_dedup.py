@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, joined_with, mix, partitions, slices, string_buffers, window_hashes, word_hashes
+from .common import column, from_bytes, joined_with, mix, partitions, slices, string_buffers, to_bytes, window_hashes, word_hashes
 
 WINDOW_WORDS = 20
 #: Words of the first level's windows.
@@ -103,6 +103,21 @@ def _bin(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
+def _steps(a: np.ndarray) -> bytes:
+    """Integers that mostly grow by little, in few bytes."""
+    return to_bytes(np.diff(a.view(np.uint64), prepend=np.uint64(0)))
+
+
+def _unsteps(x: bytes) -> np.ndarray:
+    return np.cumsum(from_bytes(x))
+
+
+def _in_order(doc: np.ndarray, pos: np.ndarray, *cols: np.ndarray):
+    """The columns by document and place."""
+    order = np.lexsort((pos, doc))
+    return doc[order], pos[order], *(c[order] for c in cols)
+
+
 def _by_part(part: np.ndarray, parts: int, *cols: np.ndarray):
     """(part, the columns' rows of it) for every part that has rows."""
     order = np.argsort(part, kind="stable")
@@ -145,15 +160,24 @@ def _ship(parts: list[tuple], buckets: int, both: bool):
         known_doc, known_pos = doc[local], pos[local]
     lead = order[new]
     rows = [[], [], [], [], []]
-    for b, k, u, d, p in _by_part((key[lead] % np.uint64(buckets)).astype(np.int64), buckets, key[lead], sub[lead], doc[lead], pos[lead]):
-        for r, v in zip(rows, (b, _bin(k), None if both else _bin(u), _bin(d), _bin(p)), strict=True):
-            r.append(v)
-    for b, d, p in _by_part(_home(known_doc, buckets), buckets, known_doc, known_pos):
-        for r, v in zip(rows, (b, None, None, _bin(d), _bin(p)), strict=True):
+    d, p, k, u = _in_order(doc[lead], pos[lead], key[lead], sub[lead])
+    for b, k, u, d, p in _by_part((k % np.uint64(buckets)).astype(np.int64), buckets, k, u, d, p):
+        for r, v in zip(rows, (b, _bin(k), None if both else _bin(u), _steps(d), _steps(p)), strict=True):
             r.append(v)
+    for r, v in zip((rows[0], rows[3], rows[4]), zip(*_homes(known_doc, known_pos, buckets), strict=True), strict=False):
+        r += v
+    for r in rows[1:3]:
+        r += [None] * (len(rows[0]) - len(r))
     yield pa.record_batch([pa.array(r, f.type) for r, f in zip(rows, _SHIP_ARROW, strict=True)], schema=_SHIP_ARROW)
 
 
+def _homes(doc: np.ndarray, pos: np.ndarray, buckets: int):
+    """(home, documents, places) of places on their way to their documents."""
+    d, p = _in_order(doc, pos)
+    for b, d, p in _by_part(_home(d, buckets), buckets, d, p):
+        yield b, _steps(d), _steps(p)
+
+
 def _meet(batches, buckets: int, both: bool):
     """Windows of a bucket from all tasks: the places that are repeats, a row for each home of documents."""
     keys, subs, docs, poss = [], [], [], []
@@ -163,21 +187,20 @@ def _meet(batches, buckets: int, both: bool):
         if mine.num_rows:
             yield pa.record_batch([column(mine, "bucket"), column(mine, "doc"), column(mine, "pos")], schema=_PLACES_ARROW)
         rest = batch.filter(pc.invert(known))
-        for name, held, kind in (("key", keys, np.uint64), ("sub", subs, np.uint64), ("doc", docs, np.int64), ("pos", poss, np.uint64)):
-            held += [np.frombuffer(x, kind) for x in column(rest, name).to_pylist() if x is not None]
+        for name, held in (("key", keys), ("sub", subs)):
+            held += [np.frombuffer(x, np.uint64) for x in column(rest, name).to_pylist() if x is not None]
+        for name, held in (("doc", docs), ("pos", poss)):
+            held += [_unsteps(x) for x in column(rest, name).to_pylist()]
     if not keys:
         return
-    key, doc, pos = np.concatenate(keys), np.concatenate(docs), np.concatenate(poss)
+    key, doc, pos = np.concatenate(keys), np.concatenate(docs).view(np.int64), np.concatenate(poss)
     order, new = _firsts([key, np.concatenate(subs)] if not both else [key], doc, pos)
     if both:
         group = np.cumsum(new) - 1
         at = order[np.bincount(group)[group] > 1]
     else:
         at = order[~new]
-    rows = [[], [], []]
-    for b, d, p in _by_part(_home(doc[at], buckets), buckets, doc[at], pos[at]):
-        for r, v in zip(rows, (b, _bin(d), _bin(p)), strict=True):
-            r.append(v)
+    rows = list(zip(*_homes(doc[at], pos[at], buckets), strict=True)) or [[], [], []]
     yield pa.record_batch([pa.array(r, f.type) for r, f in zip(rows, _PLACES_ARROW, strict=True)], schema=_PLACES_ARROW)
 
 
@@ -185,25 +208,23 @@ def _gather(batches):
     """Places of the documents of a home: one row per document."""
     docs, poss = [], []
     for batch in batches:
-        docs += [np.frombuffer(x, np.int64) for x in column(batch, "doc").to_pylist()]
-        poss += [np.frombuffer(x, np.uint64) for x in column(batch, "pos").to_pylist()]
+        docs += [_unsteps(x) for x in column(batch, "doc").to_pylist()]
+        poss += [_unsteps(x) for x in column(batch, "pos").to_pylist()]
     if not docs:
         return
-    doc, pos = np.concatenate(docs), np.concatenate(poss)
-    order = np.lexsort((pos, doc))
-    doc, pos = doc[order], pos[order]
+    doc, pos = _in_order(np.concatenate(docs).view(np.int64), np.concatenate(poss))
     cut = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
     ends = [*cut[1:].tolist(), len(doc)]
     for lo in range(0, len(cut), 4096):
         hi = min(lo + 4096, len(cut))
-        yield pa.record_batch([pa.array(doc[cut[lo:hi]]), pa.array([_bin(pos[a:b]) for a, b in zip(cut[lo:hi].tolist(), ends[lo:hi], strict=True)], pa.binary())], schema=_MARKS_ARROW)
+        yield pa.record_batch([pa.array(doc[cut[lo:hi]]), pa.array([_steps(pos[a:b]) for a, b in zip(cut[lo:hi].tolist(), ends[lo:hi], strict=True)], pa.binary())], schema=_MARKS_ARROW)
 
 
 def _places(marks: bytes | None, version: np.uint64) -> np.ndarray:
     """Word places of one text among the marks of its id."""
     if not marks:
         return np.zeros(0, np.int64)
-    p = np.frombuffer(marks, np.uint64)
+    p = _unsteps(marks)
     return (p[p >> np.uint64(32) == version >> np.uint64(32)] & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
@@ -296,7 +317,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         marks, before = met.repartition(buckets, "home").mapInArrow(_gather, _MARKS), size
     run, schema = _cover(window)
     unplaced = every.where("doc_id is null").withColumn("marks", F.lit(None).cast("binary"))
-    return joined_with(at_home, marks, "doc_id", "left").select("doc_id", "text", "marks").unionByName(unplaced).mapInArrow(run, schema)
+    # the union stands above: below it, the exchange of texts would not be the same for all levels
+    return joined_with(at_home, marks, "doc_id", "left").select("doc_id", "text", "marks").mapInArrow(run, schema).unionByName(unplaced.mapInArrow(run, schema))
 
 
 def digest(df: DataFrame) -> DataFrame:
