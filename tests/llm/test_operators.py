@@ -306,11 +306,21 @@ def test_plan_is_valid_and_tight(seed):
     assert len(fill) <= max(big, sum(n * c for n, c in counts.items()) / 2048) * 1.03 + 1
 
 
+def plain_topk(data, queries, k):
+    """By all products; shorter vectors are followed by zeros."""
+    out = collections.Counter()
+    rows_ = sorted({(i, tuple(v)) for i, v in data})
+    for q, a in sorted({(i, tuple(v)) for i, v in queries}):
+        s = sorted((-sum(x * y for x, y in zip(a, b, strict=False)), j) for j, b in rows_ if j != q)[:k]
+        out.update((q, r + 1, j, -x) for r, (x, j) in enumerate(s))
+    return out
+
+
 def test_topk(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(400, 8))
     v[50:60] = v[49]  # ties
-    data = [(i, [float(x) for x in np.float32(r)]) for i, r in enumerate(v)] + [(1000, None), (1001, [float("nan")] * 8), (1002, [None] * 8), (1050, [1.0, 2.0])]
+    data = [(i, [float(x) for x in np.float32(r)]) for i, r in enumerate(v)] + [(1000, None), (1001, [float("nan")] * 8), (1002, [None] * 8), (1003, [float("inf")] * 8)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>").withColumn("dist", F.lit(0))
     q = topk_search.quantised(df)
     got = collections.defaultdict(list)
@@ -329,12 +339,24 @@ def test_topk(spark):
     assert topk_search.top_k(same, same.where("id = 0"), 5).count() == 2
 
 
+def test_topk_mixed_lengths_and_repeated_ids(spark):
+    data = [(0, [1, 2]), (1, [3, 4]), (2, [5, 6, 7]), (3, [8, 9, 1]), (4, []), (5, [2, 2]), (5, [9, 9, 9]), (5, [2, 2]), (None, [1, 1]), (50, [40000, 1]), (100, list(range(300)))]
+    df = spark.createDataFrame(data, "id long, v array<long>").withColumn("block", F.lit("clash"))
+    known = [d for d in data if d[0] is not None]
+    assert collections.Counter(tuple(r) for r in topk_search.top_k(df, df, 4).collect()) == plain_topk(known, known, 4)
+    empty = spark.createDataFrame([(1, []), (2, [])], "id long, v array<long>")
+    assert sorted(map(tuple, topk_search.top_k(empty, empty, 4).collect())) == [(1, 1, 2, 0), (2, 1, 1, 0)]
+
+
 def test_topk_chunks(spark, monkeypatch):
     rng = np.random.default_rng(4)
-    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rng.normal(size=(300, 6)))], "vec_id long, embedding array<float>")
+    v = rng.normal(size=(300, 6))
+    v[100:200] = v[100]
+    df = spark.createDataFrame([(i * 64, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<float>")
     q = topk_search.quantised(df)
     whole = sorted(map(tuple, topk_search.top_k(q, q, 3).collect()))
-    for name, value in (("QUERIES", 50), ("ANNULUS", 16), ("SAMPLE", 64), ("PIVOTS", 4)):
+    assert collections.Counter(whole) == plain_topk(*[[(r["id"], r["v"]) for r in q.collect()]] * 2, 3)
+    for name, value in (("QUERIES", 50), ("ANNULUS", 16), ("SAMPLE", 64), ("PIVOTS", (4, 8))):
         monkeypatch.setattr(topk_search, name, value)
     assert sorted(map(tuple, topk_search.top_k(q, q, 3).collect())) == whole
 
@@ -355,6 +377,55 @@ def test_html():
     assert html_text.extract("<p>" * 3000 + "deep") == "deep" and html_text.extract("<div>" * 3000 + "<p>deep, text</p>") == "deep, text"
 
 
+ARTICLE = "<h1>Title here</h1><p>The first paragraph, long enough, with commas, and more words to count.</p><p>The second paragraph, also long, goes on and on, until it ends.</p>"
+ARTICLE_TEXT = "Title here The first paragraph, long enough, with commas, and more words to count. The second paragraph, also long, goes on and on, until it ends."
+REPLIES = "<p>I think, as a reader, that this is wrong, long, and much too wordy, honestly, really, so I write a long reply, with many, many commas.</p>" * 3
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f'<nav><a href=/>Home</a></nav><div class="post has-comments">{ARTICLE}</div><footer>x</footer>',
+        f'<div class="no-sidebar">{ARTICLE}</div>',
+        f'<div class="site menu-closed">{ARTICLE}<div class="menu"><a href=x>y</a></div></div>',
+        f"<form action=/><input name=q><div>{ARTICLE}</div><button>Go</button></form>",
+        f"<article>{ARTICLE}</article><div><h2>Comments</h2>{REPLIES}</div>",
+        f"<article>{ARTICLE}</article><div>{REPLIES}</div>",
+        f"<div>{ARTICLE}</div><div><h3>3 Comments</h3>{REPLIES}</div>",
+        f"<div class=content>{ARTICLE}</div><div>{REPLIES}</div>",
+        f"<div>We use cookies to make this site better, faster, and nicer. <a href=#>OK</a></div><div>{ARTICLE}</div>",
+        f"<div><div><p>This site uses cookies, many of them.</p><button>OK</button></div>{ARTICLE}</div>",
+        f"<div>{ARTICLE}</div><section class=comments><article class=comment>{REPLIES}</article></section>",
+        f'<div>{ARTICLE}</div><div id="comments">{REPLIES * 5}</div>',
+        f'<div class="sidebar"><p>About me, here, there.</p></div><div>{ARTICLE}</div><form><p>Write to us, please.</p></form>',
+        f'<div class="promo story">{ARTICLE}</div><div class="newsletter"><p>Sign up, now.</p></div>',
+    ],
+)
+def test_html_parts_that_only_look_like_others(body):
+    assert html_text.extract(f"<html><body>{body}</body></html>") == ARTICLE_TEXT
+
+
+def test_html_ties_and_repeated_blocks():
+    block = "<p>The very same words, again, and again, in a block.</p>"
+    assert html_text.extract(f"<div>{block * 4}</div>") == " ".join(["The very same words, again, and again, in a block."] * 4)
+    assert html_text.extract(f"<section>{block}</section><ul><li>no</ul><section>{block}</section>") == " ".join(["The very same words, again, and again, in a block."] * 2)
+
+
+@pytest.mark.parametrize("text", ["x <a ", '<a "x ', "<div>", "<i>", "<header>", "</p><li>", "<", "<![CDATA[", "<!--", "<a href='", "<script>", "<p>a, b", "<td><li>", "&#x", "<b><a></i>"])
+def test_html_in_linear_time(text):
+    import time
+
+    start = time.perf_counter()
+    for tail in ("", ">", "<div></div>" * 100, "</p></a></div>" * 10_000):
+        html_text.extract(text * 40_000 + tail)
+    assert time.perf_counter() - start < 30
+
+
+def test_html_long_page():
+    words = [f"w{i}," for i in range(200_000)]
+    assert html_text.extract("<article><h1>T</h1><p>" + " ".join(words) + "</p></article>") == "T " + " ".join(words)
+
+
 def test_html_pages(spark, small):
     from html import unescape
 
