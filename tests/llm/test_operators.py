@@ -175,6 +175,32 @@ def test_decontaminate(spark):
     assert decontaminate.mark(frame(spark), bench.where("item_id < 0")).where("contaminated = 1").count() == 0
 
 
+def test_decontaminate_templates_and_repeated_ids(spark, monkeypatch):
+    """Items that share most of their words, and texts that share an id."""
+    rng = np.random.default_rng(2)
+    items = [f"what is the right answer to question number {i} " + " ".join(rng.choice(WORDS, int(rng.integers(2, 30)))) for i in range(40)]
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(3, items[3]), (None, items[4]), (40, "what is the right answer")], "item_id long, text string")
+    texts = [(1, "x " * 30 + items[5] + " y" * 30), (1, "z " + items[6]), (2, items[7][: len(items[7]) // 2]), (None, items[8]), (3, " ".join(items)), (4, "what is the right answer to"), (4, "what is the right answer to"), (5, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").withColumn("places", F.lit("clash")).withColumn("least", F.lit(1))
+
+    def sh(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    held = collections.defaultdict(set)
+    for i, t in texts:
+        held[i] |= sh(t)
+    every = dict(enumerate(items)) | {40: "what is the right answer"}
+    want = {i: ",".join(str(k) for k, t in every.items() if i is not None and len(sh(t) & h) >= 0.8 * len(sh(t)) - 1e-9) for i, h in held.items()}
+    assert want[3].count(",") == 40 and want[4] == "40"
+    for common in (64, 3):
+        monkeypatch.setattr(decontaminate, "COMMON_ITEMS", common)
+        for limit in (200_000, 0):
+            monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", limit)
+            out = decontaminate.mark(docs, bench).collect()
+            assert len(out) == len(texts) and {r["doc_id"]: r["items"] for r in out} == want
+
+
 def test_decontaminate_shuffled(spark, monkeypatch):
     """Beyond the broadcast bound nothing changes."""
     bench = spark.createDataFrame([(1, C), (5, A)], "item_id long, text string")
@@ -453,6 +479,64 @@ def test_language_held_out(spark, small):
     assert language_id.identify(frame(spark, []), model).count() == 0
 
 
+def plain_trigrams(text):
+    """Counts of a text's trigrams: letters stay, every run of other characters is one gap, and gaps stand at both ends."""
+    s = re.sub(r"[^\W\d_]+", lambda m: m[0], "".join(c if c.isalpha() else " " for c in text.lower()))
+    s = " " + " ".join(s.split()) + " "
+    return collections.Counter(s[i : i + 3] for i in range(len(s) - 2)) if s.strip() else collections.Counter()
+
+
+def plain_em(p, c, pi, rounds=400):
+    """Proportions of the mixture that makes the counts likeliest, token by token."""
+    for _ in range(rounds):
+        new = np.zeros(len(pi))
+        for t, n in c.items():
+            share = np.array([pi[j] * p[t][j] for j in range(len(pi))])
+            new += n * share / share.sum()
+        pi = new / new.sum()
+    return pi, sum(n * np.log(sum(pi[j] * p[t][j] for j in range(len(pi)))) for t, n in c.items())
+
+
+def test_language_against_plain_em(spark, small):
+    """Counts, sets of highest penalised likelihood and proportions by plain loops over all subsets of the languages."""
+    import itertools
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("text is not null and lang is not null")
+    learned = docs.where("doc_id % 4 = 1 and length(text) < 4000").select("doc_id", "text", "lang")
+    model = language_id.train(learned)
+    total = {x: collections.Counter() for x in model.langs}
+    for r in learned.collect():
+        total[r["lang"]].update(plain_trigrams(r["text"]))
+    assert [int(sum(c.values())) for c in total.values()] == [int(round(x)) for x in language_id.train(learned).sizes]
+    by = {r["lang"]: r["text"] for r in docs.where("doc_id % 4 = 2 and length(text) > 600").orderBy("doc_id").collect()}
+    texts = [by["en"][:300], by["de"][:400], by["en"][:500] + " " + by["fr"][:250], by["es"][:30], "x", by["de"][:200] + by["es"][:200] + by["en"][:200]]
+    for text in texts:
+        at, n = language_id.trigram_counts(text)
+        want = plain_trigrams(text)
+        assert n.sum() == sum(want.values())
+        p, c = {i: model.p[i] for i in at.tolist()}, dict(zip(at.tolist(), n.tolist(), strict=True))
+        best = None
+        for k in range(1, len(model.langs) + 1):
+            for sub in itertools.combinations(range(len(model.langs)), k):
+                q, ll = plain_em({t: p[t][list(sub)] for t in p}, c, np.full(k, 1 / k), 60)
+                value = ll - language_id.PENALTY * np.log(n.sum() + 1) * (k - 1)
+                if best is None or value > best[0]:
+                    best = (value, {model.langs[j]: x for j, x in zip(sub, q, strict=True)})
+        got = dict(model.mixture(text))
+        assert set(got) == set(best[1]), (text[:40], got, best)
+        assert all(abs(got[x] - best[1][x]) < 0.05 for x in got)
+
+
+def test_language_of_long_repeated_and_null_id_texts(spark):
+    learned = spark.createDataFrame([(None, "the cat and the dog " * 20, "en"), (1, "der hund und die katze " * 20, "de"), (1, "der hund und die katze " * 20, "de"), (2, None, "de"), (3, "x", None)], "doc_id long, text string, lang string")
+    model = language_id.train(learned)
+    assert model.langs == ["de", "en"]
+    texts = ["the cat and the dog " * 100_000, "der hund", "der hund", None]
+    docs = spark.createDataFrame([(None, texts[0]), (1, texts[1]), (1, texts[2]), (None, texts[3])], "doc_id long, text string").withColumn("lang_pred", F.lit("clash"))
+    out = collections.Counter((r["doc_id"], r["lang_pred"]) for r in language_id.identify(docs, model).collect())
+    assert out == {(None, "en"): 1, (1, "de"): 2, (None, "und"): 1}
+
+
 def test_language_of_a_single_unseen_letter(spark):
     model = language_id.Model(["a", "b", "c"], np.full((language_id.BUCKETS, 3), 1 / language_id.BUCKETS))
     assert [x for x, _ in model.mixture("日")] == ["a"] and model.mixture("日")[0][1] == pytest.approx(1)
