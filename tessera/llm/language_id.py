@@ -76,6 +76,8 @@ class Model:
     langs: list[str]
     #: Likelihood of each bucket under each language: BUCKETS x languages.
     p: np.ndarray
+    #: Trigrams that each language was learned from.
+    sizes: tuple[float, ...] = ()
 
     def mixture(self, text: str | None) -> list[tuple[str, float]]:
         """Languages and proportions, largest first; empty if the text is null, has no letter, or nothing is learned."""
@@ -135,21 +137,16 @@ def _histograms(batches):
             if lang not in sums:
                 sums[lang] = np.zeros(BUCKETS, np.int64)
             sums[lang][at] += c
-    langs = list(sums)
-    if langs:
-        yield pa.record_batch([pa.array(langs), pa.array([sums[x].tobytes() for x in langs], pa.binary())], names=["lang", "counts"])
-
-
-def _add(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.int64) for x in rows.column("counts").to_pylist())
-    return pa.table({"lang": [key[0].as_py()], "counts": pa.array([total.tobytes()], pa.binary())})
+    for lang, total in sums.items():
+        at = np.flatnonzero(total)
+        yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at])], names=["lang", "bucket", "n"])
 
 
 def train(labelled: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Model:
     """Learn from rows of (doc_id, text, lang); rows with a null text or lang are left out.
 
-    Languages with more than ``per_lang`` rows are learned from about so many, picked by a hash of the id. What comes
-    to the driver is one histogram per language.
+    Languages with more than ``per_lang`` rows are learned from about so many, picked by a hash of the id; rows that share an
+    id, or have none, are picked together. Long texts count whole. What comes to the driver is one histogram per language.
     """
     rows = labelled.where("text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -158,16 +155,17 @@ def train(labelled: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Model:
     span = 1 << 30
     share = F.create_map(*[x for k, n in sorted(sizes.items()) for x in (F.lit(k), F.lit(int(span * min(1.0, per_lang / n))))])
     picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < share[F.col("lang")])
-    out = "lang string, counts binary"
-    found = picked.select("lang", "text").mapInArrow(_histograms, out).groupBy("lang").applyInArrow(_add, out).collect()
-    langs = sorted(r["lang"] for r in found)
-    by = {r["lang"]: np.frombuffer(bytes(r["counts"]), np.int64).astype(np.float64) for r in found}
+    counts = picked.select("lang", "text").mapInArrow(_histograms, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    by: dict[str, np.ndarray] = {}
+    for r in counts.toLocalIterator():  # at most BUCKETS rows a language
+        by.setdefault(r["lang"], np.zeros(BUCKETS))[r["bucket"]] = r["n"]
+    langs = sorted(by)
     if not langs:
         return Model([], np.zeros((BUCKETS, 0)))
     pooled = sum(by.values()) + 0.5
     pooled /= pooled.sum()
     p = np.stack([(by[x] + 200.0 * pooled) / (by[x].sum() + 200.0) for x in langs], 1)
-    return Model(langs, p)
+    return Model(langs, p, tuple(float(by[x].sum()) for x in langs))
 
 
 def _predict(model):
@@ -191,7 +189,9 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     ``unlearned`` is a lower bound of the share of the text that is in none of the learned languages.
 
     A null text, or one without a letter, is ``und`` with score 0 and an empty mixture; so is every text if nothing was
-    learned. Equal texts get equal results; ties go to the smaller language name. Other columns are ignored.
+    learned. Texts are read whole, however long. Equal texts get equal results; ties go to the smaller language name. Rows
+    that share an id, or have none, keep one row each. Other columns are ignored, whatever their names; an empty table gives
+    an empty table.
     """
     shared = Shipped(docs.sparkSession, model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
