@@ -10,7 +10,8 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from bisect import bisect_right
+from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -24,6 +25,8 @@ TRAIN_PER_LABEL = 8000
 #: Least log-likelihood ratio and least weight (log odds ratio) of a lexicon entry; what a longer stem must weigh beyond a shorter one.
 LEAST_G2, LEAST_WEIGHT, GAIN = 18.0, 1.2, 0.7
 STEM_LENGTHS = range(4, 15)
+#: Toxic documents that an entry, and clean ones that an exception, must have.
+LEAST_DOCS = 3
 
 #: Characters that look like Latin letters, and digits and symbols that stand for them.
 HOMOGLYPHS = {
@@ -100,7 +103,12 @@ class Lexicon:
         if not hits:
             return 0.0, 0
         if spans:
-            hits = [h for h in hits if not any(x <= h[0] <= y for x, y in spans)]
+            spans.sort()
+            starts, ends, far = [x for x, _ in spans], [], -1
+            for _, y in spans:
+                far = max(far, y)
+                ends.append(far)
+            hits = [h for h in hits if not (i := bisect_right(starts, h[0])) or ends[i - 1] < h[0]]
         best: dict[int, float] = {}
         for at, w in sorted(hits, key=lambda h: h[0]):  # longer stems end later: the longest of a word stays
             best[at] = w
@@ -112,19 +120,18 @@ class Lexicon:
         return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, self.slope * (x - self.threshold))))), n
 
 
-def entries(rows) -> dict[str, float]:
-    """Stems and weights from (distinct folded words, toxic) rows.
+def stems(words: set[str]) -> set[str]:
+    """The beginnings of words that an entry may be."""
+    return {w[:k] for w in words for k in STEM_LENGTHS if len(w) >= k} | {w for w in words if len(w) == 3}
+
+
+def entries(docs: dict[str, tuple[int, int]], n: tuple[int, int]) -> dict[str, float]:
+    """Stems and weights from how many clean and toxic documents hold each stem, and how many there are.
 
     A stem's weight is the logarithm of how much oftener it starts a word in toxic documents. It is kept if that is too
     often for chance, and if it says more than every shorter stem kept. Of stems that stand for the same documents the
-    longest stays. Without rows of both labels there are none.
+    longest stays. Without documents of both labels there are none.
     """
-    docs: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    n = [0, 0]
-    for words, y in rows:
-        n[y] += 1
-        for s in {w[:k] for w in words for k in STEM_LENGTHS if len(w) >= k} | {w for w in words if len(w) == 3}:
-            docs[s][y] += 1
     if not n[0] or not n[1]:
         return {}
     rate = n[1] / (n[0] + n[1])
@@ -136,7 +143,7 @@ def entries(rows) -> dict[str, float]:
     def weight(a: int, b: int) -> float:
         return math.log((a + 0.5) / (n[1] + 1)) - math.log((b + 0.5) / (n[0] + 1))
 
-    good = {s: (weight(a, b), a, b) for s, (b, a) in docs.items() if a >= 3 and g2(a, b) >= LEAST_G2 and weight(a, b) >= LEAST_WEIGHT}
+    good = {s: (weight(a, b), a, b) for s, (b, a) in docs.items() if a >= LEAST_DOCS and g2(a, b) >= LEAST_G2 and weight(a, b) >= LEAST_WEIGHT}
     longest: dict[str, str] = {}
     for s in sorted(good, key=lambda x: (-len(x), x)):  # a stem gives way to a longer one that nearly the same documents have
         t = longest.get(s, s)
@@ -187,35 +194,59 @@ def calibrated(lex: Lexicon, raws) -> Lexicon:
 def train(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL, exceptions: list[str] | None = None) -> Lexicon:
     """Learn from ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic) marks 0 or 1.
 
-    About ``per_label`` rows of each label are used, and of these the driver gets distinct words and sums, not texts.
-    Phrases of a stem's word and a neighbour that at least three clean rows have and toxic ones lack become exceptions,
-    beside those given. A document with several labels counts once for each. Without rows of both labels the lexicon is
-    empty and every score is that of a text without an entry.
+    About ``per_label`` ids of each label are used; tasks count in how many documents stems and phrases occur, and the driver
+    gets those that occur often enough and one sum a document, not texts. Phrases of a stem's word and a neighbour that at
+    least three clean documents have and toxic ones lack become exceptions, beside those given. Labels other than 0 and 1, null
+    ones, and those without an id are left out; a label that is repeated counts once, an id with both labels once for each.
+    Without documents of both labels the lexicon is empty and every score is that of a text without an entry.
     """
-    marked = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    spark = docs.sparkSession
+    marked = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     sizes = {r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     span = 1 << 30
     share = {y: int(span * min(1.0, per_label / max(1, sizes.get(y, 0)))) for y in (0, 1)}
-    picked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
+    picked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))  # about 2 x per_label ids
     sample = materialise(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("text", "toxic"), "toxic-sample")
-    words = sample.mapInArrow(_map_texts(lambda t: " ".join(sorted(set(fold(t).split()))), pa.string()), "value string, toxic int")
-    kept = entries((r["value"].split(), r["toxic"]) for r in words.toLocalIterator())
+    n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+
+    def counted(find) -> DataFrame:
+        """(value, clean, toxic): in how many documents of each label ``find`` finds a value."""
+        return sample.mapInArrow(_count_texts(find), "value string, clean long, toxic long").groupBy("value").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+
+    found = counted(lambda t: stems(set(fold(t).split()))).where(F.col("toxic") >= LEAST_DOCS).toLocalIterator()
+    kept = entries({r["value"]: (r["clean"], r["toxic"]) for r in found}, (n.get(0, 0), n.get(1, 0)))
     given = [" ".join(fold(x).split()) for x in exceptions or []]
     if not kept:
         return Lexicon({}, given, 1.0, 4.0)
-    near = sample.mapInArrow(_map_texts(lambda t: "\n".join(sorted(phrases(fold(t).split(), kept))), pa.string()), "value string, toxic int")
-    counts = [Counter(), Counter()]
-    for r in near.where("value <> ''").toLocalIterator():
-        counts[r["toxic"]].update(r["value"].split("\n"))
-    lex = Lexicon(kept, given + sorted(p for p, c in counts[0].items() if c >= 3 and not counts[1][p]))
-    raws = sample.mapInArrow(_map_texts(lambda t: lex.raw(t)[0], pa.float64()), "value double, toxic int").collect()
+    shared = Shipped(spark, kept)
+    near = counted(lambda t: phrases(fold(t).split(), shared.get())).where((F.col("clean") >= LEAST_DOCS) & (F.col("toxic") == 0))
+    lex = Lexicon(kept, given + sorted(r["value"] for r in near.toLocalIterator()))
+    ready = Shipped(spark, lex)
+    raws = sample.mapInArrow(_raws(ready), "value double, toxic int").collect()  # one number a sampled document
     return calibrated(lex, [(r["value"], r["toxic"]) for r in raws])
 
 
-def _map_texts(f, kind):
+def _count_texts(find):
+    schema = pa.schema([("value", pa.string()), ("clean", pa.int64()), ("toxic", pa.int64())])
+
+    def run(batches):
+        counts = [Counter(), Counter()]
+        for batch in batches:
+            for t, y in zip(column(batch, "text").to_pylist(), column(batch, "toxic").to_pylist(), strict=True):
+                counts[y].update(find(t))
+        values = list(counts[0].keys() | counts[1].keys())
+        for lo in range(0, len(values), 1 << 16):
+            some = values[lo : lo + (1 << 16)]
+            yield pa.record_batch([pa.array(some, pa.string()), *(pa.array([c[v] for v in some], pa.int64()) for c in counts)], schema=schema)
+
+    return run
+
+
+def _raws(shared):
     def run(batches):
+        lex = shared.get()
         for batch in batches:
-            yield pa.record_batch([pa.array([f(t) for t in column(batch, "text").to_pylist()], kind), column(batch, "toxic")], names=["value", "toxic"])
+            yield pa.record_batch([pa.array([lex.raw(t)[0] for t in column(batch, "text").to_pylist()], pa.float64()), column(batch, "toxic")], names=["value", "toxic"])
 
     return run
 
@@ -235,7 +266,9 @@ def _apply(shared):
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score (0 to 1), n_hits of every row of ``docs``.
 
-    Null and empty texts score as texts without an entry; equal texts score alike; other columns are ignored.
+    Null and empty texts score as texts without an entry; texts are read whole, however long; equal texts score alike; rows
+    that share an id, or have none, keep one row each; an empty table gives an empty table; other columns are ignored,
+    whatever their names.
     """
     shared = Shipped(docs.sparkSession, lexicon)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_apply(shared), "doc_id long, score double, n_hits long")
