@@ -14,17 +14,45 @@ from pyspark.sql import types as T
 _UNSIGNED = "decimal(20,0)"
 
 
+#: Fixed value: the namespace of game ids.
+GAME_NAMESPACE = uuid.UUID("6ba7b814-9dad-11d1-80b4-00c04fd430c8")
+#: What a frame's content id leaves out.
+FRAME_DIAGNOSTICS = ("frame_id", "created_at", "mu_bar.norm", "mu_bar.cos_with_axis")
+
+
+def _unsigned(digest: Column, place: int) -> Column:
+    return F.conv(F.substring(digest, place, 16), 16, 10).cast(_UNSIGNED)
+
+
 def seed_first8(text: Column) -> Column:
     """Unsigned integer of the first eight bytes of SHA-256: board seeds."""
-    return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 16), 16, 10).cast(_UNSIGNED)
+    return _unsigned(F.sha2(text.cast("binary"), 256), 1)
+
+
+def eight_bytes(number: Column) -> Column:
+    """An unsigned integer as eight bytes, the highest first."""
+    return F.unhex(F.lpad(F.conv(number.cast("string"), 10, 16), 16, "0"))
+
 
+def derived_seed(seed: Column, *parts: Column) -> Column:
+    """SHA-256 of the seed's eight bytes and the parts (binary), modulo 2 to the 64th."""
+    return _unsigned(F.sha2(F.concat(eight_bytes(seed), *parts), 256), 49)
 
-def seed_last8(text: Column) -> Column:
-    """SHA-256 modulo 2 to the 64th: game seeds."""
-    return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 49, 16), 16, 10).cast(_UNSIGNED)
 
+def game_seed(master: Column, game_id: Column) -> Column:
+    return derived_seed(master, game_id.cast("binary"))
 
-def uuid5(name: Column, namespace: uuid.UUID = uuid.NAMESPACE_URL) -> Column:
+
+def engine_seed(game: Column) -> Column:
+    return derived_seed(game, F.lit("engine").cast("binary"))
+
+
+def turn_seed(game: Column, kind: str, seat: Column, turn: Column) -> Column:
+    """Seed of a seat's call on a turn; kind: seat (play) or meas (measurement)."""
+    return derived_seed(game, F.concat(F.lit(kind), seat.cast("string")).cast("binary"), eight_bytes(turn))
+
+
+def uuid5(name: Column, namespace: uuid.UUID = GAME_NAMESPACE) -> Column:
     """Name-based identifier, version 5."""
     h = F.sha1(F.concat(F.unhex(F.lit(namespace.hex)), name.cast("binary")))
     variant = F.lower(F.hex((F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(3)).bitwiseOR(8)))
@@ -47,12 +75,18 @@ def decode_f64_column(text: str):
 
 
 def canonical_json(doc: dict) -> str:
-    return json.dumps(doc, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    return json.dumps(doc, sort_keys=True, separators=(",", ":"), ensure_ascii=True)
+
+
+def _less(doc: dict, without: tuple[str, ...]) -> dict:
+    own = {w for w in without if "." not in w}
+    inner = {k: tuple(w[len(k) + 1 :] for w in without if w.startswith(k + ".")) for k in doc}
+    return {k: _less(v, inner[k]) if inner[k] and isinstance(v, dict) else v for k, v in doc.items() if k not in own}
 
 
-def content_id(doc: dict, without: tuple[str, ...]) -> str:
-    """SHA-256 of a document's canonical form less some keys."""
-    return hashlib.sha256(canonical_json({k: v for k, v in doc.items() if k not in without}).encode()).hexdigest()
+def content_id(doc: dict, without: tuple[str, ...] = FRAME_DIAGNOSTICS) -> str:
+    """SHA-256 of a document's canonical form less some keys; a dot leads into a nested one."""
+    return hashlib.sha256(canonical_json(_less(doc, without)).encode()).hexdigest()
 
 
 def fingerprint(texts: dict[str, str]) -> str:

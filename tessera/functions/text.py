@@ -37,8 +37,8 @@ def first_match(text: Column, rules: list[tuple[str, tuple[str, ...]]], other: s
 
 
 def strip_fence(text: Column) -> Column:
-    """What stands inside a Markdown code fence, trimmed; the text itself if there is none."""
-    return F.regexp_replace(F.regexp_replace(text, r"(?s)^.*?```[A-Za-z]*\s*\n?(.*?)```.*$", "$1"), r"^\s+|\s+$", "")
+    """JSON fences of Markdown are unwrapped where they stand; what is around them stays, trimmed."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?s)```json(.*?)```", "$1"), r"^\s+|\s+$", "")
 
 
 def normalise_digest(digest: Column) -> Column:
@@ -56,7 +56,8 @@ def split_model_id(spec: Column) -> tuple[Column, Column]:
 
 
 def lineage_key(model: Column) -> Column:
-    return F.get(F.split(F.element_at(F.split(model, "/"), -1), "-"), F.lit(0))
+    """The model family: what stands before the first hyphen of the last path part, in lower case."""
+    return F.lower(F.get(F.split(F.element_at(F.split(model, "/"), -1), "-"), F.lit(0)))
 
 
 def word_flags(word: Column, seeds: list[str], suffixes: list[str]) -> Column:
@@ -66,11 +67,39 @@ def word_flags(word: Column, seeds: list[str], suffixes: list[str]) -> Column:
     return F.struct(low.isin(*seeds).alias("seed"), suffix.alias("suffix"))
 
 
-def clue_problem(clue: Column, board: Column, history: Column, lemmas_clue: Column, lemmas_board: Column) -> Column:
-    """Why a clue is not legal: on the board, repeated (case-sensitive), same lemma, part of a compound; null if legal."""
-    low = F.lower(clue)
-    compound = F.exists(board, lambda w: (w != low) & (F.startswith(low, w) | F.endswith(low, w)))
-    return F.when(F.array_contains(board, low), "on_board").when(F.array_contains(history, clue), "repeated").when(F.arrays_overlap(lemmas_clue, lemmas_board), "lemma").when(compound, "compound")
+def _component(part: Column, whole: Column, english: Column | None) -> Column:
+    """Whether ``whole`` is ``part`` with a known word before or behind it; any rest counts if no words are given."""
+    known = (lambda rest: F.lit(True)) if english is None else (lambda rest: F.array_contains(english, rest))
+    n = F.length(part)
+    behind, before = F.startswith(whole, part) & known(F.substring(whole, n + 1, F.length(whole))), F.endswith(whole, part) & known(F.substring(whole, F.lit(1), F.length(whole) - n))
+    return (n > 0) & (n < F.length(whole)) & (behind | before)
+
+
+def clue_problem(clue: Column, board: Column, history: Column, lemmas_clue: Column, lemmas_board: Column, english: Column | None = None) -> Column:
+    """Why a clue is not legal: on the board, repeated (case-sensitive), same lemma, part of a board word in any of its forms, around one; null if legal.
+
+    ``board`` holds the visible words and ``lemmas_board`` their lemmas, in lower case; ``english`` the words that make a rest a word.
+    """
+    low = F.lower(F.trim(clue))
+    forms = F.array_union(F.coalesce(lemmas_clue, F.expr("cast(array() as array<string>)")), F.array(low))
+    part = F.exists(board, lambda w: F.exists(forms, lambda f: _component(f, w, english)))
+    around = F.exists(board, lambda w: _component(w, low, english))
+    return F.when(F.array_contains(board, low), "on_board").when(F.array_contains(history, clue), "repeated").when(F.arrays_overlap(lemmas_clue, lemmas_board), "lemma").when(part, "component").when(around, "compound")
+
+
+#: Fixed value: what marks a digest that no registry knows.
+UNAVAILABLE = ("", "unknown", "unavailable")
+
+
+def digest_gate(pinned: Column, served: Column) -> Column:
+    """The served digest if it equals the pinned one; one that is missing, unknown or another is an error."""
+    p, s = normalise_digest(F.coalesce(pinned, F.lit(""))), normalise_digest(F.coalesce(served, F.lit("")))
+    return F.when(p.isin(*UNAVAILABLE) | s.isin(*UNAVAILABLE), F.raise_error(F.lit("digest not available"))).when(p != s, F.raise_error(F.concat(F.lit("digest mismatch: "), p, F.lit(" "), s))).otherwise(s)
+
+
+def names_evaluated(model: Column, evaluated: list[str]) -> Column:
+    """Whether an arbiter's id holds the name of an evaluated model."""
+    return reduce(lambda a, b: a | b, [F.contains(F.lower(model), F.lit(e.lower())) for e in evaluated], F.lit(False))
 
 
 def degenerate_reason(words: Column, clue: Column, count: Column) -> Column:

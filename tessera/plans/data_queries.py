@@ -82,24 +82,41 @@ def check_ranges(spark, d):
     return a.unionByName(integrity.violations(read(spark, d, "orders"), {"o_orderstatus": F.col("o_orderstatus").isin("F", "O", "P")}))
 
 
-@query("q_seed_derivation", """
-SELECT p_partkey, CAST(('0x' || substr(sha256('20260701:' || p_partkey), 1, 8)) AS BIGINT) AS seed_high, CAST(('0x' || substr(sha256('20260701:' || p_partkey), 57, 8)) AS BIGINT) AS seed_low FROM part""")
+@query("q_seed_derivation", "SELECT p_partkey, CAST(CAST('0x' || substr(sha256('20260701:' || p_partkey), 1, 16) AS UBIGINT) AS VARCHAR) AS board_seed FROM part")
 def seed_derivation(spark, d):
     name = F.concat(F.lit("20260701:"), F.col("p_partkey").cast("string"))
-    two32 = F.lit(4294967296).cast("decimal(20,0)")
-    return read(spark, d, "part").select("p_partkey", F.floor(codec.seed_first8(name) / two32).cast("long").alias("seed_high"), F.pmod(codec.seed_last8(name), two32).cast("long").alias("seed_low"))
+    return read(spark, d, "part").select("p_partkey", codec.seed_first8(name).cast("string").alias("board_seed"))
+
+
+_SEED = "CAST('0x' || right(sha256({}), 16) AS UBIGINT)"
+_BYTES = "unhex(printf('%016x', {}))"
+
+
+@query("q_game_identity", f"""
+WITH h AS (SELECT o_orderkey AS game_index, sha1(unhex('6ba7b8149dad11d180b400c04fd430c8') || encode('2026:' || o_orderkey)) AS h FROM orders),
+i AS (SELECT game_index, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || printf('%x', (CAST('0x' || substr(h, 17, 1) AS INTEGER) & 3) | 8) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS game_id FROM h),
+g AS (SELECT *, {_SEED.format(_BYTES.format("CAST(2026 AS UBIGINT)") + " || encode(game_id)")} AS g FROM i)
+SELECT game_index, game_id, CAST(g AS VARCHAR) AS derived_seed, CAST({_SEED.format(_BYTES.format("g") + " || encode('engine')")} AS VARCHAR) AS engine_seed,
+  CAST({_SEED.format(_BYTES.format("g") + " || encode('seat1') || " + _BYTES.format("CAST(3 AS UBIGINT)"))} AS VARCHAR) AS play_seed, CAST({_SEED.format(_BYTES.format("g") + " || encode('meas0') || " + _BYTES.format("CAST(3 AS UBIGINT)"))} AS VARCHAR) AS measurement_seed
+FROM g""")
+def game_identity(spark, d):
+    """Ids and the four kinds of seeds of games numbered by order keys; calls of turn 3, seat 1 (play) and seat 0 (measurement)."""
+    from .schedule import with_identity
+
+    g = with_identity(read(spark, d, "orders").select(F.col("o_orderkey").alias("game_index")), 2026)
+    seed, turn = F.col("derived_seed"), F.lit(3)
+    return g.select("game_index", "game_id", seed.cast("string").alias("derived_seed"), F.col("engine_seed").cast("string").alias("engine_seed"), codec.turn_seed(seed, "seat", F.lit(1), turn).cast("string").alias("play_seed"), codec.turn_seed(seed, "meas", F.lit(0), turn).cast("string").alias("measurement_seed"))
 
 
 @query("q_schedule_cross", """
-WITH m AS (SELECT n_nationkey AS a FROM nation WHERE n_nationkey < 4), p AS (SELECT x.a AS a, y.a AS b, row_number() OVER (ORDER BY x.a, y.a) - 1 AS p FROM m x JOIN m y ON x.a < y.a),
-b AS (SELECT n_nationkey AS board, row_number() OVER (ORDER BY n_nationkey) - 1 AS j FROM nation WHERE n_nationkey >= 9), o AS (SELECT unnest([0, 1]) AS o)
-SELECT CAST(32 * p + 2 * j + o AS INTEGER) AS game_index, CASE WHEN o = 0 THEN a ELSE b END AS seat0, CASE WHEN o = 0 THEN b ELSE a END AS seat1, board FROM p CROSS JOIN b CROSS JOIN o""")
+WITH p AS (SELECT x.r_regionkey AS a, y.r_regionkey AS b, row_number() OVER (ORDER BY x.r_regionkey, y.r_regionkey) - 1 AS p FROM region x JOIN region y ON x.r_regionkey < y.r_regionkey),
+b AS (SELECT n_nationkey AS board, row_number() OVER (ORDER BY n_nationkey) - 1 AS j, count(*) OVER () AS n FROM nation), o AS (SELECT unnest([0, 1]) AS o)
+SELECT CAST(2 * n * p + 2 * j + o AS INTEGER) AS game_index, CASE WHEN o = 0 THEN a ELSE b END AS seat0, CASE WHEN o = 0 THEN b ELSE a END AS seat1, board FROM p CROSS JOIN b CROSS JOIN o""")
 def schedule_cross(spark, d):
+    """All regions as models, all nations as boards."""
     from .schedule import build_schedule
 
-    n = read(spark, d, "nation")
-    models = n.where("n_nationkey < 4").select(F.col("n_nationkey").alias("model"))
-    boards = n.where("n_nationkey >= 9").select(F.col("n_nationkey").alias("board"))
+    models, boards = read(spark, d, "region").select(F.col("r_regionkey").alias("model")), read(spark, d, "nation").select(F.col("n_nationkey").alias("board"))
     return build_schedule(models, boards).select("game_index", "seat0", "seat1", "board")
 
 
@@ -173,4 +190,3 @@ def set_operations(spark, d):
     return out
 
 
-_ = text

@@ -11,13 +11,15 @@ _SUFFIXES = ["tion", "ment", "ung"]
 
 
 @query("q_text_flags", """
-WITH w AS (SELECT doc_id, source, lang, split_part(trim(text), ' ', 1) AS w FROM documents)
-SELECT doc_id, lower(trim(w)) AS word, regexp_full_match(w, '\\p{L}+') AS alpha, lower(trim(w)) IN ('the', 'de', 'der') AS seed,
-  ((lower(w) LIKE '%tion' AND length(w) > 4) OR (lower(w) LIKE '%ment' AND length(w) > 4) OR (lower(w) LIKE '%ung' AND length(w) > 3)) AS suffix, starts_with(source, 'src1') AS from_one, length(w) AS n FROM w""")
+WITH w AS (SELECT source, unnest(string_split(trim(text), ' ')) AS w FROM documents WHERE text IS NOT NULL)
+SELECT w AS word, lower(trim(w)) AS low, regexp_full_match(w, '\\p{L}+') AS alpha, lower(trim(w)) IN ('the', 'de', 'der') AS seed,
+  ((lower(w) LIKE '%tion' AND length(w) > 4) OR (lower(w) LIKE '%ment' AND length(w) > 4) OR (lower(w) LIKE '%ung' AND length(w) > 3)) AS suffix, starts_with(source, 'src1') AS from_one, CAST(length(w) AS BIGINT) AS n_chars, count(*) AS n FROM w GROUP BY ALL""")
 def text_flags(spark, d):
-    w = read(spark, d, "documents").select("doc_id", "source", F.split_part(F.trim("text"), F.lit(" "), F.lit(1)).alias("w"))
-    f = text.word_flags(F.col("w"), ["the", "de", "der"], _SUFFIXES)
-    return w.select("doc_id", F.lower(F.trim("w")).alias("word"), text.is_alpha(F.col("w")).alias("alpha"), f["seed"].alias("seed"), f["suffix"].alias("suffix"), F.startswith("source", F.lit("src1")).alias("from_one"), F.length("w").cast("long").alias("n"))
+    """Every distinct word of all texts, and how often it occurs."""
+    w = read(spark, d, "documents").where("text is not null").select("source", F.explode(F.split(F.trim("text"), " ")).alias("word"))
+    n = w.groupBy("word", F.startswith("source", F.lit("src1")).alias("from_one")).agg(F.count("*").alias("n"))
+    f = text.word_flags(F.col("word"), ["the", "de", "der"], _SUFFIXES)
+    return n.select("word", F.lower(F.trim("word")).alias("low"), text.is_alpha(F.col("word")).alias("alpha"), f["seed"].alias("seed"), f["suffix"].alias("suffix"), "from_one", F.length("word").cast("long").alias("n_chars"), "n")
 
 
 @query("q_json_extract", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, round(greatest(0, least(1, CAST(json_extract_string(props, '$.k') AS DOUBLE) / 50)), 6) AS confidence FROM events")

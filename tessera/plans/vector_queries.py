@@ -46,16 +46,28 @@ def weat(spark, d):
     return u.where("label >= 2").crossJoin(F.broadcast(poles)).select("vec_id", F.round(v.dot("v", "a") - v.dot("v", "b"), 6).alias("weat"))
 
 
+#: Vectors of a label that one row of the other side holds.
+BLOCK = 256
+
+
+def _blocks(e):
+    """(label, vs): the vectors of each label in arrays of at most BLOCK (id, v), so that a common label is dealt to several tasks."""
+    part = F.pmod(F.xxhash64("vec_id"), F.lit(64))
+    numbered = e.select("label", "vec_id", "v", part.alias("part")).withColumn("block", F.floor(F.row_number().over(Window.partitionBy("label", "part").orderBy("vec_id")) / BLOCK))
+    return numbered.groupBy("label", "part", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("vs")).select("label", "vs")
+
+
 @query("q_topk_similar", """
 WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-s AS (SELECT t.vec_id AS target, c.vec_id AS candidate, round(list_dot_product(t.v, c.v) / sqrt(list_dot_product(t.v, t.v) * list_dot_product(c.v, c.v)), 6) AS cos FROM e t JOIN e c ON t.label = c.label AND t.vec_id <> c.vec_id WHERE t.label = 0)
+s AS (SELECT t.vec_id AS target, c.vec_id AS candidate, round(list_dot_product(t.v, c.v) / sqrt(list_dot_product(t.v, t.v) * list_dot_product(c.v, c.v)), 6) AS cos FROM e t JOIN e c ON t.label = c.label AND t.vec_id <> c.vec_id)
 SELECT target, CAST(row_number() OVER (PARTITION BY target ORDER BY cos DESC, candidate) AS INTEGER) AS rank, candidate, cos FROM s QUALIFY row_number() OVER (PARTITION BY target ORDER BY cos DESC, candidate) <= 5""")
 def topk_similar(spark, d):
-    e = _emb(spark, d).where("label = 0")
-    t, c = e.select(F.col("vec_id").alias("target"), F.col("v").alias("tv"), "label"), e.select(F.col("vec_id").alias("candidate"), F.col("v").alias("cv"), "label")
-    s = t.join(c, "label").where("target <> candidate").select("target", "candidate", F.round(v.cosine("tv", "cv"), 6).alias("cos"))
+    """Every vector against all others of its label; each block hands on its five best."""
+    e = _emb(spark, d).select("vec_id", "label", "v")
+    scored = F.transform(F.filter("vs", lambda x: x["vec_id"] != F.col("target")), lambda x: F.struct(F.round(v.cosine(F.col("tv"), x["v"]), 6).alias("cos"), (-x["vec_id"]).alias("place")))
+    s = e.select(F.col("vec_id").alias("target"), F.col("v").alias("tv"), "label").join(_blocks(e), "label").select("target", F.explode(F.slice(F.sort_array(scored, False), 1, 5)).alias("x"))
     w = Window.partitionBy("target").orderBy(F.desc("cos"), "candidate")
-    return s.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("target", "rank", "candidate", "cos")
+    return s.select("target", (-F.col("x.place")).alias("candidate"), "x.cos").withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("target", "rank", "candidate", "cos")
 
 
 @query("q_congruence_classes", f"""
@@ -69,31 +81,15 @@ def congruence_classes(spark, d):
 
 @query("q_history_similarity", """
 WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
-SELECT c.vec_id, round(max(list_dot_product(c.v, h.v)), 6) AS sim_max, round(avg(list_dot_product(c.v, h.v)), 6) AS sim_mean FROM e c JOIN e h ON h.label = c.label + 1 AND h.vec_id % 10 = 0 GROUP BY 1""")
-def history_similarity(spark, d):
-    e = _emb(spark, d)
-    h = e.where("vec_id % 10 = 0").select((F.col("label") - 1).alias("label"), F.col("v").alias("hv"))
-    s = e.join(h, "label").select("vec_id", v.dot("v", "hv").alias("sim"))
-    return s.groupBy("vec_id").agg(F.round(F.max("sim"), 6).alias("sim_max"), F.round(F.avg("sim"), 6).alias("sim_mean"))
-
-
-#: Vectors of a label that one row of the history side holds.
-BLOCK = 256
-
-
-@query("q_history_similarity_all", """
-WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
 SELECT c.vec_id, round(max(list_dot_product(c.v, h.v)), 6) AS sim_max, round(avg(list_dot_product(c.v, h.v)), 6) AS sim_mean FROM e c JOIN e h ON h.label = c.label + 1 GROUP BY 1""")
-def history_similarity_all(spark, d):
-    """Like q_history_similarity, against every vector of the next label."""
-    e = _emb(spark, d)
-    block = F.floor(F.row_number().over(Window.partitionBy("label", F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy("vec_id")) / BLOCK)
-    h = e.select((F.col("label") - 1).alias("label"), F.col("v").alias("hv"), F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("part"), block.alias("block"))
-    blocks = h.groupBy("label", "part", "block").agg(F.collect_list("hv").alias("hs"))
+def history_similarity(spark, d):
+    """Every vector against all of the next label."""
+    e = _emb(spark, d).select("vec_id", "label", "v")
+    blocks = _blocks(e).withColumn("label", F.col("label") - 1)
     # the mean of dot products is the dot product with the mean vector
     mean = v.mean_vector(e.select((F.col("label") - 1).alias("label"), "v"), "v", "label")
-    top = e.join(blocks, "label").select("vec_id", F.array_max(F.transform("hs", lambda x: v.dot(F.col("v"), x))).alias("sim")).groupBy("vec_id").agg(F.max("sim").alias("sim"))
-    s = e.join(F.broadcast(mean), "label").select("vec_id", v.dot("v", "mean").alias("mean"))  # one row per label
+    top = e.join(blocks, "label").select("vec_id", F.array_max(F.transform("vs", lambda x: v.dot(F.col("v"), x["v"]))).alias("sim")).groupBy("vec_id").agg(F.max("sim").alias("sim"))
+    s = e.join(mean, "label").select("vec_id", v.dot("v", "mean").alias("mean"))
     return top.join(s, "vec_id").select("vec_id", F.round("sim", 6).alias("sim_max"), F.round("mean", 6).alias("sim_mean"))
 
 
@@ -103,22 +99,13 @@ def consensus_gate(spark, d):
 
 
 @query("q_admitted_partition", """
-WITH t AS (SELECT c_mktsegment AS seg, quantile_cont(c_acctbal, 0.10) AS tau FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1)
-SELECT c_custkey, c_acctbal >= tau AS admitted FROM customer JOIN t ON seg = c_mktsegment WHERE c_custkey % 2 = 1""")
-def admitted_partition(spark, d):
-    c = read(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
-    tau = c.where("c_custkey % 2 = 0").groupBy("c_mktsegment").agg(F.expr("percentile(c_acctbal, 0.10D)").alias("tau"))
-    return c.where("c_custkey % 2 = 1").join(F.broadcast(tau), "c_mktsegment").select("c_custkey", (F.col("c_acctbal") >= F.col("tau")).alias("admitted"))
-
-
-@query("q_admitted_partition_all", """
 WITH t AS (SELECT c_mktsegment AS seg, quantile_cont(c_acctbal, 0.10) FILTER (c_nationkey < 12) AS tau FROM customer GROUP BY 1)
 SELECT c_custkey, c_nationkey < 12 AS grandfathered, c_nationkey < 12 OR c_acctbal >= tau AS admitted FROM customer JOIN t ON seg = c_mktsegment""")
-def admitted_partition_all(spark, d):
-    """Like q_admitted_partition, with a verdict on every customer; those of the calibrating nations are grandfathered."""
+def admitted_partition(spark, d):
+    """A verdict on every customer; those of the calibrating nations are grandfathered."""
     c = read(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", (F.col("c_nationkey") < 12).alias("grandfathered"))
     tau = c.groupBy("c_mktsegment").agg(F.expr("percentile(c_acctbal, 0.10D) filter (where grandfathered)").alias("tau"))
-    return c.join(F.broadcast(tau), "c_mktsegment").select("c_custkey", "grandfathered", (F.col("grandfathered") | (F.col("c_acctbal") >= F.col("tau"))).alias("admitted"))
+    return c.join(tau, "c_mktsegment").select("c_custkey", "grandfathered", (F.col("grandfathered") | (F.col("c_acctbal") >= F.col("tau"))).alias("admitted"))
 
 
 @query("q_sign_partition_deltas", "SELECT delta, count(*) FILTER (c_acctbal > delta) AS kept, count(*) FILTER (NOT c_acctbal > delta) AS dropped FROM customer CROSS JOIN (SELECT CAST(unnest([0.0, 100.0, 1000.0, 5000.0]) AS DOUBLE) AS delta) GROUP BY 1")

@@ -60,10 +60,52 @@ def read_words(spark: SparkSession, path: str) -> DataFrame:
 
 
 def frequency_table(spark: SparkSession, path: str) -> DataFrame:
-    """word, zipf, dom_pos; of several rows of a word the highest frequency stays."""
+    """word, zipf, dom_pos of a prepared list; of several rows of a word the last stays; a frequency that is no number is an error."""
     raw = spark.read.schema("word string, zipf string, dom_pos string").option("header", True).csv(path)
-    rows = raw.select(F.lower(F.trim("word")).alias("word"), F.expr("try_cast(zipf as double)").alias("zipf"), "dom_pos").where("word <> '' and zipf is not null")
-    return rows.groupBy("word").agg(F.max("zipf").alias("zipf"), F.max_by("dom_pos", "zipf").alias("dom_pos"))
+    rows = raw.select(F.monotonically_increasing_id().alias("at"), F.lower(F.trim("word")).alias("word"), F.trim("zipf").cast("double").alias("zipf"), F.trim(F.coalesce("dom_pos", F.lit(""))).alias("dom_pos")).where("word <> ''")
+    return rows.groupBy("word").agg(F.max_by(F.struct("zipf", "dom_pos"), "at").alias("r")).select("word", "r.zipf", "r.dom_pos")
+
+
+def frequency_rows(raw: DataFrame, word: str = "Word", zipf: str = "Zipf-value", dom_pos: str = "Dom_PoS_SUBTLEX") -> DataFrame:
+    """A raw frequency sheet by column names: word, zipf, dom_pos; rows without a number go, of a word's rows the most frequent stays."""
+    rows = raw.select(F.lower(F.trim(F.col(f"`{word}`"))).alias("word"), F.col(f"`{zipf}`").try_cast("double").alias("zipf"), F.trim(F.col(f"`{dom_pos}`")).alias("dom_pos")).where("word <> '' and zipf is not null")
+    return rows.groupBy("word").agg(F.max_by(F.struct("zipf", "dom_pos"), F.struct("zipf", "dom_pos")).alias("r")).select("word", "r.zipf", "r.dom_pos")
+
+
+def read_attributes(spark: SparkSession, path: str) -> DataFrame:
+    """(word, pole) of an attribute list; blank words go, a pole that is neither is an error that names its line's file; a word on both poles is an error."""
+    raw = spark.read.schema("word string, pole string").option("header", True).csv(path).where("trim(coalesce(word, '')) <> ''")
+    rows = raw.select(F.lower(F.trim("word")).alias("word"), one_of(F.lower(F.trim("pole")), ("male", "female"), "pole").alias("pole"))
+    g = rows.groupBy("word").agg(F.min("pole").alias("a"), F.max("pole").alias("b"))
+    return g.select("word", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.raise_error(F.concat(F.lit("both poles: "), F.col("word")))).alias("pole"))
+
+
+def pole_counts(attributes: DataFrame, loaded: DataFrame) -> DataFrame:
+    """One row: attributes and loaded words (category) of each pole."""
+    count = lambda df, c, kind: df.agg(*[F.count_if(F.col(c) == p).alias(f"{kind}_{p}") for p in ("male", "female")])
+    return count(attributes.select("word", "pole").distinct(), "pole", "attributes").crossJoin(count(loaded.select("word", "category").distinct(), "category", "loaded"))  # two single rows
+
+
+def read_stoplist(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+    """Normalised words of a stoplist, and the SHA-256 of the file's bytes."""
+    words = spark.read.option("header", True).csv(path)
+    first = words.columns[0]
+    digest = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("d")).first()["d"]  # one small file
+    return words.select(F.lower(F.trim(F.col(f"`{first}`"))).alias("word")).where("word <> ''").distinct(), digest
+
+
+def read_manifest(path: str) -> tuple[int, list[str]]:
+    """Master seed and dilemma files of a bank's manifest; a seed that is no integer, or a list that holds no strings, is an error."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        doc = json.load(f)
+    seed, files = doc.get("master_seed"), doc.get("dilemmas")
+    if not isinstance(seed, int) or isinstance(seed, bool):
+        raise ValueError(f"{path}: master_seed must be an integer")
+    if not isinstance(files, list) or not all(isinstance(x, str) for x in files):
+        raise ValueError(f"{path}: dilemmas must be a list of file names")
+    return seed, list(files)
 
 
 def playable_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -80,6 +80,3 @@ def link_items(items: DataFrame, reveals: DataFrame, cards: DataFrame) -> DataFr
     words = cards.select(F.col("board_id"), F.lower("text").alias("_key"), F.col("card_id").alias("resolved_card_id"))
     return linked.withColumn("_key", F.lower("word")).join(words, ["board_id", "_key"], "left").drop("_key")
 
-
-def counter(condition: Column) -> Column:
-    return F.count_if(condition)

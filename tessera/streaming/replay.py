@@ -27,6 +27,8 @@ class Game:
         """Role that a guess meets: the giver's face decides, so the guesser of seat s reads face 1 - s. None: not playable."""
         if self.over or card in self.found or (card, seat) in self.marked or card not in self.roles:
             return None
+        if self.sudden_death and not self.left(seat):
+            return None  # who has found all their agents guesses no more
         role = self.roles[card][1 - seat]
         if role == "agent":
             self.found.add(card)
@@ -47,6 +49,10 @@ class Game:
         if self.tokens <= 0:
             self.sudden_death = True
 
+    def left(self, seat: int) -> int:
+        """Agents that the guesser of a seat has still to find."""
+        return sum(r[1 - seat] == "agent" and c not in self.found for c, r in self.roles.items())
+
     def total(self) -> int:
         return sum("agent" in r for r in self.roles.values())
 
