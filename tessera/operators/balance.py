@@ -14,12 +14,12 @@ def two_group(rows: DataFrame, treated: Column, value: str, *by: str) -> DataFra
     """Counts, means and sample variances of the two groups per key."""
     a, b = F.when(treated, F.col(value)), F.when(~treated, F.col(value))
     return rows.groupBy(*by).agg(
-        F.count(a).alias("na"), F.count(b).alias("nb"), F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.try_variance(a).alias("va") if hasattr(F, "try_variance") else F.var_samp(a).alias("va"), F.var_samp(b).alias("vb")
+        F.count(a).alias("na"), F.count(b).alias("nb"), F.avg(a).alias("ma"), F.avg(b).alias("mb"), F.var_samp(a).alias("va"), F.var_samp(b).alias("vb")
     )
 
 
 def effect_sizes(stats: DataFrame, *by: str, decimals: int = 6) -> DataFrame:
-    """smd (mean of variances), cohen_d (n-weighted pooled) and axis_d (simple pooled); null for groups under two or without spread."""
+    """smd (root of the mean variance, which is also the simply pooled deviation) and cohen_d (n-weighted pooled); null for groups under two or without spread."""
     ok = (F.col("na") >= 2) & (F.col("nb") >= 2)
     diff = F.col("ma") - F.col("mb")
     mean_var = (F.col("va") + F.col("vb")) / 2

@@ -33,4 +33,4 @@ def read(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import concordance_queries, data_queries, inference_queries, log_queries, skill_queries, text_queries, vector_queries  # noqa: E402, F401
+from . import concordance_queries, data_queries, design_queries, inference_queries, log_queries, skill_queries, text_queries, vector_queries  # noqa: E402, F401

@@ -384,3 +384,78 @@ def test_partition_labels_every_customer(spark, small):
     every = spark.read.parquet(f"{small}/customer.parquet")
     assert {r["c_custkey"] for r in got.collect()} == {r["c_custkey"] for r in every.collect()}
     assert got.where("grandfathered and not admitted").count() == 0 and got.where("not grandfathered").count() > 0
+
+
+def test_interval_paths_agree(spark, monkeypatch):
+    """Sums broadcast to the draws, or draws counted and joined by a shuffle; a point for every cell that has one."""
+    rows = [("a", c, f"g{i}", i % (3 if c == "x" else 5), 5) for i in range(40) for c in ("x", "y")] + [("b", "x", f"g{i}", 1, 2) for i in range(7)]
+    sums = spark.createDataFrame(rows, "model string, cell string, game_id string, num long, den long")
+    universe = sums.select("model", "game_id").unionByName(spark.createDataFrame([("b", "alone")], "model string, game_id string"))
+    run = lambda: sorted(map(tuple, inference.cluster_bootstrap(sums, universe, "game_id", ("model",), ["x", "y"], 50, (("gap", ("x",), ("y",)),), 0.5).collect()))
+    want = run()
+    assert [(r[0], r[1]) for r in want] == [("a", "gap"), ("a", "x"), ("a", "y"), ("b", "x")] and [r[2] for r in want][3] == 0.5
+    monkeypatch.setattr(inference, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(inference, "_RUN", 3)
+    assert run() == want
+
+
+def test_cluster_numbers(spark):
+    c = spark.createDataFrame([("m", f"c{i}") for i in range(300)] + [("k", "z")], "model string, c string")
+    got = inference.numbered(c, "c", "model").collect()
+    mine = sorted((r["ord"], r["c"]) for r in got if r["model"] == "m")
+    order = sorted((f"c{i}" for i in range(300)), key=lambda x: (hashlib.md5(x.encode()).hexdigest()[:2], x))
+    assert mine == list(enumerate(order)) and {r["n"] for r in got} == {300, 1}
+
+
+def test_design_rules(spark):
+    from tessera.operators import design
+
+    f = spark.createDataFrame([("sun", 4.0)], "word string, zipf double")
+    found, lost = design.frequency_lookup(spark.createDataFrame([("Sun",), ("moon",), ("Moon",)], "word string"), f)
+    assert {(r["word"], r["zipf"]) for r in found.collect()} == {("Sun", 4.0), ("moon", None), ("Moon", None)} and [r["word"] for r in lost.collect()] == ["moon"]
+    a, b = (spark.createDataFrame([(i, v) for i, v in enumerate(vs)], "at int, value string") for vs in (("x", "y"), ("u", "v")))
+    assert sorted(map(tuple, design.zipped(a, b, "at").collect())) == [(0, "x", "u"), (1, "y", "v")]
+    with pytest.raises(Exception, match="unlike length"):
+        design.zipped(a, b.limit(1), "at").collect()
+    deck = spark.createDataFrame([("Apple",), ("pear",)], "word string")
+    assert {tuple(r) for r in design.recall(deck, ["apple ", "fig"]).collect()} == {("apple", True), ("fig", False)}
+    spec = spark.createDataFrame([("a/all-x", "1"), ("b/gte-y", "2")], "model_id string, revision string")
+    assert design.arbiters_checked(spec, "a/all-x", ["llama"]).count() == 2
+    for bad, primary, what in ((spec.where("false"), "a/all-x", "no arbiters"), (spec, "c", "primary"), (spec.withColumn("revision", F.lit(None).cast("string")), "a/all-x", "not pinned"), (spec, "a/all-x", None)):
+        with pytest.raises(Exception, match=what or "evaluated model: b/gte-y"):
+            design.arbiters_checked(bad, primary, ["gte"] if what is None else ["llama"]).collect()
+    v = design.covariate_verdicts(spark.createDataFrame([(i % 2 == 0, float(i // 2), float(i)) for i in range(2000)], "t boolean, same double, apart double"), F.col("t"), ["same", "apart"])
+    assert {r["covariate"]: (r["smd_ok"], r["equivalent"]) for r in v.collect()} == {"same": (True, True), "apart": (True, True)}
+    far = design.covariate_verdicts(spark.createDataFrame([(i % 2 == 0, float(i % 2) * 9 + i % 5) for i in range(40)], "t boolean, x double"), F.col("t"), ["x"])
+    assert tuple(one(far.select("smd_ok", "equivalent"))) == (False, False) and one(design.well_balanced(far))[0] is False
+
+
+def test_frame_that_is_missing(spark):
+    from tessera.flows import log as L
+
+    empty = L.Log({n: schemas.empty(spark, n) for n in schemas.TABLES})
+    with pytest.raises(L.MissingFrame):
+        L.Geometry.load(empty, "none")
+
+
+def test_artifacts(spark, tmp_path):
+    from tessera.sources import artifacts
+
+    doc = artifacts.frame_document({"name": "é"}, [0.0, 1.0], [3.0, 4.0], {"reference": 2}, "now", "1")
+    assert doc["mu_bar"]["norm"] == 5 and doc["mu_bar"]["cos_with_axis"] == 0.8 and doc["frame_id"] == codec.content_id({k: v for k, v in doc.items() if k != "frame_id"})
+    assert artifacts.frame_document({"name": "é"}, [0.0, 1.0], [3.0, 4.0], {"reference": 2}, "later", "1")["frame_id"] == doc["frame_id"]
+    p = str(tmp_path / "d.json")
+    record = {"specification": "s", "target": "t", "neutral_bridge": "n", "stereotypical_bridge": "b", "consensus_ok": True, "arbiter_scores": []}
+    artifacts.write_dilemma(p, record)
+    with pytest.raises(FileExistsError):
+        artifacts.write_dilemma(p, record)
+    assert artifacts.read_dilemma(p) == record and os.listdir(tmp_path) == ["d.json"]
+    artifacts.write_json(p, {"target": 1})
+    with pytest.raises(ValueError, match="no specification"):
+        artifacts.read_dilemma(p)
+    rows = spark.createDataFrame([("b", None, []), ("a", "s", ["x", "y"])], "word string, specification string, weat_set array<string>")
+    assert artifacts.candidates_csv(rows) == "word,specification,weat_set\na,s,x;y\nb,,\n"
+    audit = artifacts.provenance({"raw": 2}, spark.createDataFrame([("a", "stoplist"), ("b", None)], "word string, reason string"), {"f": p})
+    assert audit["excluded"] == {"stoplist": ["a"]} and len(audit["inputs"]["f"]) == 64
+    assert artifacts.report_lines(spark.createDataFrame([("m", 0.5), (None, None)], "model string, x double"), "model") == ["model  x", "-  -", "m  0.5000"]
+    assert artifacts.rho_fixture_path("f", "8a404797aa") == os.path.join("f", "rho_reference_8a404797.json")
