@@ -116,3 +116,30 @@ def test_language_stage_drops_unlearned_languages(spark, small):
     assert {r["doc_id"] for r in docs.select("doc_id").collect()} <= out
     unknown = both.withColumn("lang", F.lit(None).cast("string"))
     assert corpus_pipeline.language(spark, unknown, small).count() == both.count()
+
+
+def test_stages_on_messy_tables(spark, small):
+    """Null and repeated ids, repeated rows, empty and very long texts, clashing columns: each stage gives what its docstring says."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    learned = docs.where("doc_id < 60 and length(text) > 40")
+    bench = spark.read.parquet(f"{small}/benchmark.parquet").where("length(text) > 60").orderBy("item_id").first()["text"]
+    text = learned.orderBy("doc_id").first()["text"]
+    rows = [(None, text), (None, None), (10**6, text + " first"), (10**6, text + " first"), (10**6 + 1, text + " first"), (10**6 + 2, ""), (10**6 + 3, (text + " ") * 200), (10**6 + 4, "so " + bench + " it is"), (10**6 + 5, "token=abcdefgh " * 3000)]
+    new = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit("messy"))
+    messy = learned.unionByName(new, allowMissingColumns=True).withColumns({c: F.lit(7) for c in ("blob", "_found", "rep", "grp", "class_id", "text_hash", "places", "least", "salt", "length", "rank", "unlearned")})
+    stage, n = dict(corpus_pipeline.STAGES), learned.count()
+
+    def ids(df):
+        assert df.columns == messy.columns
+        return sorted(((r["doc_id"] or -1) - 10**6, (r["text"] or "")[:5]) for r in df.where("source = 'messy'").collect())
+
+    assert [i for i, _ in ids(stage["language"](spark, messy, small))] == [-10**6 - 1, -10**6 - 1, 0, 0, 1, 3, 4]  # the secrets are in no language
+    named = dict((r["doc_id"], r["text"]) for r in messy.where("doc_id is not null").collect())
+    classes = jaccard_join.brute_force(list(named.items()))
+    assert [i for i, _ in ids(stage["near_duplicates"](spark, messy, small))] == sorted((i or -1) - 10**6 for i, _ in rows if i is None or classes[i][0] == i)
+    assert 4 not in [i for i, _ in ids(stage["decontamination"](spark, messy, small))]
+    out = stage["secrets"](spark, messy, small)
+    assert len(ids(out)) == len(rows) and dict(ids(out))[5] == "[SECR"
+    packed = stage["packing"](spark, messy, small)
+    assert packed.where("doc_id is null and start = 0").count() == 2 and packed.where("doc_id = 1000000 and start = 0").count() == 2
+    assert packed.where("start = 0").count() == n + len(rows)
