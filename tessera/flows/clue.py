@@ -32,6 +32,21 @@ def available_agents(log: L.Log, turns: DataFrame) -> DataFrame:
     return staged(open_.join(L.targets(log).withColumn("_t", F.lit(True)), ["turn_id", "word"], "left").withColumn("aimed", F.coalesce("_t", F.lit(False))).drop("_t"), "open-agents")
 
 
+def resolved_targets(log: L.Log) -> DataFrame:
+    """(clue_id, position, word, card_id, giver_role, revealed_at_clue) of every word that a clue aims at.
+
+    A word takes the board's card of that text, whatever its case; one that is off the board keeps nulls. The role is that of the
+    giver's face, and a card was revealed if a strictly earlier turn of the game revealed it.
+    """
+    turns = log["turn"].select("turn_id", "game_id", "turn_number", F.col("clue_giver_seat").alias("seat")).join(log["game"].select("game_id", "board_id"), "game_id")
+    aims = log["clue_target"].select("clue_id", "position", "word").join(log["clue"].select("clue_id", "turn_id"), "clue_id").join(turns, "turn_id").withColumn("_key", F.lower("word"))
+    board = L.cards(log).select("board_id", F.col("word").alias("_key"), "card_id", "llm_perspective_role", "human_perspective_role")
+    met = aims.join(board, ["board_id", "_key"], "left")
+    first = log["reveal_event"].select("turn_id", "card_id").join(log["turn"].select("turn_id", "game_id", "turn_number"), "turn_id").groupBy("game_id", "card_id").agg(F.min("turn_number").alias("first"))
+    seen = met.join(first, ["game_id", "card_id"], "left")
+    return seen.select("clue_id", "position", "word", "card_id", F.when(F.col("card_id").isNotNull(), L.face(F.col("seat"))).alias("giver_role"), F.when(F.col("card_id").isNotNull(), F.coalesce(F.col("first") < F.col("turn_number"), F.lit(False))).alias("revealed_at_clue"))
+
+
 def dilemma_observations(agents: DataFrame) -> DataFrame:
     """(model, game_id, turn_id, seat, stratum, y) of turns on which all three dilemma words were open agents of the giver."""
     at = lambda c: F.bool_or((F.col("word") == F.col(c)) & F.col("aimed"))

@@ -250,3 +250,33 @@ def log_skill_counts(spark, d):
 @query("q_log_results", f"WITH {_SKILL} SELECT coalesce(result, '<NULL>') AS result, count(*) AS n_games FROM gm GROUP BY 1")
 def log_results(spark, d):
     return skill.results(skill.games(standin(spark, d), MASTER))
+
+
+@query("q_clue_targets", f"""
+WITH {CTES}, fr AS (SELECT game_id, card_id, min(turn_number) AS f FROM reveal_event JOIN turn USING (turn_id) GROUP BY ALL)
+SELECT c.clue_id, a.position, a.word, cd.card_id, CASE WHEN t.clue_giver_seat = 0 THEN r0 ELSE r1 END AS giver_role, CASE WHEN cd.card_id IS NOT NULL THEN coalesce(f < turn_number, false) END AS revealed_at_clue
+FROM clue_target a JOIN clue c USING (clue_id) JOIN turn t USING (turn_id) JOIN game g USING (game_id) LEFT JOIN cd ON cd.board_id = g.board_id AND cd.word = lower(a.word) LEFT JOIN fr ON fr.game_id = g.game_id AND fr.card_id = cd.card_id""")
+def clue_targets(spark, d):
+    return clue.resolved_targets(standin(spark, d))
+
+
+_LEFT = {"run": "run", "game": "game", "game_seat": "game_seat WHERE game_id IN (SELECT game_id FROM gl)", "turn": "turn WHERE game_id IN (SELECT game_id FROM gl)", "clue": "clue WHERE turn_id IN (SELECT turn_id FROM tl)",
+         "clue_target": "clue_target WHERE clue_id IN (SELECT turn_id FROM tl)", "reveal_event": "reveal_event WHERE turn_id IN (SELECT turn_id FROM tl)", "guess_proposal": "guess_proposal WHERE turn_id IN (SELECT turn_id FROM tl)",
+         "guess_proposal_item": "guess_proposal_item WHERE guess_proposal_id // 4 IN (SELECT turn_id FROM tl)"}
+
+
+@query("q_delete_run", f"""
+WITH {CTES}, gl AS (SELECT game_id FROM game WHERE run_id <> 'r2'), tl AS (SELECT turn_id FROM turn WHERE game_id IN (SELECT game_id FROM gl)), n AS (SELECT count(*) AS n_games FROM game WHERE run_id = 'r2'),
+c AS ({" UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n_left FROM " + (f"{w} WHERE run_id <> 'r2'" if t in ("run", "game") else w) for t, w in _LEFT.items())})
+SELECT name, n_left, n_games FROM c CROSS JOIN n""")
+def delete_run(spark, d):
+    """What is left of each table when a run goes, and the games that went with it."""
+    from ..sources import sinks
+
+    log = standin(spark, d)
+    n, left = sinks.delete_run({t: log[t] for t in _LEFT}, "r2")
+    out = None
+    for name, rows in left.items():
+        one = rows.agg(F.count("*").alias("n_left")).select(F.lit(name).alias("name"), "n_left", F.lit(n).cast("long").alias("n_games"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -29,10 +29,45 @@ def cascade_delete(tables: dict[str, tuple[DataFrame, str]], doomed: DataFrame,
     return {name: (rows, rows.join(ids, F.col(col) == F.col("_doomed"), "left_anti")) for name, (rows, col) in tables.items()}
 
 
+#: Which table refers to which, and by what column: deleting a run deletes down these.
+REFERENCES = (
+    ("game", "run_id", "run", "run_id"), ("game_seat", "game_id", "game", "game_id"), ("turn", "game_id", "game", "game_id"), ("llm_call", "game_id", "game", "game_id"),
+    ("clue", "turn_id", "turn", "turn_id"), ("clue_target", "clue_id", "clue", "clue_id"), ("reveal_event", "turn_id", "turn", "turn_id"),
+    ("guess_proposal", "turn_id", "turn", "turn_id"), ("guess_proposal_item", "guess_proposal_id", "guess_proposal", "guess_proposal_id"),
+)
+
+
+def delete_run(tables: dict[str, DataFrame], run_id: str) -> tuple[int, dict[str, DataFrame]]:
+    """How many games a run has, and every table without the run and what hangs on it; a run that is not there changes nothing."""
+    doomed = {"run": tables["run"].where(F.col("run_id") == run_id).select("run_id")}
+    left = dict(tables) | {"run": tables["run"].where(~F.col("run_id").eqNullSafe(F.lit(run_id)))}
+    for child, column, parent, key in REFERENCES:
+        if child in tables:
+            ids = doomed[parent].select(F.col(key).alias(column)).distinct()
+            doomed[child] = tables[child].join(ids, column, "left_semi")
+            left[child] = tables[child].join(ids, column, "left_anti").select(*tables[child].columns)
+    return doomed["game"].count() if "game" in doomed else 0, left
+
+
+def mint_run(spark, run_id: str, master_seed: int, temperature: float | None, snapshot: dict, templates: dict[str, str], notes: str | None = None) -> DataFrame:
+    """One row of the run table: seed unsigned, registry snapshot as JSON, version of the prompts by their fingerprint."""
+    import json
+
+    from ..functions import codec
+
+    row = spark.range(1).select(
+        F.lit(run_id).alias("run_id"), F.lit(str(master_seed % 2**64)).cast("decimal(20,0)").alias("master_seed"), F.lit(temperature).cast("double").alias("temperature"), F.lit(None).cast("string").alias("regime_label"), F.lit(None).cast("string").alias("code_version"),
+        F.lit(codec.fingerprint(templates)).alias("prompt_template_version"), F.lit(json.dumps(snapshot, sort_keys=True)).alias("model_registry_snapshot"), F.current_timestamp().alias("created_at"), F.lit(notes).cast("string").alias("notes"),
+    )
+    return row
+
+
 def board_documents(cards: DataFrame, boards: DataFrame) -> DataFrame:
-    """(board_id, json): board files, card texts upper-cased and bystanders named civilians; 25 cards a board."""
+    """(board_id, json): board files, card texts upper-cased and bystanders named civilians, with source, sets and covariates where the cards have them; 25 cards a board."""
     role = lambda c: F.when(F.col(c) == "bystander", "civilian").otherwise(F.col(c)).alias(c)
-    card = F.struct(F.col("card_id").alias("id"), F.upper("text").alias("text"), role("human_perspective_role"), role("llm_perspective_role"), "category")
+    more = [c for c in ("source", "weat_set") if c in cards.columns]
+    measured = [c for c in ("subtlex_freq", "length", "wordnet_polysemy") if c in cards.columns]
+    card = F.struct(F.col("card_id").alias("id"), F.upper("text").alias("text"), role("human_perspective_role"), role("llm_perspective_role"), "category", *more, *([F.struct(*measured).alias("covariates")] if measured else []))
     grouped = cards.groupBy("board_id").agg(F.array_sort(F.collect_list(card)).alias("cards"))
     return boards.join(grouped, "board_id").select("board_id", F.to_json(F.struct(*boards.columns, "cards")).alias("json"))
 

@@ -459,3 +459,15 @@ def test_artifacts(spark, tmp_path):
     assert audit["excluded"] == {"stoplist": ["a"]} and len(audit["inputs"]["f"]) == 64
     assert artifacts.report_lines(spark.createDataFrame([("m", 0.5), (None, None)], "model string, x double"), "model") == ["model  x", "-  -", "m  0.5000"]
     assert artifacts.rho_fixture_path("f", "8a404797aa") == os.path.join("f", "rho_reference_8a404797.json")
+
+
+def test_runs_are_minted_and_boards_written_whole(spark):
+    r = one(sinks.mint_run(spark, "r", 2**64 - 1, 0.5, {"b": 1, "a": 2}, {"t": "x"}))
+    assert int(r["master_seed"]) == 2**64 - 1 and r["model_registry_snapshot"] == '{"a": 2, "b": 1}' and r["prompt_template_version"] == codec.fingerprint({"t": "x"})
+    assert schemas.empty(spark, "run").unionByName(sinks.mint_run(spark, "r", 1, None, {}, {})).count() == 1
+    cards = spark.createDataFrame([("b", 0, "sun", "agent", "bystander", "neutral", "deck", ["w"], 4.5, 3, 2)], "board_id string, card_id int, text string, llm_perspective_role string, human_perspective_role string, category string, source string, weat_set array<string>, subtlex_freq double, length int, wordnet_polysemy int")
+    doc = json.loads(one(sinks.board_documents(cards, spark.createDataFrame([("b", "control")], "board_id string, type string")))["json"])
+    assert doc["cards"] == [{"id": 0, "text": "SUN", "human_perspective_role": "civilian", "llm_perspective_role": "agent", "category": "neutral", "source": "deck", "weat_set": ["w"], "covariates": {"subtlex_freq": 4.5, "length": 3, "wordnet_polysemy": 2}}]
+    run = spark.createDataFrame([("r",)], "run_id string")
+    n, left = sinks.delete_run({"run": run, "game": spark.createDataFrame([("g", "r")], "game_id string, run_id string")}, "other")
+    assert n == 0 and left["run"].count() == left["game"].count() == 1
