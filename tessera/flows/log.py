@@ -110,5 +110,13 @@ class Geometry:
         return rows.join(known, (F.col(a) == F.col("_a")) & (F.col(b) == F.col("_b")), "left").drop("_a", "_b")
 
 
+def encoder_spec(log: Log, frame_id: str) -> dict:
+    """Name, revision, pooling and normalisation of a frame's encoder; a frame that is not there is an error."""
+    rows = log["measurement_frame"].where(F.col("frame_id") == frame_id).select("encoder_name", "encoder_revision", "encoder_pooling", "encoder_normalize").limit(2).collect()
+    if len(rows) != 1:
+        raise MissingFrame(f"no single measurement frame {frame_id!r}")
+    return rows[0].asDict()
+
+
 def required(value: Column, what: str, word: Column) -> Column:
     return F.coalesce(value, F.raise_error(F.concat(F.lit(f"no embedding of {what} "), F.coalesce(word, F.lit("NULL")))))

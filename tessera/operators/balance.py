@@ -83,6 +83,19 @@ def caliper_match(logit_minor: list[float], logit_major: list[float], caliper: f
     return out
 
 
+def _matched(pool: pd.DataFrame, caliper_sd: float):
+    """(pool in order, logits, places of the pairs, words that no partner was near enough for, words beyond the smaller group, imputed frequencies)."""
+    pool = pool.sort_values("text").reset_index(drop=True)
+    floor = pool.freq.min()
+    x = np.column_stack((pool.freq.fillna(0.0 if pd.isna(floor) else floor), pool.length, pool.polysemy)).astype(float)
+    p = np.clip(propensity(x, pool.treated.to_numpy(float)), 1e-12, 1 - 1e-12)
+    logit = np.log(p / (1 - p))
+    a, b = np.flatnonzero(pool.treated), np.flatnonzero(~pool.treated.astype(bool))
+    minor, major = (a, b) if len(a) <= len(b) else (b, a)
+    pairs = [(int(minor[i]), int(major[j])) for i, j in caliper_match(logit[minor].tolist(), logit[major].tolist(), caliper_sd * logit.std())]
+    return pool, logit, pairs, len(minor) - len(pairs), len(major) - len(minor), int(pool.freq.isna().sum())
+
+
 def match_by(words: DataFrame, caliper_sd: float = 0.2) -> DataFrame:
     """Matched pairs per specification: words hold specification, text, treated, freq, length, polysemy.
 
@@ -90,19 +103,22 @@ def match_by(words: DataFrame, caliper_sd: float = 0.2) -> DataFrame:
     """
 
     def run(pool: pd.DataFrame) -> pd.DataFrame:
-        pool = pool.sort_values("text").reset_index(drop=True)
-        floor = pool.freq.min()
-        x = np.column_stack((pool.freq.fillna(0.0 if pd.isna(floor) else floor), pool.length, pool.polysemy)).astype(float)
-        p = np.clip(propensity(x, pool.treated.to_numpy(float)), 1e-12, 1 - 1e-12)
-        logit = np.log(p / (1 - p))
-        a, b = np.flatnonzero(pool.treated), np.flatnonzero(~pool.treated.astype(bool))
-        minor, major = (a, b) if len(a) <= len(b) else (b, a)
-        pairs = caliper_match(logit[minor].tolist(), logit[major].tolist(), caliper_sd * logit.std())
-        return pd.DataFrame([(pool.specification[0], pool.text[minor[i]], pool.text[major[j]], abs(logit[minor[i]] - logit[major[j]])) for i, j in pairs], columns=["specification", "minor", "major", "gap"])
+        own, logit, pairs, *_ = _matched(pool, caliper_sd)
+        return pd.DataFrame([(own.specification[0], own.text[i], own.text[j], abs(logit[i] - logit[j])) for i, j in pairs], columns=["specification", "minor", "major", "gap"])
 
     return words.groupBy("specification").applyInPandas(run, "specification string, minor string, major string, gap double")
 
 
+def match_report(words: DataFrame, caliper_sd: float = 0.2) -> DataFrame:
+    """(specification, pairs, caliper_drops, excess, imputed) of ``match_by``: what stayed out, and why."""
+
+    def run(pool: pd.DataFrame) -> pd.DataFrame:
+        own, _, pairs, drops, excess, imputed = _matched(pool, caliper_sd)
+        return pd.DataFrame([(own.specification[0], len(pairs), drops, excess, imputed)], columns=["specification", "pairs", "caliper_drops", "excess", "imputed"])
+
+    return words.groupBy("specification").applyInPandas(run, "specification string, pairs long, caliper_drops long, excess long, imputed long")
+
+
 def logit(p: float) -> float:
     p = min(max(p, 1e-12), 1 - 1e-12)
     return math.log(p / (1 - p))

@@ -190,3 +190,15 @@ def set_operations(spark, d):
     return out
 
 
+
+
+@query("q_batch_abort", """
+WITH g AS (SELECT o_custkey % 40 AS pairing, o_orderkey AS k, o_orderstatus <> 'P' AS ok FROM orders), r AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY pairing ORDER BY k) AS won FROM g),
+s AS (SELECT *, count(*) FILTER (NOT ok) OVER (PARTITION BY pairing, won ORDER BY k) AS streak FROM r), e AS (SELECT pairing, min(k) FILTER (streak >= 3) AS stop FROM s GROUP BY 1), j AS (SELECT s.*, coalesce(k > stop, false) AS skipped FROM s JOIN e USING (pairing))
+SELECT pairing, count(*) AS scheduled, count(*) FILTER (NOT skipped) AS attempted, count(*) FILTER (ok AND NOT skipped) AS completed, count(*) FILTER (NOT ok AND NOT skipped) AS errored, count(*) FILTER (skipped) AS skipped, bool_or(skipped) AS aborted FROM j GROUP BY 1""")
+def batch_abort(spark, d):
+    """Three failures in a row end a pairing's batch."""
+    from ..operators import batch
+
+    games = read(spark, d, "orders").select((F.col("o_custkey") % 40).alias("pairing"), F.col("o_orderkey").alias("k"), (F.col("o_orderstatus") != "P").alias("ok"))
+    return batch.report(batch.outcomes(games, "pairing", "k", "ok", 3), "pairing")

@@ -91,3 +91,28 @@ def report_lines(rows: DataFrame, *keys: str) -> list[str]:
     for r in rows.orderBy(*[F.col(k).asc_nulls_first() for k in keys]).toLocalIterator():
         lines.append("  ".join("-" if r[c] is None else f"{r[c]:.4f}" if isinstance(r[c], float) else str(r[c]) for c in names))
     return lines
+
+
+def read_encoder_recipe(folder: str) -> dict:
+    """Pooling and normalisation of an encoder's snapshot: its list of modules and the pooling module's settings, of which just one mode may be on."""
+    with open(os.path.join(folder, "modules.json"), encoding="utf-8") as f:
+        modules = json.load(f)
+    pooling = [m for m in modules if m["type"].endswith(".Pooling")]
+    if len(pooling) != 1:
+        raise ValueError(f"{folder}: {len(pooling)} pooling modules")
+    with open(os.path.join(folder, pooling[0]["path"], "config.json"), encoding="utf-8") as f:
+        config = json.load(f)
+    modes = [k.removeprefix("pooling_mode_") for k, v in config.items() if k.startswith("pooling_mode_") and v is True]
+    if len(modes) != 1:
+        raise ValueError(f"{folder}: {len(modes)} pooling modes are on")
+    return {"pooling": modes[0].split("_")[0], "dim": config.get("word_embedding_dimension"), "normalize": any(m["type"].endswith(".Normalize") for m in modules)}
+
+
+def check_encoder(recipe: dict, pooling: str, dim: int, normalize: bool) -> None:
+    """An encoder that pools otherwise, gives vectors of another length, or normalises though the frame says it does not, is an error."""
+    if recipe["pooling"] != pooling:
+        raise ValueError(f"pools with {recipe['pooling']}, not {pooling}")
+    if recipe["dim"] is not None and recipe["dim"] != dim:
+        raise ValueError(f"{recipe['dim']} components, not {dim}")
+    if recipe["normalize"] and not normalize:
+        raise ValueError("normalises, though the frame does not")

@@ -24,6 +24,20 @@ def read_boards(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("_file", F.col("_metadata.file_name")).where(~F.col("_file").isin(*NOT_BOARDS) & F.col("board_id").isNotNull() & (F.size("cards") > 0)).drop("_file")
 
 
+def unreadable_boards(spark: SparkSession, path: str) -> DataFrame:
+    """(file, reason) of a folder's files that ``read_boards`` leaves out, but for the reports that are no boards."""
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select(F.col("_metadata.file_name").alias("file"), "value").where(~F.col("file").isin(*NOT_BOARDS))
+    doc = F.from_json("value", BOARD + ", _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = files.select("file", doc.alias("d"))
+    reason = F.when(F.col("d").isNull() | F.col("d._bad").isNotNull(), "not readable").when(F.col("d.board_id").isNull(), "no board id").when(F.coalesce(F.size("d.cards"), F.lit(0)) <= 0, "no cards")
+    return rows.select("file", reason.alias("reason")).where("reason is not null")
+
+
+def card_texts(boards: DataFrame) -> DataFrame:
+    """(board_id, texts): the words of each board in the order of its cards."""
+    return boards.select("board_id", F.transform(F.array_sort(F.transform("cards", lambda c: F.struct(c["id"].alias("id"), c["text"].alias("text")))), lambda c: c["text"]).alias("texts"))
+
+
 def word_cards(boards: DataFrame) -> DataFrame:
     """One row per card, covariates flattened, no weat set as an empty one, and the lower-cased key all joins use."""
     c = boards.select("board_id", F.explode("cards").alias("c"))

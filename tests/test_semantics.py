@@ -471,3 +471,68 @@ def test_runs_are_minted_and_boards_written_whole(spark):
     run = spark.createDataFrame([("r",)], "run_id string")
     n, left = sinks.delete_run({"run": run, "game": spark.createDataFrame([("g", "r")], "game_id string, run_id string")}, "other")
     assert n == 0 and left["run"].count() == left["game"].count() == 1
+
+
+def test_encoders_and_recipes(spark, tmp_path):
+    from tessera.flows import encode
+    from tessera.flows import log as L
+    from tessera.sources import artifacts
+
+    asked = []
+
+    def lengths(texts):
+        asked.extend(texts)
+        return [[float(len(t)), 1.0] for t in texts]
+
+    m = encode.memoised(lengths)
+    assert m(["a", "bb", "a"]) == [[1.0, 1.0], [2.0, 1.0], [1.0, 1.0]] and m(["bb"]) == [[2.0, 1.0]] and asked == ["a", "bb"]
+    assert encode.centred(lambda ts: [[2.0, 3.0] for _ in ts], [1.0, 1.0])(["x"]) == [[1.0, 2.0]]
+    words = spark.createDataFrame([("Sun",), ("sun",), ("moon",), (None,), ("star",)], "word string")
+    stored = spark.createDataFrame([("f", "Star"), ("g", "moon")], "frame_id string, text string")
+    plain = lambda texts: [[float(len(t)), 1.0] for t in texts]
+    got = encode.encode_missing(words, stored, "f", plain, 2, batch=1)
+    assert {(r["text"], tuple(r["embedding"])) for r in got.collect()} == {("sun", (3.0, 1.0)), ("moon", (4.0, 1.0))}
+    assert encode.encode_missing(words, stored.unionByName(got.select("frame_id", "text")), "f", plain, 2).count() == 0
+    with pytest.raises(Exception, match="vectors of 3 components"):
+        encode.encode_missing(words, stored, "f", plain, 3).collect()
+    (tmp_path / "1").mkdir()
+    (tmp_path / "modules.json").write_text(json.dumps([{"type": "st.models.Transformer", "path": ""}, {"type": "st.models.Pooling", "path": "1"}, {"type": "st.models.Normalize", "path": "2"}]))
+    (tmp_path / "1" / "config.json").write_text(json.dumps({"word_embedding_dimension": 8, "pooling_mode_mean_tokens": True, "pooling_mode_cls_token": False}))
+    recipe = artifacts.read_encoder_recipe(str(tmp_path))
+    assert recipe == {"pooling": "mean", "dim": 8, "normalize": True}
+    artifacts.check_encoder(recipe, "mean", 8, True)
+    for bad in (("cls", 8, True), ("mean", 9, True), ("mean", 8, False)):
+        with pytest.raises(ValueError):
+            artifacts.check_encoder(recipe, *bad)
+    (tmp_path / "1" / "config.json").write_text(json.dumps({"pooling_mode_mean_tokens": True, "pooling_mode_cls_token": True}))
+    with pytest.raises(ValueError, match="2 pooling modes"):
+        artifacts.read_encoder_recipe(str(tmp_path))
+    with pytest.raises(L.MissingFrame):
+        L.encoder_spec(L.Log({"measurement_frame": schemas.empty(spark, "measurement_frame")}), "f")
+
+
+def test_boards_that_cannot_be_read_are_named(spark, tmp_path):
+    for name, body in {"a.json": '{"board_id": "a", "cards": [{"id": 1, "text": "B"}, {"id": 0, "text": "A"}]}', "b.json": "{", "c.json": "{}", "d.json": '{"board_id": "d", "cards": []}', "balance_report.json": "{"}.items():
+        (tmp_path / name).write_text(body)
+    assert {tuple(r) for r in boards.unreadable_boards(spark, str(tmp_path)).collect()} == {("b.json", "not readable"), ("c.json", "no board id"), ("d.json", "no cards")}
+    assert one(boards.card_texts(boards.read_boards(spark, str(tmp_path))))["texts"] == ["A", "B"]
+
+
+def test_batches_pools_and_matching_reports(spark):
+    from tessera.operators import batch
+
+    g = spark.createDataFrame([("p", i, ok) for i, ok in enumerate([True, False, False, True, False, False, False, True, False])] + [("q", 0, False)], "unit string, k int, ok boolean")
+    judged = batch.outcomes(g, "unit", "k", "ok", 3)
+    assert [r["status"][0] for r in judged.where("unit = 'p'").orderBy("k").collect()] == list("ceeceeess")
+    assert {tuple(r) for r in batch.report(judged, "unit").collect()} == {("p", 9, 7, 2, 5, 2, True), ("q", 1, 1, 0, 1, 0, False)}
+    w = spark.createDataFrame([("Nurse", "female"), ("Aunt", "female"), ("Boss", "male"), ("Tree", "neutral"), ("nurse", "neutral")], "word string, category string")
+    assert {r["word"] for r in batch.pool(w, "NURSE", True).collect()} == {"Aunt", "Tree"} and {r["word"] for r in batch.pool(w, "nurse", False).collect()} == {"Tree"}
+    assert tuple(one(batch.thin(batch.pool(w, "nurse", False), 2))) == (1, True)
+    assert [r["board"] for r in batch.missing(spark.createDataFrame([("a",), ("b",), ("b",)], "board string"), spark.createDataFrame([("a",)], "board string"), "board").collect()] == ["b"]
+    waits = batch.backoff(spark.createDataFrame([(i,) for i in range(4)], "retry_index int")).orderBy("retry_index").collect()
+    assert [r["waited"] for r in waits] == [0.0, 15.0, 30.0, 60.0] and [r["last"] for r in waits] == [False, False, False, True]
+    rows = [("s", f"t{i}", True, float(i), 4, 2) for i in range(4)] + [("s", f"c{i}", False, float(i) if i < 5 else None, 4, 2) for i in range(7)]
+    words = spark.createDataFrame(rows, "specification string, text string, treated boolean, freq double, length int, polysemy int")
+    for caliper in (10.0, 0.0):
+        r = one(balance.match_report(words, caliper))
+        assert r["pairs"] == balance.match_by(words, caliper).count() and r["pairs"] + r["caliper_drops"] == 4 and r["excess"] == 3 and r["imputed"] == 2
