@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Shipped, column, materialise
+from .common import Shipped, column, materialise, partitions
 
 CAPACITY = 2048
 END = 0
@@ -159,7 +159,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     pieces = materialise(rows.mapInArrow(_cut(tokenizer_path, capacity), _PIECES), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     # ranks within a length, salted: a length that a third of all pieces have is numbered by as many tasks as it needs
-    salts = max(1, -(-max(counts.values(), default=0) // RANKED))
+    salts = max(partitions(spark), -(-max(counts.values(), default=0) // RANKED))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
     per = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = per.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n"))
