@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -46,15 +48,42 @@ def weat(spark, d):
     return u.where("label >= 2").crossJoin(F.broadcast(poles)).select("vec_id", F.round(v.dot("v", "a") - v.dot("v", "b"), 6).alias("weat"))
 
 
-#: Vectors of a label that one row of the other side holds.
+#: Vectors of a label that one row holds.
 BLOCK = 256
 
 
-def _blocks(e):
-    """(label, vs): the vectors of each label in arrays of at most BLOCK (id, v), so that a common label is dealt to several tasks."""
-    part = F.pmod(F.xxhash64("vec_id"), F.lit(64))
-    numbered = e.select("label", "vec_id", "v", part.alias("part")).withColumn("block", F.floor(F.row_number().over(Window.partitionBy("label", "part").orderBy("vec_id")) / BLOCK))
-    return numbered.groupBy("label", "part", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("vs")).select("label", "vs")
+def _blocks(e, side: str):
+    """(label, ids, vectors end to end) in rows of about BLOCK vectors, so that a common label is dealt to several tasks."""
+    sizes = e.groupBy("label").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("parts"))
+    packed = e.join(sizes, "label").groupBy("label", F.pmod(F.xxhash64("vec_id"), F.col("parts")).alias("part")).agg(F.collect_list(F.struct("vec_id", "v")).alias("vs"))
+    return packed.select("label", F.transform("vs", lambda x: x["vec_id"]).alias(f"{side}_ids"), F.flatten(F.transform("vs", lambda x: x["v"])).alias(f"{side}_v"))
+
+
+def _products(pairs, best, schema: str):
+    """``best`` (target ids, candidate ids, targets, candidates as matrices) of every pair of blocks, as rows of ``schema``."""
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, others, v, w = (np.asarray(b.column(b.schema.get_field_index(c))[i].values) for c in ("t_ids", "c_ids", "t_v", "c_v"))
+                yield pa.record_batch(best(ids, others, v.reshape(len(ids), -1), w.reshape(len(others), -1)))
+
+    return pairs.mapInArrow(run, schema)
+
+
+def _nearest(ids, others, v, w):
+    size = np.sqrt((v * v).sum(1)[:, None] * (w * w).sum(1)[None])
+    cos = np.round(np.divide(v @ w.T, size, out=np.zeros(size.shape), where=size > 0), 6)
+    rows = []
+    for i, target in enumerate(ids):
+        order = [j for j in np.lexsort((others, -cos[i]))[:6] if others[j] != target][:5]
+        rows += [(target, others[j], cos[i, j]) for j in order]
+    t, c, x = zip(*rows, strict=True) if rows else ((), (), ())
+    return {"target": pa.array(t, pa.int64()), "candidate": pa.array(c, pa.int64()), "cos": pa.array(x, pa.float64())}
+
+
+def _highest(ids, others, v, w):
+    return {"vec_id": pa.array(ids, pa.int64()), "sim": pa.array((v @ w.T).max(1), pa.float64())}
 
 
 @query("q_topk_similar", """
@@ -62,12 +91,11 @@ WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS D
 s AS (SELECT t.vec_id AS target, c.vec_id AS candidate, round(list_dot_product(t.v, c.v) / sqrt(list_dot_product(t.v, t.v) * list_dot_product(c.v, c.v)), 6) AS cos FROM e t JOIN e c ON t.label = c.label AND t.vec_id <> c.vec_id)
 SELECT target, CAST(row_number() OVER (PARTITION BY target ORDER BY cos DESC, candidate) AS INTEGER) AS rank, candidate, cos FROM s QUALIFY row_number() OVER (PARTITION BY target ORDER BY cos DESC, candidate) <= 5""")
 def topk_similar(spark, d):
-    """Every vector against all others of its label; each block hands on its five best."""
+    """Every vector against all others of its label, as products of blocks, each of which hands on its five best."""
     e = _emb(spark, d).select("vec_id", "label", "v")
-    scored = F.transform(F.filter("vs", lambda x: x["vec_id"] != F.col("target")), lambda x: F.struct(F.round(v.cosine(F.col("tv"), x["v"]), 6).alias("cos"), (-x["vec_id"]).alias("place")))
-    s = e.select(F.col("vec_id").alias("target"), F.col("v").alias("tv"), "label").join(_blocks(e), "label").select("target", F.explode(F.slice(F.sort_array(scored, False), 1, 5)).alias("x"))
+    s = _products(_blocks(e, "t").join(_blocks(e, "c"), "label"), _nearest, "target long, candidate long, cos double")
     w = Window.partitionBy("target").orderBy(F.desc("cos"), "candidate")
-    return s.select("target", (-F.col("x.place")).alias("candidate"), "x.cos").withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("target", "rank", "candidate", "cos")
+    return s.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("target", "rank", "candidate", "cos")
 
 
 @query("q_congruence_classes", f"""
@@ -83,12 +111,12 @@ def congruence_classes(spark, d):
 WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
 SELECT c.vec_id, round(max(list_dot_product(c.v, h.v)), 6) AS sim_max, round(avg(list_dot_product(c.v, h.v)), 6) AS sim_mean FROM e c JOIN e h ON h.label = c.label + 1 GROUP BY 1""")
 def history_similarity(spark, d):
-    """Every vector against all of the next label."""
+    """Every vector against all of the next label, as products of blocks."""
     e = _emb(spark, d).select("vec_id", "label", "v")
-    blocks = _blocks(e).withColumn("label", F.col("label") - 1)
+    shifted = e.withColumn("label", F.col("label") - 1)
     # the mean of dot products is the dot product with the mean vector
-    mean = v.mean_vector(e.select((F.col("label") - 1).alias("label"), "v"), "v", "label")
-    top = e.join(blocks, "label").select("vec_id", F.array_max(F.transform("vs", lambda x: v.dot(F.col("v"), x["v"]))).alias("sim")).groupBy("vec_id").agg(F.max("sim").alias("sim"))
+    mean = v.mean_vector(shifted, "v", "label")
+    top = _products(_blocks(e, "t").join(_blocks(shifted, "c"), "label"), _highest, "vec_id long, sim double").groupBy("vec_id").agg(F.max("sim").alias("sim"))
     s = e.join(mean, "label").select("vec_id", v.dot("v", "mean").alias("mean"))
     return top.join(s, "vec_id").select("vec_id", F.round("sim", 6).alias("sim_max"), F.round("mean", 6).alias("sim_mean"))
 
