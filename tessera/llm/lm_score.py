@@ -2,7 +2,8 @@
 
 A target model and a background model share one vocabulary: every word of the corpus. Both are interpolated bigram
 models, counted over every row. A document's score is its mean loss per token under the target model less that under
-the background model: lower is closer to the target.
+the background model: lower is closer to the target. A document that a model counted can be held out of it: its own counts,
+which its chunk knows, are taken off before it is scored.
 
 The counts grow with the corpus and are never gathered in one place. Tasks put documents together as chunks; a chunk
 sends each shard its distinct n-grams and their counts once, the shard adds up the counts of all chunks and answers each
@@ -96,9 +97,27 @@ class _Grams:
     def losses(self, counts: np.ndarray, tokens: int, vocabulary: int) -> np.ndarray:
         """Of each token under the model that ``counts`` has each key of."""
         n, u, c = counts[self.bigrams], counts[self.words][self.word], counts[self.contexts][self.context]
+        return self._losses(n, u, c, tokens, vocabulary)[self.of_token]
+
+    @staticmethod
+    def _losses(n, u, c, tokens, vocabulary) -> np.ndarray:
         word = (u + ADD) / (tokens + ADD * (vocabulary + 1))
-        p = np.where(c > 0, LAMBDA * n / np.maximum(c, 1) + (1 - LAMBDA) * word, word)
-        return -np.log(p)[self.of_token]
+        return -np.log(np.where(c > 0, LAMBDA * n / np.maximum(c, 1) + (1 - LAMBDA) * word, word))
+
+    def held_out_losses(self, counts: np.ndarray, tokens: int, vocabulary: int, doc: np.ndarray, sizes: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """Like ``losses``, but the model of a document that it counted (``own``) is less the document itself."""
+        out = self.losses(counts, tokens, vocabulary)
+        mine = np.flatnonzero(own[doc])
+        if len(mine):
+            of = self.of_token[mine]
+            less = []
+            for kind in (of, self.word[of], self.context[of]):
+                # how often the document holds the bigram, the word, the context
+                _, at, n = np.unique(doc[mine] * (len(self.word) + 1) + kind, return_inverse=True, return_counts=True)
+                less.append(n[at].astype(np.int32))
+            n, u, c = counts[self.bigrams][of] - less[0], counts[self.words][self.word[of]] - less[1], counts[self.contexts][self.context[of]] - less[2]
+            out[mine] = self._losses(n, u, c, tokens - sizes[doc[mine]], vocabulary)
+        return out
 
 
 _CHUNKS = pa.schema([("chunk", pa.string()), ("part", pa.int32()), ("shard", pa.int32()), ("n_target", pa.int64()), ("n_background", pa.int64()), ("body", pa.binary())])
@@ -117,12 +136,13 @@ def _chunks(shards: int):
         number = np.empty(len(vocab), np.int64)
         number[order] = np.arange(len(vocab))
         vocab, places = vocab[order], number[inv]
-        target = np.repeat(np.concatenate([x[3] for x in held]), sizes)
+        goal = np.concatenate([x[3] for x in held])
+        target = np.repeat(goal, sizes)
         held.clear()
         del inv, order, number
         grams = _Grams(vocab, places, sizes)
         counts = grams.counts(target)
-        body = _together(to_bytes(ids.fill_null(0).to_numpy().view(np.uint64)), to_bytes(ids.is_null().to_numpy(zero_copy_only=False)), to_bytes(sizes), vocab.tobytes(), to_bytes(places))
+        body = _together(to_bytes(ids.fill_null(0).to_numpy().view(np.uint64)), to_bytes(ids.is_null().to_numpy(zero_copy_only=False)), to_bytes(sizes), vocab.tobytes(), to_bytes(places), to_bytes(goal))
         shard = _shard(grams.keys, shards).astype(np.int64)
         cuts = np.flatnonzero(np.diff(shard, prepend=-1)).tolist() + [len(shard)]
         name, part = uuid.uuid4().hex, TaskContext.get().partitionId()
@@ -208,7 +228,7 @@ def _add_up(own: bool):
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("loss_target", pa.float64()), ("loss_background", pa.float64()), ("score", pa.float64())])
 
 
-def _scores(tokens: tuple[int, int], vocabulary: int):
+def _scores(tokens: tuple[int, int], vocabulary: int, held_out: bool):
     """Scores of each chunk's documents: its own row comes first, then the answers in the order of shards."""
 
     def run(batches):
@@ -217,13 +237,14 @@ def _scores(tokens: tuple[int, int], vocabulary: int):
             first, *answers = (_apart(x.as_py()) for x in rows.column("body"))
             ids = pa.array(from_bytes(first[0]).view(np.int64), mask=from_bytes(first[1]).astype(bool))
             sizes, vocab, places = from_bytes(first[2]).astype(np.int64), np.frombuffer(first[3], np.uint64), from_bytes(first[4]).astype(np.int64)
-            grams, n = _Grams(vocab, places, sizes), len(sizes)
+            grams, n, goal = _Grams(vocab, places, sizes), len(sizes), from_bytes(first[5]).astype(bool)
             del first, places, rows
             doc = np.repeat(np.arange(n), sizes)
             means = []
             for m in (0, 1):
                 counts = np.concatenate([from_bytes(x[m]) for x in answers]).astype(np.float64) if answers else np.zeros(0)
-                means.append(np.bincount(doc, weights=grams.losses(counts, tokens[m], vocabulary), minlength=n) / np.maximum(sizes, 1))
+                losses = grams.held_out_losses(counts, tokens[m], vocabulary, doc, sizes, goal == (m == 0)) if held_out else grams.losses(counts, tokens[m], vocabulary)
+                means.append(np.bincount(doc, weights=losses, minlength=n) / np.maximum(sizes, 1))
             none = sizes == 0
             yield pa.record_batch([ids, pa.array(sizes), *(pa.array(x, mask=none) for x in (*means, means[0] - means[1]))], schema=_SCORES)
 
@@ -260,13 +281,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targe
     return Models(materialise(rows.mapInArrow(_chunks(shards), _CHUNKS_SQL), "chunks", **PLAIN), shards)
 
 
-def score(models: Models, docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(models: Models, docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", held_out: bool = False) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background, score (their difference) of every row of ``docs``, or of those that ``models`` counted.
 
-    Losses are natural logarithms per token; a null, empty or blank text has no tokens and null losses. Equal texts score
+    held_out: each counted document is scored by models less its own counts, so that none vouches for itself; not for ``docs``
+    of their own, which the models have not counted as these rows. Losses are natural logarithms per token; a null, empty or blank text has no tokens and null losses. Equal texts score
     alike; words that no counted row has share one more place of the vocabulary. Rows that share an id, or have none, keep
     one row each. Other columns are ignored. An empty table gives an empty table.
     """
+    if held_out and docs is not None:
+        raise ValueError("only counted documents can be held out")
     n = partitions(models.chunks.sparkSession)
     chunks = models.chunks if docs is None else materialise(_rows(docs, id_col, text_col, F.lit(False)).mapInArrow(_chunks(models.shards), _CHUNKS_SQL), "chunks", **PLAIN)
     sent = models.chunks.where("shard >= 0").select(F.lit(0).alias("kind"), "chunk", "part", "shard", "body")
@@ -276,4 +300,4 @@ def score(models: Models, docs: DataFrame | None = None, id_col: str = "doc_id",
     vocabulary = answers.agg(F.sum("words").alias("v")).first()["v"] or 0
     whole = chunks.where("shard < 0").select("chunk", "part", "shard", "body").unionByName(answers.where("chunk is not null").select("chunk", "part", "shard", "body"))
     whole = whole.repartitionById(n, "part").sortWithinPartitions("chunk", "shard").select("chunk", "body")
-    return whole.mapInArrow(_scores(models.tokens, vocabulary), "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+    return whole.mapInArrow(_scores(models.tokens, vocabulary, held_out), "doc_id long, n_tokens long, loss_target double, loss_background double, score double")

@@ -657,6 +657,41 @@ def test_lm_against_plain_counts(spark):
     assert rows(lm_score.score(nothing, docs), "score")[0] == (0.0,)
 
 
+def test_lm_held_out_against_plain_counts(spark, monkeypatch):
+    """Each document by models counted without it, whatever the chunks and shards."""
+    rng = np.random.default_rng(3)
+    texts = ["a b a b c", "a b d", "x y z x y", "z y x", None, "", "q", "A B", "q", "a b a b c"] + [" ".join(rng.choice(list("abcxyz"), n)) for n in rng.integers(1, 30, 30)]
+    target = [bool(i % 3) for i in range(len(texts))]
+    docs = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(zip(texts, target, strict=True))], "doc_id long, text string, target boolean").repartition(3)
+    toks = [(t or "").lower().split() for t in texts]
+    vocab = {w for t in toks for w in t}
+    want = {}
+    for i, t in enumerate(toks):
+        loss = []
+        for m in (True, False):
+            uni, pre, bi = collections.Counter(), collections.Counter(), collections.Counter()
+            for j, (o, g) in enumerate(zip(toks, target, strict=True)):
+                if g == m and j != i:
+                    for p, w in zip(["^", *o], o, strict=False):
+                        uni[w] += 1
+                        pre[p] += 1
+                        bi[p, w] += 1
+            total, s = sum(uni.values()) + lm_score.ADD * (len(vocab) + 1), 0.0
+            for p, w in zip(["^", *t], t, strict=False):
+                u = (uni[w] + lm_score.ADD) / total
+                s -= np.log(lm_score.LAMBDA * bi[p, w] / pre[p] + (1 - lm_score.LAMBDA) * u if pre[p] else u)
+            loss.append(s / max(1, len(t)))
+        want[i] = (len(t), *loss, loss[0] - loss[1]) if t else (0, None, None, None)
+    for tokens, size in ((1 << 20, 1 << 23), (16, 40)):
+        monkeypatch.setattr(lm_score, "CHUNK_TOKENS", tokens)
+        monkeypatch.setattr(lm_score, "SHARD_BYTES", size)
+        models = lm_score.train(docs)
+        got = rows(lm_score.score(models, held_out=True), "n_tokens", "loss_target", "loss_background", "score")
+        assert all(got[i] == w if not w[0] else got[i][0] == w[0] and got[i][1:] == pytest.approx(w[1:], abs=1e-9) for i, w in want.items())
+    with pytest.raises(ValueError):
+        lm_score.score(models, docs, held_out=True)
+
+
 def test_lm_chunks_and_shards(spark, monkeypatch):
     """Small chunks and many shards change no score; nor does counting apart from scoring."""
     rng = np.random.default_rng(8)
