@@ -26,6 +26,8 @@ from .common import column, from_bytes, grouped, joined_with, materialise, mix,
 LAMBDA, ADD = 0.7, 0.5
 #: Tokens of a chunk, but for the last document's rest.
 CHUNK_TOKENS = 1 << 20
+#: Tokens whose documents' own counts are taken off at a time.
+SLICE_TOKENS = 1 << 16
 #: Bytes of counted text for each shard, which bounds what a task holds.
 SHARD_BYTES = 1 << 23
 #: Target ids up to which they are broadcast; beyond that they are joined by a shuffle.
@@ -67,20 +69,29 @@ class _Grams:
 
     def __init__(self, vocab: np.ndarray, places: np.ndarray, sizes: np.ndarray):
         v = len(vocab)
-        prev = np.concatenate(([v], places[:-1])) if len(places) else places
+        prev = np.concatenate(([v], places[:-1])).astype(np.int64) if len(places) else places.astype(np.int64)
         prev[np.cumsum(sizes[:-1])[sizes[1:] > 0]] = v
         if len(places):
             prev[0] = v
         # a bigram of the chunk is a pair of numbers
-        pairs, of_token = np.unique(prev * (v + 1) + places, return_inverse=True)
+        prev *= v + 1
+        prev += places
+        pairs, of_token = np.unique(prev, return_inverse=True)
+        del prev
         self.of_token = of_token.astype(np.int32)
         del of_token
         prev, self.word = (pairs // (v + 1)).astype(np.int32), (pairs % (v + 1)).astype(np.int32)
-        contexts, self.context = np.unique(prev, return_inverse=True)
+        n = len(pairs)
+        del pairs
+        contexts, context = np.unique(prev, return_inverse=True)
+        self.context = context.astype(np.int32)
+        del context
         wide = np.concatenate((vocab, [START]))
         keys = np.concatenate((_key(wide[prev] * np.uint64(0xD6E8FEB86659FD93) + wide[self.word], 0), _key(vocab, 1), _key(wide[contexts], 2)))
+        del prev, wide
         self.keys, at = np.unique(keys, return_inverse=True)
-        self.bigrams, self.words, self.contexts = np.split(at, [len(pairs), len(pairs) + v])
+        del keys
+        self.bigrams, self.words, self.contexts = np.split(at.astype(np.int32), [n, n + v])
 
     def counts(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of each key, in target and background tokens."""
@@ -94,29 +105,36 @@ class _Grams:
             out.append(total.astype(np.int64))
         return out[0], out[1]
 
-    def losses(self, counts: np.ndarray, tokens: int, vocabulary: int) -> np.ndarray:
-        """Of each token under the model that ``counts`` has each key of."""
-        n, u, c = counts[self.bigrams], counts[self.words][self.word], counts[self.contexts][self.context]
-        return self._losses(n, u, c, tokens, vocabulary)[self.of_token]
-
-    @staticmethod
-    def _losses(n, u, c, tokens, vocabulary) -> np.ndarray:
+    def _losses(self, of: np.ndarray, counts: np.ndarray, tokens, vocabulary: int, less=(0, 0, 0)) -> np.ndarray:
+        """Of the bigrams ``of`` under the model that ``counts`` has each key of, less some of the counts."""
+        n, u, c = (counts[at] - x for at, x in zip((self.bigrams[of], self.words[self.word[of]], self.contexts[self.context[of]]), less, strict=True))
         word = (u + ADD) / (tokens + ADD * (vocabulary + 1))
         return -np.log(np.where(c > 0, LAMBDA * n / np.maximum(c, 1) + (1 - LAMBDA) * word, word))
 
-    def held_out_losses(self, counts: np.ndarray, tokens: int, vocabulary: int, doc: np.ndarray, sizes: np.ndarray, own: np.ndarray) -> np.ndarray:
+    def losses(self, counts: np.ndarray, tokens: int, vocabulary: int) -> np.ndarray:
+        """Of each token under the model that ``counts`` has each key of."""
+        out = np.empty(len(self.word))
+        for lo in range(0, len(out), SLICE_TOKENS):  # bounds the temporary arrays
+            of = np.arange(lo, min(len(out), lo + SLICE_TOKENS))
+            out[of] = self._losses(of, counts, tokens, vocabulary)
+        return out[self.of_token]
+
+    def held_out_losses(self, counts: np.ndarray, tokens: int, vocabulary: int, sizes: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Like ``losses``, but the model of a document that it counted (``own``) is less the document itself."""
         out = self.losses(counts, tokens, vocabulary)
-        mine = np.flatnonzero(own[doc])
-        if len(mine):
-            of = self.of_token[mine]
-            less = []
-            for kind in (of, self.word[of], self.context[of]):
-                # how often the document holds the bigram, the word, the context
-                _, at, n = np.unique(doc[mine] * (len(self.word) + 1) + kind, return_inverse=True, return_counts=True)
-                less.append(n[at].astype(np.int32))
-            n, u, c = counts[self.bigrams][of] - less[0], counts[self.words][self.word[of]] - less[1], counts[self.contexts][self.context[of]] - less[2]
-            out[mine] = self._losses(n, u, c, tokens - sizes[doc[mine]], vocabulary)
+        ends, lo = np.concatenate(([0], np.cumsum(sizes))), 0
+        while lo < len(sizes):  # documents of about SLICE_TOKENS tokens at a time
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + SLICE_TOKENS, "right")) - 1)
+            doc = np.repeat(np.arange(lo, hi), sizes[lo:hi])
+            mine = np.flatnonzero(own[doc])
+            if len(mine):
+                doc, of = doc[mine], self.of_token[mine + ends[lo]]
+                less = []
+                for kind in (of, self.word[of], self.context[of]):  # how often the document holds the bigram, the word, the context
+                    _, at, times = np.unique(doc * (len(self.word) + 1) + kind, return_inverse=True, return_counts=True)
+                    less.append(times[at])
+                out[mine + ends[lo]] = self._losses(of, counts, tokens - sizes[doc], vocabulary, less)
+            lo = hi
         return out
 
 
@@ -135,7 +153,7 @@ def _chunks(shards: int):
         order = np.argsort(-n, kind="stable")  # small numbers for frequent words
         number = np.empty(len(vocab), np.int64)
         number[order] = np.arange(len(vocab))
-        vocab, places = vocab[order], number[inv]
+        vocab, places = vocab[order], number[inv].astype(np.int32)
         goal = np.concatenate([x[3] for x in held])
         target = np.repeat(goal, sizes)
         held.clear()
@@ -236,14 +254,18 @@ def _scores(tokens: tuple[int, int], vocabulary: int, held_out: bool):
         for _, rows in grouped(batches, ["chunk"]):
             first, *answers = (_apart(x.as_py()) for x in rows.column("body"))
             ids = pa.array(from_bytes(first[0]).view(np.int64), mask=from_bytes(first[1]).astype(bool))
-            sizes, vocab, places = from_bytes(first[2]).astype(np.int64), np.frombuffer(first[3], np.uint64), from_bytes(first[4]).astype(np.int64)
+            sizes, vocab, places = from_bytes(first[2]).astype(np.int64), np.frombuffer(first[3], np.uint64), from_bytes(first[4]).astype(np.int32)
             grams, n, goal = _Grams(vocab, places, sizes), len(sizes), from_bytes(first[5]).astype(bool)
-            del first, places, rows
-            doc = np.repeat(np.arange(n), sizes)
+            del first, places, rows, grams.keys
+            doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
             means = []
             for m in (0, 1):
-                counts = np.concatenate([from_bytes(x[m]) for x in answers]).astype(np.float64) if answers else np.zeros(0)
-                losses = grams.held_out_losses(counts, tokens[m], vocabulary, doc, sizes, goal == (m == 0)) if held_out else grams.losses(counts, tokens[m], vocabulary)
+                counts, filled = np.empty(sum(int.from_bytes(x[m][:8], "little") for x in answers)), 0
+                for x in answers:
+                    part = from_bytes(x[m])
+                    counts[filled : filled + len(part)] = part
+                    filled += len(part)
+                losses = grams.held_out_losses(counts, tokens[m], vocabulary, sizes, goal == (m == 0)) if held_out else grams.losses(counts, tokens[m], vocabulary)
                 means.append(np.bincount(doc, weights=losses, minlength=n) / np.maximum(sizes, 1))
             none = sizes == 0
             yield pa.record_batch([ids, pa.array(sizes), *(pa.array(x, mask=none) for x in (*means, means[0] - means[1]))], schema=_SCORES)

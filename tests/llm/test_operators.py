@@ -682,7 +682,8 @@ def test_lm_held_out_against_plain_counts(spark, monkeypatch):
                 s -= np.log(lm_score.LAMBDA * bi[p, w] / pre[p] + (1 - lm_score.LAMBDA) * u if pre[p] else u)
             loss.append(s / max(1, len(t)))
         want[i] = (len(t), *loss, loss[0] - loss[1]) if t else (0, None, None, None)
-    for tokens, size in ((1 << 20, 1 << 23), (16, 40)):
+    for tokens, size, at_once in ((1 << 20, 1 << 23, 1 << 16), (16, 40, 1), (1 << 20, 40, 20)):
+        monkeypatch.setattr(lm_score, "SLICE_TOKENS", at_once)
         monkeypatch.setattr(lm_score, "CHUNK_TOKENS", tokens)
         monkeypatch.setattr(lm_score, "SHARD_BYTES", size)
         models = lm_score.train(docs)
