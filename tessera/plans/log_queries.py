@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..flows import clue, guesser, skill, sudden_death
-from ..flows.log import Geometry
+from ..flows import clue, guesser, skill, sudden_death, views
+from ..flows.log import Geometry, completed_games
 from ..operators import inference
 from .catalogue import query, read
 from .standin import CTES, DECIMALS, FRAME, MASTER, standin
@@ -280,3 +280,30 @@ def delete_run(spark, d):
         one = rows.agg(F.count("*").alias("n_left")).select(F.lit(name).alias("name"), "n_left", F.lit(n).cast("long").alias("n_games"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@query("q_board_views", f"""
+WITH {CTES}, r AS (SELECT board_id, seat, word, CASE WHEN seat = 0 THEN r0 ELSE r1 END AS role FROM cd CROSS JOIN (SELECT unnest([0, 1]) AS seat))
+SELECT board_id, seat, string_agg(word, ',' ORDER BY word) FILTER (role = 'agent') AS agent, string_agg(word, ',' ORDER BY word) FILTER (role = 'civilian') AS civilian, string_agg(word, ',' ORDER BY word) FILTER (role = 'assassin') AS assassin FROM r GROUP BY ALL""")
+def board_views(spark, d):
+    return views.board_views(standin(spark, d)).select("board_id", "seat", *[F.concat_ws(",", r).alias(r) for r in views.ROLES])
+
+
+@query("q_open_cards", f"""
+WITH {CTES}, tn AS (SELECT turn_id, game_id, turn_number, board_id FROM turn JOIN cg USING (game_id)), ev AS (SELECT t.game_id, t.turn_number, r.card_id, acting_seat, result_role = 'agent' AND r0 = 'agent' AND r1 = 'agent' AS shared FROM reveal_event r JOIN turn t USING (turn_id) JOIN game g ON g.game_id = t.game_id JOIN cd ON cd.board_id = g.board_id AND cd.card_id = r.card_id),
+cs AS (SELECT game_id, card_id, seat, min(turn_number) AS closed FROM ev JOIN (SELECT unnest([0, 1]) AS seat) ON shared OR seat = acting_seat GROUP BY ALL),
+op AS (SELECT turn_id, seat, word FROM tn CROSS JOIN (SELECT unnest([0, 1]) AS seat) JOIN cd USING (board_id) LEFT JOIN cs USING (game_id, card_id, seat) WHERE closed IS NULL OR closed >= turn_number)
+SELECT turn_id, seat, count(*) AS n_open, md5(string_agg(word, ',' ORDER BY word)) AS words FROM op GROUP BY ALL""")
+def open_cards(spark, d):
+    log = standin(spark, d)
+    turns = log["turn"].select("turn_id", "game_id", "turn_number").join(completed_games(log, MASTER).select("game_id", "board_id"), "game_id")
+    return views.open_cards(log, turns).select("turn_id", "seat", "n_open", F.md5(F.concat_ws(",", "words").cast("binary")).alias("words"))
+
+
+@query("q_received_clues", f"""
+WITH {CTES}, s AS (SELECT game_id, CAST(seat_index AS INTEGER) AS seat FROM game_seat JOIN cg USING (game_id))
+SELECT s.game_id, s.seat, string_agg(lower(clue_word), ',' ORDER BY turn_number, lower(clue_word)) AS clues FROM s JOIN turn t ON t.game_id = s.game_id AND t.clue_giver_seat = 1 - s.seat AND phase = 'normal' JOIN clue c ON c.turn_id = t.turn_id GROUP BY ALL""")
+def received_clues(spark, d):
+    log = standin(spark, d)
+    seats = log["game_seat"].select("game_id", F.col("seat_index").cast("int").alias("seat")).join(completed_games(log, MASTER).select("game_id"), "game_id", "left_semi")
+    return views.received_clues(log, seats).select("game_id", "seat", F.concat_ws(",", "clues").alias("clues"))
