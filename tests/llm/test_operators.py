@@ -65,7 +65,7 @@ def test_substring_dedup_of_words_that_could_hash_alike(spark):
 
 def test_substring_dedup_levels(spark, monkeypatch):
     assert [substring_dedup.levels(w) for w in (20, 50, 7, 5, 3)] == [[5, 10, 20], [5, 7, 13, 25, 50], [5, 7], [5], [3]]
-    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 1000)
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 30_000)
     for window in (3, 7, 50):
         out = rows(substring_dedup.digest(substring_dedup.dedup_substrings(frame(spark), window=window)), "n_words", "n_removed", "kept_sha256")
         assert out == substring_dedup.brute_force(list(enumerate(TEXTS)), window)
