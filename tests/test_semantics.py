@@ -582,3 +582,17 @@ def test_dropped_ratios_never_become_rows(spark, small, monkeypatch):
 
     monkeypatch.setattr(inference, "draw_slots", no)
     assert catalogue.queries()["q_bootstrap_dropped"](spark, small).count() == 1
+
+
+def _without_rows_of_draws(spark, small, monkeypatch, name):
+    from tessera.plans import catalogue
+
+    def no(*_, **__):
+        raise AssertionError("draws became rows")
+
+    monkeypatch.setattr(inference, "draw_slots", no)
+    return catalogue.queries()[name](spark, small).collect()
+
+
+def test_exclusions_never_make_rows_of_draws(spark, small, monkeypatch):
+    assert {r["l_linestatus"] for r in _without_rows_of_draws(spark, small, monkeypatch, "q_excludes_null")} == {"F", "O"}
