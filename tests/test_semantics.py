@@ -596,3 +596,8 @@ def _without_rows_of_draws(spark, small, monkeypatch, name):
 
 def test_exclusions_never_make_rows_of_draws(spark, small, monkeypatch):
     assert {r["l_linestatus"] for r in _without_rows_of_draws(spark, small, monkeypatch, "q_excludes_null")} == {"F", "O"}
+
+
+def test_contrast_never_makes_rows_of_draws(spark, small, monkeypatch):
+    (r,) = _without_rows_of_draws(spark, small, monkeypatch, "q_paired_contrast")
+    assert r["lo"] <= r["hi"]
