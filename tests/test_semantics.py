@@ -610,3 +610,16 @@ def test_open_cards_are_not_exploded(spark, small):
     plan = catalogue.queries()["q_open_cards"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     above = plan[: plan.index("Join")]
     assert "Aggregate" not in above and "filter(" in above
+
+
+def test_groups_share_hashes(spark, monkeypatch):
+    """Every group hashed its draws anew, a row for each; now a hash is worked out once a replicate for all groups of a broadcast."""
+    from tessera.operators import draws
+
+    h = draws.heads(3, 50)
+    cell = [(draws.np.arange(7), draws.np.ones(7), draws.np.full(7, 2.0))]
+    assert draws.weighted(h, 7, cell) == [7.0, 7.0, 14.0]
+    sums = spark.createDataFrame([(m, "x", f"g{i}", i, 1) for m in "ab" for i in range(9)], "model string, cell string, game_id string, num long, den long")
+    monkeypatch.setattr(inference, "draw_slots", lambda *_: 1 / 0)
+    a, b = inference.cluster_bootstrap(sums, sums.select("model", "game_id"), "game_id", ("model",), ["x"], 30).drop("model").collect()
+    assert a == b
