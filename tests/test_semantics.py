@@ -656,3 +656,15 @@ def test_similarities_round_half_up_of_the_decimal_text():
     from tessera.flows.log import _rounded_array
 
     assert _rounded_array(np.array([[0.15, 0.25, -0.25, 0.1249]]), 1).tolist() == [[0.2, 0.3, -0.3, 0.1]]
+
+
+def test_history_of_a_seat_in_one_row(spark):
+    from types import SimpleNamespace
+
+    from tessera.flows import sudden_death
+    from tessera.flows.log import Log
+
+    log = Log({"turn": spark.createDataFrame([(1, "g1", 1, "normal"), (2, "g1", 1, "normal"), (3, "g1", 0, "sudden_death")], "turn_id long, game_id string, clue_giver_seat long, phase string"), "clue": spark.createDataFrame([(1, "A"), (2, "B"), (3, "A")], "turn_id long, clue_word string")})
+    geometry = SimpleNamespace(loads=spark.createDataFrame([("a", 0.5)], "word string, rho double"))
+    (row,) = sudden_death.histories(log, spark.createDataFrame([("g1",)], "game_id string"), geometry).collect()
+    assert (row["game_id"], row["giver"], row["p"], row["clue_words_without_embedding"], sorted(row["heard"])) == ("g1", 1, 0.5, 1, ["a", "b"])
