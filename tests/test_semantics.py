@@ -668,3 +668,13 @@ def test_history_of_a_seat_in_one_row(spark):
     geometry = SimpleNamespace(loads=spark.createDataFrame([("a", 0.5)], "word string, rho double"))
     (row,) = sudden_death.histories(log, spark.createDataFrame([("g1",)], "game_id string"), geometry).collect()
     assert (row["game_id"], row["giver"], row["p"], row["clue_words_without_embedding"], sorted(row["heard"])) == ("g1", 1, 0.5, 1, ["a", "b"])
+
+
+def test_pairs_are_summed_before_they_fan_out(spark):
+    from tessera.operators import concordance
+
+    cards = spark.createDataFrame([(1, "m", "C+", 0.9, 0.5, 1.0, 1), (1, "m", "C+", 0.2, 0.4, 1.0, 2), (1, "m", "C-", 0.4, -0.5, 1.0, 1)], "t int, m string, grp string, conf double, rho double, abs_p double, band int")
+    sums = concordance.pair_sums(cards, ["t"], ["m"])
+    assert {r["band"]: (r["n_pairs"], round(r["num"], 9), round(r["den"], 9)) for r in sums.collect()} == {0: (2, 0.1, 1.9), 1: (1, 1.0, 1.0)}
+    plan = sums._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Aggregate", plan.index("explode(array_compact")) == 2  # the sums of pairs, and the turns
