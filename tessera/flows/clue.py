@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import banding, clues, inference
-from ..operators.staging import staged
+from ..operators.staging import sieved, staged
 from . import log as L
 
 #: The reference point of dilemma choices, and the null value of the gap.
@@ -17,19 +17,25 @@ POLES = ("male", "female")
 
 def clue_turns(log: L.Log, master_seed: int) -> DataFrame:
     """Turns with a clue of completed games on dilemma boards: ids, giver's seat and model, stratum, the dilemma's words."""
-    games = L.completed_games(log, master_seed).join(L.dilemma_boards(log), "board_id").drop("result")
+    games = L.seated(log, L.completed_games(log, master_seed).join(L.dilemma_boards(log), "board_id").drop("result"))
     turns = log["turn"].select("turn_id", "game_id", "turn_number", F.col("clue_giver_seat").alias("seat")).join(games, "game_id")
-    named = turns.join(L.seats(log).withColumnRenamed("seat_index", "seat"), ["game_id", "seat"])
-    return named.join(log["clue"].select("turn_id"), "turn_id", "left_semi")
+    return L.with_model(turns).join(log["clue"].select("turn_id"), "turn_id", "left_semi")
 
 
 def available_agents(log: L.Log, turns: DataFrame) -> DataFrame:
-    """A row for each of the giver's agents that no strictly earlier turn revealed: the turn's columns, word, category, aimed."""
-    own = turns.join(L.cards(log), "board_id").where(L.face(F.col("seat")) == "agent").drop("llm_perspective_role", "human_perspective_role")
-    reveals = log["reveal_event"].select("turn_id", "card_id").join(log["turn"].select("turn_id", F.col("game_id"), F.col("turn_number").alias("at")), "turn_id")
-    first = reveals.groupBy("game_id", "card_id").agg(F.min("at").alias("first"))
-    open_ = own.join(first, ["game_id", "card_id"], "left").where("first is null or first >= turn_number").drop("first", "card_id")
-    return staged(open_.join(L.targets(log).withColumn("_t", F.lit(True)), ["turn_id", "word"], "left").withColumn("aimed", F.coalesce("_t", F.lit(False))).drop("_t"), "open-agents")
+    """A row for each of the giver's agents that no strictly earlier turn revealed: the turn's columns, word, category, aimed.
+
+    A game's reveals and a turn's targets meet the turn in arrays; cards come last, so that they never go through a shuffle.
+    """
+    turns = staged(turns, "clue-turns")
+    at = sieved(log["turn"].select("turn_id", "game_id", F.col("turn_number").alias("at")), "game_id", turns)
+    seen = log["reveal_event"].select("turn_id", "card_id").join(at, "turn_id").groupBy("game_id").agg(F.collect_list(F.struct("card_id", "at")).alias("_seen"))
+    clues = turns.join(log["clue"].select("turn_id", "clue_id"), "turn_id").select("turn_id", "clue_id")
+    met = staged(turns.join(seen, "game_id", "left").join(L.targets_by_turn(log, staged(clues, "clues")), "turn_id", "left"), "aimed-turns")
+    own = met.join(L.cards(log), "board_id").where(L.face(F.col("seat")) == "agent").drop("llm_perspective_role", "human_perspective_role")
+    shown = F.exists("_seen", lambda r: (r["card_id"] == F.col("card_id")) & (r["at"] < F.col("turn_number")))
+    open_ = own.where(~F.coalesce(shown, F.lit(False))).withColumn("aimed", F.coalesce(F.array_contains("targets", F.col("word")), F.lit(False)))
+    return staged(open_.drop("_seen", "targets", "card_id"), "open-agents")
 
 
 def resolved_targets(log: L.Log) -> DataFrame:
@@ -50,7 +56,7 @@ def resolved_targets(log: L.Log) -> DataFrame:
 def dilemma_observations(agents: DataFrame) -> DataFrame:
     """(model, game_id, turn_id, seat, stratum, y) of turns on which all three dilemma words were open agents of the giver."""
     at = lambda c: F.bool_or((F.col("word") == F.col(c)) & F.col("aimed"))
-    rows = agents.where("word in (target, neutral, stereo)").groupBy("model", "game_id", "turn_id", "seat", "stratum").agg(F.countDistinct("word").alias("n"), at("target").alias("t"), at("neutral").alias("n0"), at("stereo").alias("s"))
+    rows = agents.where("word in (target, neutral, stereo)").groupBy("model", "game_id", "turn_id", "seat", "stratum").agg(F.size(F.collect_set("word")).alias("n"), at("target").alias("t"), at("neutral").alias("n0"), at("stereo").alias("s"))
     return rows.where("n = 3").select("model", "game_id", "turn_id", "seat", "stratum", clues.dilemma_outcome(F.col("t"), F.col("n0"), F.col("s")).alias("y"))
 
 
@@ -74,7 +80,7 @@ def pair_observations(agents: DataFrame, geometry: L.Geometry) -> DataFrame:
 
 def banded_pairs(pairs: DataFrame, decimals: int | None = None) -> DataFrame:
     """Bands by terciles of the similarity over all models, games and strata."""
-    return staged(banding.banded(staged(pairs, "pairs"), "similarity", decimals=decimals), "banded-pairs")
+    return banding.banded(staged(pairs, "pairs"), "similarity", decimals=decimals, keep=True)
 
 
 def tac_tai(banded: DataFrame, decimals: int = 6) -> DataFrame:

@@ -688,3 +688,12 @@ def test_groups_sums_pass_the_driver_in_parts(spark, monkeypatch):
     whole = run()
     monkeypatch.setattr(inference, "COLLECT_ROWS", 1)
     assert run() == whole and len(whole) == 3
+
+
+def test_targets_of_turns_in_one_row(spark):
+    from tessera.flows import log as L
+
+    log = L.Log({"clue": spark.createDataFrame([(1, 11), (2, 12), (3, 13)], "clue_id long, turn_id long"), "clue_target": spark.createDataFrame([(1, "A"), (1, "b"), (1, "a"), (3, "c")], "clue_id long, word string")})
+    turns = spark.createDataFrame([(11, 1), (12, 2)], "turn_id long, clue_id long")
+    got = {r["turn_id"]: sorted(r["targets"]) for r in L.targets_by_turn(log, turns).collect() if r["turn_id"] in (11, 12)}
+    assert got == {11: ["a", "b"]}
