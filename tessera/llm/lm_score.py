@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ CHUNK_TOKENS = 1 << 20
 SLICE_TOKENS = 1 << 16
 #: Bytes of counted text for each shard, which bounds what a task holds.
 SHARD_BYTES = 1 << 23
+#: Rounds in which counts are added up, and then chunks scored: a round's shuffle is gone from the disks before the next begins.
+ROUNDS = 2
 #: Target ids up to which they are broadcast; beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 #: The previous word at a document's start.
@@ -244,6 +247,7 @@ def _add_up(own: bool):
 
 
 _SCORES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("loss_target", pa.float64()), ("loss_background", pa.float64()), ("score", pa.float64())])
+_SCORES_SQL = "doc_id long, n_tokens long, loss_target double, loss_background double, score double"
 
 
 def _scores(tokens: tuple[int, int], vocabulary: int, held_out: bool):
@@ -303,6 +307,13 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targe
     return Models(materialise(rows.mapInArrow(_chunks(shards), _CHUNKS_SQL), "chunks", **PLAIN), shards)
 
 
+def _in_rounds(rows: DataFrame, by: str, order: list[str], run, schema: str, name: str, **options: str) -> DataFrame:
+    """What ``run`` makes of ``rows``, dealt to tasks by the numbers in ``by`` and sorted there, written a round at a time."""
+    n = partitions(rows.sparkSession)
+    dealt = [rows.where(F.col(by) % ROUNDS == i).repartitionById(n, F.expr(f"cast({by} div {ROUNDS} as int)")) for i in range(ROUNDS)]
+    return reduce(DataFrame.unionByName, [materialise(x.sortWithinPartitions(*order).mapInArrow(run, schema), name, swept=True, **options) for x in dealt])
+
+
 def score(models: Models, docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", held_out: bool = False) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background, score (their difference) of every row of ``docs``, or of those that ``models`` counted.
 
@@ -313,13 +324,11 @@ def score(models: Models, docs: DataFrame | None = None, id_col: str = "doc_id",
     """
     if held_out and docs is not None:
         raise ValueError("only counted documents can be held out")
-    n = partitions(models.chunks.sparkSession)
     chunks = models.chunks if docs is None else materialise(_rows(docs, id_col, text_col, F.lit(False)).mapInArrow(_chunks(models.shards), _CHUNKS_SQL), "chunks", **PLAIN)
     sent = models.chunks.where("shard >= 0").select(F.lit(0).alias("kind"), "chunk", "part", "shard", "body")
     if docs is not None:
         sent = sent.unionByName(chunks.where("shard >= 0").select(F.lit(1).alias("kind"), "chunk", "part", "shard", "body"))
-    answers = materialise(sent.repartitionById(n, "shard").sortWithinPartitions("shard", "kind").mapInArrow(_add_up(docs is None), _ANSWERS_SQL), "answers", **PLAIN)
+    answers = _in_rounds(sent, "shard", ["shard", "kind"], _add_up(docs is None), _ANSWERS_SQL, "answers", **PLAIN)
     vocabulary = answers.agg(F.sum("words").alias("v")).first()["v"] or 0
     whole = chunks.where("shard < 0").select("chunk", "part", "shard", "body").unionByName(answers.where("chunk is not null").select("chunk", "part", "shard", "body"))
-    whole = whole.repartitionById(n, "part").sortWithinPartitions("chunk", "shard").select("chunk", "body")
-    return whole.mapInArrow(_scores(models.tokens, vocabulary, held_out), "doc_id long, n_tokens long, loss_target double, loss_background double, score double")
+    return _in_rounds(whole, "part", ["chunk", "shard"], _scores(models.tokens, vocabulary, held_out), _SCORES_SQL, "scores")

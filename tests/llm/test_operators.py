@@ -709,6 +709,26 @@ def test_lm_chunks_and_shards(spark, monkeypatch):
         assert all(a[2:] == pytest.approx(b[2:]) if b[1] else a == b for a, b in zip(got, want, strict=True))
 
 
+def test_lm_shuffles_go_round_by_round(spark, monkeypatch):
+    """A shuffle's files stayed until the driver collected its garbage, and those of the counts lay beside those of the answers; now a round's are gone once it is written."""
+    store = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {str(b) for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.getAllBlocks()) if str(b).startswith("shuffle_") and str(b).endswith(".data")}
+    docs = spark.createDataFrame([(i, f"a{i % 7} b{i % 5} c{i}", i % 3 == 0) for i in range(60)], "doc_id long, text string, target boolean").repartition(6, "doc_id")
+    monkeypatch.setattr(lm_score, "SHARD_BYTES", 16)
+    models, before, seen, write = lm_score.train(docs), shuffled(), [], lm_score.materialise
+
+    def written(df, name, **options):
+        seen.append((name, len(shuffled() - before)))
+        return write(df, name, **options)
+
+    monkeypatch.setattr(lm_score, "materialise", written)
+    assert lm_score.score(models).count() == 60
+    assert [name for name, _ in seen] == ["answers"] * lm_score.ROUNDS + ["scores"] * lm_score.ROUNDS
+    # the sum of the shards' words is a shuffle of one number a task
+    sizes = [n for _, n in seen]
+    assert sizes[: lm_score.ROUNDS] == [0] * lm_score.ROUNDS and sizes[-1] == sizes[lm_score.ROUNDS]
+
+
 def test_lm_target(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a"), (2, None), (None, "c")], "doc_id long, text string").withColumn("target", F.lit("x"))
     ids = spark.createDataFrame([(1,), (1,), (None,), (9,)], "doc_id long")
