@@ -730,3 +730,51 @@ def test_a_word_that_a_board_has_twice(spark):
     cards = spark.createDataFrame([(1, 1, "a", "agent", "civilian"), (1, 2, "a", "civilian", "agent"), (1, 3, "a", "civilian", "civilian"), (1, 4, "b", None, None), (1, 5, "b", "civilian", None), (2, 1, "a", "civilian", "civilian")], "board_id int, card_id int, word string, llm_perspective_role string, human_perspective_role string")
     got = {(r["board_id"], r["card_id"]): (r["_earlier_llm"], r["_earlier_human"]) for r in sudden_death._with_earlier(cards).collect()}
     assert got == {(1, 1): (False, False), (1, 2): (False, True), (1, 3): (True, True), (1, 4): (False, False), (1, 5): (False, False), (2, 1): (False, False)}
+
+
+def test_a_norm_is_worked_out_once_for_a_vector(spark):
+    """It was worked out anew for each component that it divides."""
+    v = spark.createDataFrame([([3.0, 4.0],), (None,)], "v array<double>")
+    found = v.select(vectors.normalised("v").alias("u"), vectors.unit_checked(vectors.normalised("v"), 2).alias("w"))
+    assert [tuple(r) for r in found.collect()] == [([0.6, 0.8], [0.6, 0.8]), (None, None)]
+    assert "/ sqrt" not in found._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_cards_of_intervals_are_shuffled_once(spark):
+    """A game without a pair has a row without a cell, so that the games need not be asked of the cards again."""
+    from tessera.flows import guesser
+
+    rows = [("m", "g1", 1, "probe", "C+", 0.9, 0.5, 1.0, 1), ("m", "g1", 1, "probe", "C-", 0.4, -0.5, 1.0, 1), ("m", "g1", 2, "probe", "C-", 0.4, -0.5, 1.0, 1), ("m", "g2", 3, "probe", "C+", 0.1, 0.5, 1.0, 2), ("m", "g2", 4, "probe", "C-", 0.1, -0.5, 1.0, 2)]
+    cards = spark.createDataFrame(rows, "model string, game_id string, turn_id int, board_type string, grp string, conf double, rho double, abs_p double, band int")
+    sums = guesser.interval_sums(cards, "turn_id", "load")
+    assert sums._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(map(str, map(tuple, sums.collect()))) == ["('m', 'probe_all', 'g1', 1.0, 1.0)", "('m', 'probe_b1', 'g1', 1.0, 1.0)", "('m', None, 'g2', None, None)"]
+
+
+def test_few_and_many_boards_rank_alike(spark, small, monkeypatch):
+    """Rankings went through a shuffle for their targets and another for their board."""
+    from tessera.flows import guesser
+    from tessera.flows import log as L
+    from tessera.plans import log_queries
+
+    log, geometry = log_queries._log(spark, small)
+    names, found, put = {}, {}, guesser.staged
+    for few in (True, False):
+        names[few] = []
+        monkeypatch.setattr(L, "FEW_BOARDS", 10_000 if few else 0)
+        monkeypatch.setattr(log, "_few", None)
+        monkeypatch.setattr(guesser, "staged", lambda df, name, few=few: names[few].append(name) or put(df, name))
+        _, words = guesser.ranked_words(log, guesser.guesser_turns(log, log_queries.MASTER), geometry)
+        found[few] = sorted(map(str, words.select("proposal", "word", "confidence", "divergent", "fate", "rho", "p").collect()))
+    assert found[True] == found[False] and len(found[True]) > 1000
+    assert names == {True: ["guesser-turns"], False: ["guesser-turns", "aimed-rankings"]}
+
+
+def test_independent_steps_run_together(spark):
+    from threading import Barrier
+
+    from tessera.operators.staging import _SWEEP, together
+
+    met = Barrier(2, timeout=60)
+    assert together(spark, lambda: met.wait() >= 0 and spark.range(3).count(), lambda: met.wait() >= 0 and spark.range(5).count()) == [3, 5]
+    assert spark.conf.get(_SWEEP, None) is None
